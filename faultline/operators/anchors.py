@@ -1,0 +1,126 @@
+"""Window starts of very frequent signatures, computed over many tasks.
+
+From any event time the next window start is fixed: the first time at or beyond one window
+length later. Following these links from the first event visits all window starts. To follow
+them in parallel, time is cut into blocks of 1, 2, 4, ... window lengths and for the times that
+can be the first window start inside a block, the first one behind the block is worked out by
+joining two half blocks. The number of such times shrinks as the blocks grow; once a signature
+has few enough, one task follows its remaining links, and the window starts inside the blocks
+are filled in from the largest blocks to the smallest.
+"""
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from faultline.session import materialize
+
+# Times are grouped by this many microseconds for the search of the next time. Distinct times
+# are whole microseconds, so this also bounds the rows per group.
+SEARCH_MICROS = 4_000_000
+
+
+def _block(time: Column | str, width: int, level: int) -> Column:
+    time = F.col(time) if isinstance(time, str) else time
+    return F.floor(time / F.lit(width * 2**level)).cast("bigint")
+
+
+def next_times(times: DataFrame, key: str, time: str, width: int) -> DataFrame:
+    """For each distinct time the first one at least ``width`` later: (key, time, next)."""
+    present = times.select(key, F.col(time).alias("_at"), F.lit(None).cast("bigint").alias("_of"))
+    wanted = times.select(key, (F.col(time) + width).alias("_at"), F.col(time).alias("_of"))
+    points = present.unionByName(wanted).withColumn(
+        "_span", F.floor(F.col("_at") / SEARCH_MICROS).cast("bigint")
+    )
+    event_time = F.when(F.col("_of").isNull(), F.col("_at"))
+    # Walk backwards in time; at equal times the present one is seen before the search for it.
+    backwards = (
+        Window.partitionBy(key, "_span")
+        .orderBy(F.col("_at").desc(), F.col("_of").isNotNull())
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    found = points.withColumn("_near", F.min(event_time).over(backwards)).filter(
+        F.col("_of").isNotNull()
+    )
+    # One row per span that holds anything: where do the times of later spans begin?
+    later = (
+        Window.partitionBy(key)
+        .orderBy(F.col("_span").desc())
+        .rowsBetween(Window.unboundedPreceding, -1)
+    )
+    spans = (
+        points.groupBy(key, "_span")
+        .agg(F.min(event_time).alias("_first"))
+        .select(key, "_span", F.min("_first").over(later).alias("_far"))
+    )
+    return found.join(spans, [key, "_span"]).select(
+        key, F.col("_of").alias(time), F.coalesce("_near", "_far").alias("next")
+    )
+
+
+def _follow(links: DataFrame, first: DataFrame, key: str, time: str) -> DataFrame:
+    """Times visited from the first one; the links of a key are few here."""
+    # A missing link leads behind the last time.
+    closed = links.withColumn("next", F.coalesce("next", F.lit(2**63 - 1)))
+    tagged = closed.join(first.withColumn("_is_first", F.lit(True)), [key, time], "left")
+    schema = links.select(key, time).schema
+
+    def walk(rows):
+        import numpy as np
+        import pandas as pd
+
+        rows = rows.sort_values(time)
+        at = rows[time].to_numpy()
+        hops = np.searchsorted(at, rows["next"].to_numpy()).tolist()
+        here = int(np.flatnonzero(rows["_is_first"].eq(True).to_numpy())[0])
+        visited = []
+        while here < len(hops):
+            visited.append(here)
+            here = hops[here]
+        return pd.DataFrame({key: rows[key].iloc[0], time: at[visited]})
+
+    return tagged.groupBy(key).applyInPandas(walk, schema)
+
+
+def anchors(times: DataFrame, key: str, time: str, width: int, max_links: int) -> DataFrame:
+    """Window starts (key, time) among distinct times, for windows of ``width`` microseconds.
+
+    ``max_links`` bounds the links one task follows for one key.
+    """
+    times = materialize(times.select(key, time))
+    first = materialize(times.groupBy(key).agg(F.min(time).alias(time)))
+    links = materialize(next_times(times, key, time, width))
+    levels = [links]
+    while True:
+        largest = links.groupBy(key).count().agg(F.max("count")).first()[0]
+        if largest is None or largest <= max_links:
+            break
+        links = materialize(_double(links, first, key, time, width, len(levels)))
+        levels.append(links)
+    found = materialize(_follow(levels[-1], first, key, time))
+    for level in range(len(levels) - 2, -1, -1):
+        inner = (
+            found.join(levels[level], [key, time])
+            .filter(_block("next", width, level + 1) == _block(time, width, level + 1))
+            .select(key, F.col("next").alias(time))
+        )
+        found = materialize(found.unionByName(inner))
+    return found
+
+
+def _double(
+    links: DataFrame, first: DataFrame, key: str, time: str, width: int, level: int
+) -> DataFrame:
+    """Links over blocks of twice the size, for the times a path can enter such a block at."""
+    entries = (
+        links.filter(_block("next", width, level) != _block(time, width, level))
+        .select(key, F.col("next").alias(time))
+        .unionByName(first.select(key, time))
+        .distinct()
+    )
+    here = entries.join(links, [key, time])
+    onward = links.select(
+        key, F.col(time).alias("next"), F.col("next").alias("_after"), F.lit(True).alias("_hit")
+    )
+    same_block = _block("next", width, level) == _block(time, width, level)
+    beyond = F.when(same_block & F.col("_hit"), F.col("_after")).otherwise(F.col("next"))
+    return here.join(onward, [key, "next"], "left").select(key, time, beyond.alias("next"))
