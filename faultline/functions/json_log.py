@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from faultline import schemas as S
 from faultline.functions import text as X
+from faultline.functions.compute import compute_once
 from faultline.functions.parsed import parse_failure
 from faultline.functions.severity import parse_severity
 from faultline.functions.timestamps import number_time, text_time
@@ -39,28 +40,34 @@ def _number_literal(payload: Column, key: Column, value: Column) -> Column:
     return F.coalesce(F.try_element_at(same, F.lit(-1)), value.cast("string"))
 
 
-def _entry(payload: Column, pair: Column) -> Column:
-    """One key of the object with its type name and its value as text.
+def _entries(payload: Column, pairs: Column) -> Column:
+    """The keys of the object with type name and value as text.
 
     Nested values stay compact JSON.
     """
-    value = pair.value
-    schema = F.schema_of_variant(value)
-    kind = F.substring_index(F.substring_index(schema, "<", 1), "(", 1)
-    text = (
-        F.when(kind == "STRING", value.cast("string"))
-        .when(kind == "VOID", F.lit(NULL_TEXT))
-        .when(kind.isin("OBJECT", "ARRAY"), F.to_json(value))
-        .when(kind.isin(*REAL_KINDS), _number_literal(payload, pair.key, value))
-        .otherwise(value.cast("string"))
-    )
-    return F.struct(
-        pair.key.alias("key"),
-        F.lower(pair.key).alias("name"),
-        kind.alias("kind"),
-        text.alias("text"),
-        value.alias("value"),
-    )
+
+    def typed(pair: Column) -> Column:
+        schema = F.schema_of_variant(pair["value"])
+        kind = F.substring_index(F.substring_index(schema, "<", 1), "(", 1)
+        return F.struct(pair["key"].alias("key"), pair["value"].alias("value"), kind.alias("kind"))
+
+    def with_text(entry: Column) -> Column:
+        kind, value = entry["kind"], entry["value"]
+        text = (
+            F.when(kind == "VOID", F.lit(NULL_TEXT))
+            .when(kind.isin("OBJECT", "ARRAY"), F.to_json(value))
+            .when(kind.isin(*REAL_KINDS), _number_literal(payload, entry["key"], value))
+            .otherwise(value.cast("string"))
+        )
+        return F.struct(
+            entry["key"].alias("key"),
+            F.lower(entry["key"]).alias("name"),
+            kind.alias("kind"),
+            text.alias("text"),
+            value.alias("value"),
+        )
+
+    return F.transform(F.transform(pairs, typed), with_text)
 
 
 def _named(entries: Column, keys: tuple[str, ...], value) -> Column:
@@ -76,14 +83,6 @@ def _pick_text(texts: Column, keys: tuple[str, ...]) -> Column:
     return X.or_empty(F.array_min(_named(texts, keys, lambda e: [e["text"]]))["text"])
 
 
-def _pick_time(entries: Column, received_at: Column) -> Column:
-    found = F.array_min(_named(entries, TIME_KEYS, lambda e: [e["kind"], e["text"]]))
-    instant = F.when(found["kind"] == "STRING", text_time(found["text"])).when(
-        found["kind"].isin("BIGINT", *REAL_KINDS), number_time(found["text"])
-    )
-    return F.coalesce(instant, received_at)
-
-
 def _frames(entry: Column) -> Column:
     """Stack value to trimmed, non-blank frames: text by line, arrays by text element."""
     elements = F.filter(
@@ -130,19 +129,27 @@ def parse_json(df: DataFrame, rows: Column, out: str) -> DataFrame:
     df = df.withColumn(
         "_object", F.when(rows, F.from_json(document, "map<string,variant>", STRICT))
     )
-    df = df.withColumn(
-        "_entries", F.transform(_last_pairs(F.col("_object")), lambda pair: _entry(payload, pair))
-    )
-    df = df.withColumn("_texts", F.filter("_entries", lambda e: e["kind"] == "STRING"))
+    df = compute_once(df, _entries=_entries(payload, _last_pairs(F.col("_object"))))
+    df = compute_once(df, _texts=F.filter("_entries", lambda e: e["kind"] == "STRING"))
     entries, texts = F.col("_entries"), F.col("_texts")
-    df = df.withColumn("_service", _pick_text(texts, SERVICE_KEYS))
+    df = compute_once(
+        df,
+        _level=F.lower(_pick_text(texts, LEVEL_KEYS)),
+        _service=F.nullif(_pick_text(texts, SERVICE_KEYS), F.lit("")),
+        _time=F.array_min(_named(entries, TIME_KEYS, lambda e: [e["kind"], e["text"]])),
+    )
+    time_kind, time_text = F.col("_time.kind"), F.col("_time.text")
+    df = compute_once(
+        df,
+        _instant=F.when(time_kind == "STRING", text_time(time_text)).when(
+            time_kind.isin("BIGINT", *REAL_KINDS), number_time(time_text)
+        ),
+    )
     stream_id = F.nullif(X.or_empty(F.col("stream_id")), F.lit(""))
     event = F.struct(
-        parse_severity(F.lower(_pick_text(texts, LEVEL_KEYS))).alias("severity"),
-        _pick_time(entries, F.col("received_at")).alias("timestamp"),
-        F.coalesce(
-            F.nullif(F.col("_service"), F.lit("")), stream_id, F.lit(UNKNOWN_SERVICE)
-        ).alias("service"),
+        parse_severity(F.col("_level")).alias("severity"),
+        F.coalesce("_instant", "received_at").alias("timestamp"),
+        F.coalesce("_service", stream_id, F.lit(UNKNOWN_SERVICE)).alias("service"),
         _pick_text(texts, HOST_KEYS).alias("host"),
         _pick_text(texts, MESSAGE_KEYS).alias("message"),
         _stack_frames(entries).alias("stack_frames"),
@@ -154,5 +161,5 @@ def parse_json(df: DataFrame, rows: Column, out: str) -> DataFrame:
     )
     parsed = F.when(entries.isNotNull(), event).otherwise(failure)
     return df.withColumn(out, F.when(rows, parsed)).drop(
-        "_object", "_entries", "_texts", "_service"
+        "_object", "_entries", "_texts", "_level", "_service", "_time", "_instant"
     )

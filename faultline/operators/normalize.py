@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from faultline import schemas as S
 from faultline.functions import signature as G
 from faultline.functions import validate as V
+from faultline.functions.compute import compute_once
 from faultline.functions.event_id import event_id
 from faultline.functions.json_log import parse_json
 from faultline.functions.parsed import parse_failure
@@ -37,7 +38,7 @@ def parse(raw: DataFrame, parsers=None, rows: Column | None = None) -> DataFrame
         F.format_string(S.UNHANDLED_SOURCE + ': "%s"', or_empty(F.col("source")))
     )
     parsed = F.coalesce(*outs, unhandled)
-    return df.withColumn("parsed", F.when(wanted, parsed)).drop(*outs)
+    return compute_once(df, parsed=F.when(wanted, parsed)).drop(*outs)
 
 
 def normalize(
@@ -50,40 +51,30 @@ def normalize(
     otherwise, ``reason`` says why, ``errors`` lists the validation findings. The raw columns
     stay on the row so that a reject can be written as dead letter.
     """
-    df = raw.withColumn(
-        "_raw_errors",
-        V.raw_errors(F.col("source"), F.col("payload"), F.col("received_at")),
+    df = compute_once(
+        raw, _raw_errors=V.raw_errors(F.col("source"), F.col("payload"), F.col("received_at"))
     )
     df = parse(df, parsers, rows=~V.has_errors(F.col("_raw_errors")))
     parsed = F.col("parsed")
     readable = or_empty(parsed["error"]) == ""
-    df = df.withColumn(
-        "_event_errors",
-        F.when(
-            parsed.isNotNull() & readable,
-            V.event_errors(
-                F.col("source"), parsed["service"], parsed["message"], parsed["timestamp"]
-            ),
-        ).otherwise(F.array().cast(S.FIELD_ERRORS)),
-    )
+    event_errors = F.when(
+        parsed.isNotNull() & readable,
+        V.event_errors(
+            F.col("source"), parsed["service"], parsed["message"], parsed["timestamp"]
+        ),
+    ).otherwise(F.array().cast(S.FIELD_ERRORS))
     raw_bad, event_bad = V.has_errors(F.col("_raw_errors")), V.has_errors(F.col("_event_errors"))
-    df = df.withColumn(
-        "failed_step",
-        F.when(raw_bad, "raw").when(~readable, "parse").when(event_bad, "event").otherwise(""),
+    step = F.when(raw_bad, "raw").when(~readable, "parse").when(event_bad, "event").otherwise("")
+    template = G.error_template(
+        parsed["severity"],
+        parsed["service"],
+        parsed["message"],
+        parsed["stack_frames"],
+        max_frames,
     )
-    accepted = F.col("failed_step") == ""
-    df = df.withColumn(
-        "template",
-        F.when(
-            accepted,
-            G.error_template(
-                parsed["severity"],
-                parsed["service"],
-                parsed["message"],
-                parsed["stack_frames"],
-                max_frames,
-            ),
-        ).otherwise(""),
+    df = compute_once(df, _event_errors=event_errors).withColumn("failed_step", step)
+    df = compute_once(
+        df, template=F.when(F.col("failed_step") == "", template).otherwise("")
     )
     return df.select(
         event_id(F.col("stream_id"), F.col("seq_no")).alias("event_id"),

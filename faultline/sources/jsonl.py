@@ -8,21 +8,20 @@ from faultline import schemas as S
 TIME_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
 
 
-def append_json_lines(df: DataFrame, path: str) -> None:
-    """Append one JSON object per row; every key is written, the folder is created."""
+def write_json_lines(df: DataFrame, path: str, mode: str = "append") -> None:
+    """One JSON object per row; every key is written, the folder is created."""
     (
-        df.write.mode("append")
+        df.write.mode(mode)
         .option("ignoreNullFields", "false")
         .option("timestampFormat", TIME_FORMAT)
         .json(path)
     )
 
 
-def read_dead_letters(spark: SparkSession, path: str) -> DataFrame:
-    return (
-        spark.read.schema(S.DEAD_LETTER).option("timestampFormat", TIME_FORMAT).json(path)
-    )
-
-
 def read_json_lines(spark: SparkSession, path: str, schema) -> DataFrame:
     return spark.read.schema(schema).option("timestampFormat", TIME_FORMAT).json(path)
+
+
+def read_dead_letters(spark: SparkSession, path: str) -> DataFrame:
+    """Dead-letter records of a folder, whatever its batch folders."""
+    return read_json_lines(spark, path, S.DEAD_LETTER).select(*S.DEAD_LETTER.names)
