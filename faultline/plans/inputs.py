@@ -18,7 +18,7 @@ SPARK = {
 }
 DUCK = {
     "iso": "strftime(ts, '%Y-%m-%dT%H:%M:%S.%fZ')",
-    "epoch_ms": "epoch_ms(ts)",
+    "epoch_ms": "(epoch_us(ts) // 1000)",
     "epoch_s": "(epoch_us(ts) // 1000000)",
     "escaped_newline": "chr(92) || 'n'",
     "syslog_time": "strftime(ts, '%b') || ' ' || lpad(cast(day(ts) as varchar), 2, ' ')"
