@@ -10,7 +10,10 @@ def compute_once(df: DataFrame, **columns: Column) -> DataFrame:
     A plain projection is merged with what follows: a filter on a derived column is rewritten in
     terms of the source and evaluates the whole derivation a second time, and deep derivations
     grow beyond planning. The optimizer does not look through a generator, and one that yields
-    exactly one row costs little and stays inside generated code.
+    exactly one row costs little. It only hands on the columns of a projection below it, so that
+    the work itself is done in generated code.
     """
-    row = F.struct(*[column.alias(name) for name, column in columns.items()])
-    return df.select("*", F.inline_outer(F.array(row)))
+    held = {name: f"_held_{name}" for name in columns}
+    projected = df.select("*", *[columns[name].alias(held[name]) for name in columns])
+    row = F.struct(*[F.col(held[name]).alias(name) for name in columns])
+    return projected.select(*df.columns, F.inline_outer(F.array(row)))

@@ -30,6 +30,11 @@ NULL_TEXT = "<nil>"
 STRICT = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
 
 
+def _kind(value: Column) -> Column:
+    """Type name of a value: STRING, BIGINT, OBJECT and so on."""
+    return F.substring_index(F.substring_index(F.schema_of_variant(value), "<", 1), "(", 1)
+
+
 def _number_literal(payload: Column, key: Column, value: Column) -> Column:
     """The number as written: fractions and exponents are looked up in the payload."""
     pattern = F.concat(F.lit('"\\Q'), key, F.lit('\\E"\\s*:\\s*(-?[0-9][-+.0-9eE]*)'))
@@ -40,126 +45,119 @@ def _number_literal(payload: Column, key: Column, value: Column) -> Column:
     return F.coalesce(F.try_element_at(same, F.lit(-1)), value.cast("string"))
 
 
-def _entries(payload: Column, pairs: Column) -> Column:
-    """The keys of the object with type name and value as text.
+def _value(name: str) -> Column:
+    """Value of the key with this lower-case name; null when there is none.
 
-    Nested values stay compact JSON.
+    The key lists run backwards, so that of a repeated key the last one counts.
     """
+    place = F.array_position("_names", name).cast("int")
+    return F.get("_values", place - 1)
 
-    def typed(pair: Column) -> Column:
-        schema = F.schema_of_variant(pair["value"])
-        kind = F.substring_index(F.substring_index(schema, "<", 1), "(", 1)
-        return F.struct(pair["key"].alias("key"), pair["value"].alias("value"), kind.alias("kind"))
-
-    def with_text(entry: Column) -> Column:
-        kind, value = entry["kind"], entry["value"]
-        text = (
-            F.when(kind == "VOID", F.lit(NULL_TEXT))
-            .when(kind.isin("OBJECT", "ARRAY"), F.to_json(value))
-            .when(kind.isin(*REAL_KINDS), _number_literal(payload, entry["key"], value))
-            .otherwise(value.cast("string"))
-        )
-        return F.struct(
-            entry["key"].alias("key"),
-            F.lower(entry["key"]).alias("name"),
-            kind.alias("kind"),
-            text.alias("text"),
-            value.alias("value"),
-        )
-
-    return F.transform(F.transform(pairs, typed), with_text)
-
-
-def _named(entries: Column, keys: tuple[str, ...], value) -> Column:
-    """``value`` of the entries called one of ``keys``, each with its place in ``keys``."""
-    order = F.array(*map(F.lit, keys))
-    return F.transform(
-        F.filter(entries, lambda e: F.array_contains(order, e["name"])),
-        lambda e: F.struct(F.array_position(order, e["name"]).alias("place"), *value(e)),
-    )
 
+def _first_text(names: tuple[str, ...]) -> Column:
+    """Text under the first of the names that holds one."""
+    values = [_value(name) for name in names]
+    texts = [F.when(F.schema_of_variant(v) == "STRING", v.cast("string")) for v in values]
+    return X.or_empty(F.coalesce(*texts))
 
-def _pick_text(texts: Column, keys: tuple[str, ...]) -> Column:
-    return X.or_empty(F.array_min(_named(texts, keys, lambda e: [e["text"]]))["text"])
 
-
-def _frames(entry: Column) -> Column:
+def _frames(value: Column) -> Column:
     """Stack value to trimmed, non-blank frames: text by line, arrays by text element."""
+    kind = _kind(value)
     elements = F.filter(
-        entry["value"].cast("array<variant>"), lambda v: F.schema_of_variant(v) == "STRING"
+        value.cast("array<variant>"), lambda v: F.schema_of_variant(v) == "STRING"
     )
-    parts = (
-        F.when(entry["kind"] == "STRING", X.lines(entry["text"]))
-        .when(entry["kind"] == "ARRAY", F.transform(elements, lambda v: v.cast("string")))
-        .otherwise(F.array().cast("array<string>"))
+    parts = F.when(kind == "STRING", X.lines(value.cast("string"))).when(
+        kind == "ARRAY", F.transform(elements, lambda v: v.cast("string"))
     )
     return F.filter(F.transform(parts, X.strip), lambda frame: frame != "")
 
 
-def _stack_frames(entries: Column) -> Column:
-    stacks = _named(entries, STACK_KEYS, lambda e: [_frames(e).alias("frames")])
-    return F.flatten(F.transform(F.array_sort(stacks), lambda s: s["frames"]))
+def _stack_frames() -> Column:
+    none = F.array().cast("array<string>")
+    stacks = [F.coalesce(_frames(_value(name)), none) for name in STACK_KEYS]
+    present = F.arrays_overlap("_names", F.array(*map(F.lit, STACK_KEYS)))
+    return F.when(present, F.concat(*stacks)).otherwise(none)
 
 
-def _extra_fields(entries: Column) -> Column:
-    known = F.array(*map(F.lit, KNOWN_KEYS))
-    extra = F.filter(entries, lambda e: ~F.array_contains(known, e["name"]))
-    return F.map_from_entries(F.transform(extra, lambda e: F.struct(e["key"], e["text"])))
+def _extra_fields(payload: Column) -> Column:
+    """The other keys with their values as text; nested values stay compact JSON."""
 
+    def with_text(entry: Column) -> Column:
+        key, value, kind = entry["key"], entry["value"], entry["kind"]
+        text = (
+            F.when(kind == "VOID", F.lit(NULL_TEXT))
+            .when(kind.isin("OBJECT", "ARRAY"), F.to_json(value))
+            .when(kind.isin(*REAL_KINDS), _number_literal(payload, key, value))
+            .otherwise(value.cast("string"))
+        )
+        return F.struct(key.alias("key"), text.alias("value"))
 
-def _last_pairs(decoded: Column) -> Column:
-    """Key-value pairs of the object; of a repeated key the last one counts."""
-    pairs, keys = F.map_entries(decoded), F.map_keys(decoded)
-    last = F.filter(
-        pairs,
-        lambda pair, i: ~F.array_contains(F.slice(keys, i + 2, F.size(keys)), pair["key"]),
+    entries = F.arrays_zip(
+        F.col("_keys").alias("key"), F.col("_names").alias("name"), F.col("_values").alias("value")
     )
-    return F.when(F.size(F.array_distinct(keys)) == F.size(keys), pairs).otherwise(last)
+    extra = F.filter(
+        entries,
+        lambda e, i: ~e["name"].isin(*KNOWN_KEYS)
+        & (F.array_position("_keys", e["key"]) == i + 1),
+    )
+    typed = F.transform(
+        extra,
+        lambda e: F.struct(
+            e["key"].alias("key"), e["value"].alias("value"), _kind(e["value"]).alias("kind")
+        ),
+    )
+    return F.map_from_entries(F.transform(typed, with_text))
 
 
 def parse_json(df: DataFrame, rows: Column, out: str) -> DataFrame:
     """Add ``out`` (struct ``PARSED``) for the rows where ``rows`` holds, null elsewhere.
 
-    The object is decoded once per row; it and the entry list are projections of their own
-    because they feed several columns. A ``null`` document counts as an empty object.
+    The object is decoded once per row. A ``null`` document counts as an empty object.
     """
     payload = F.col("payload")
     null_document = F.rlike(payload, F.lit(r"^[ \t\r\n]*null(?![A-Za-z0-9_])"))
     document = F.when(null_document, F.lit("{}")).otherwise(payload)
-    df = df.withColumn(
-        "_object", F.when(rows, F.from_json(document, "map<string,variant>", STRICT))
-    )
-    df = compute_once(df, _entries=_entries(payload, _last_pairs(F.col("_object"))))
-    df = compute_once(df, _texts=F.filter("_entries", lambda e: e["kind"] == "STRING"))
-    entries, texts = F.col("_entries"), F.col("_texts")
+    decoded = F.when(rows, F.from_json(document, "map<string,variant>", STRICT))
+    df = df.withColumn("_object", decoded)
     df = compute_once(
         df,
-        _level=F.lower(_pick_text(texts, LEVEL_KEYS)),
-        _service=F.nullif(_pick_text(texts, SERVICE_KEYS), F.lit("")),
-        _time=F.array_min(_named(entries, TIME_KEYS, lambda e: [e["kind"], e["text"]])),
+        _keys=F.reverse(F.map_keys("_object")),
+        _names=F.reverse(F.transform(F.map_keys("_object"), F.lower)),
+        _values=F.reverse(F.map_values("_object")),
+    ).drop("_object")
+    time = F.coalesce(*[_value(name) for name in TIME_KEYS])
+    time_key = F.coalesce(
+        *[F.when(F.array_contains("_names", name), F.lit(name)) for name in TIME_KEYS]
     )
-    time_kind, time_text = F.col("_time.kind"), F.col("_time.text")
     df = compute_once(
         df,
-        _instant=F.when(time_kind == "STRING", text_time(time_text)).when(
-            time_kind.isin("BIGINT", *REAL_KINDS), number_time(time_text)
-        ),
+        _level=F.lower(_first_text(LEVEL_KEYS)),
+        _service=F.nullif(_first_text(SERVICE_KEYS), F.lit("")),
+        _time_kind=_kind(time),
+        _time_text=F.when(
+            _kind(time).isin(*REAL_KINDS), _number_literal(payload, time_key, time)
+        ).otherwise(time.try_cast("string")),
+    )
+    kind, text = F.col("_time_kind"), F.col("_time_text")
+    instant = F.when(kind == "STRING", text_time(text)).when(
+        kind.isin("BIGINT", *REAL_KINDS), number_time(text)
     )
     stream_id = F.nullif(X.or_empty(F.col("stream_id")), F.lit(""))
     event = F.struct(
         parse_severity(F.col("_level")).alias("severity"),
-        F.coalesce("_instant", "received_at").alias("timestamp"),
+        F.coalesce(instant, "received_at").alias("timestamp"),
         F.coalesce("_service", stream_id, F.lit(UNKNOWN_SERVICE)).alias("service"),
-        _pick_text(texts, HOST_KEYS).alias("host"),
-        _pick_text(texts, MESSAGE_KEYS).alias("message"),
-        _stack_frames(entries).alias("stack_frames"),
-        _extra_fields(entries).alias("fields"),
+        _first_text(HOST_KEYS).alias("host"),
+        _first_text(MESSAGE_KEYS).alias("message"),
+        _stack_frames().alias("stack_frames"),
+        _extra_fields(payload).alias("fields"),
         F.lit("").alias("error"),
     ).cast(S.PARSED)
     failure = parse_failure(
         F.when(X.or_empty(payload) == "", S.EMPTY_PAYLOAD).otherwise(S.INVALID_JSON)
     )
-    parsed = F.when(entries.isNotNull(), event).otherwise(failure)
+    parsed = F.when(F.col("_keys").isNotNull(), event).otherwise(failure)
     return df.withColumn(out, F.when(rows, parsed)).drop(
-        "_object", "_entries", "_texts", "_level", "_service", "_time", "_instant"
+        "_keys", "_names", "_values", "_level", "_service", "_time_kind", "_time_text"
     )
