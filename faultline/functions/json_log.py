@@ -80,8 +80,24 @@ def _stack_frames() -> Column:
     return F.when(present, F.concat(*stacks)).otherwise(none)
 
 
-def _extra_fields(payload: Column) -> Column:
-    """The other keys with their values as text; nested values stay compact JSON."""
+def _extra_fields(document: Column, payload: Column) -> Column:
+    """The other keys with their values as text; nested values stay compact JSON.
+
+    Decoding the values as text keeps numbers as written unless they have an exponent; those
+    documents are rare and take the longer way.
+    """
+    texts = F.map_filter(
+        F.from_json(document, "map<string,string>", STRICT),
+        lambda key, text: ~F.lower(key).isin(*KNOWN_KEYS),
+    )
+    plain = F.transform_values(texts, lambda key, text: F.coalesce(text, F.lit(NULL_TEXT)))
+    unique = F.size(F.array_distinct("_keys")) == F.size("_keys")
+    exponent = F.rlike(payload, F.lit("[0-9][eE][-+]?[0-9]"))
+    return F.when(unique & ~exponent, plain).otherwise(_extra_fields_by_type(payload))
+
+
+def _extra_fields_by_type(payload: Column) -> Column:
+    """Other keys of documents with repeated keys or numbers that need their literal."""
 
     def with_text(entry: Column) -> Column:
         key, value, kind = entry["key"], entry["value"], entry["kind"]
@@ -151,7 +167,7 @@ def parse_json(df: DataFrame, rows: Column, out: str) -> DataFrame:
         _first_text(HOST_KEYS).alias("host"),
         _first_text(MESSAGE_KEYS).alias("message"),
         _stack_frames().alias("stack_frames"),
-        _extra_fields(payload).alias("fields"),
+        _extra_fields(document, payload).alias("fields"),
         F.lit("").alias("error"),
     ).cast(S.PARSED)
     failure = parse_failure(

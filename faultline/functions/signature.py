@@ -29,25 +29,48 @@ OFFSET = (
 LINE_NUMBER = r":[0-9]+\z"
 
 
+# Private-use characters that frame a token between the passes of ``normalize_message``.
+_OPEN, _CLOSE = "\ue000", "\ue001"
+# Kind of a framed token by how it starts.
+_KINDS = (
+    (r"[\"']", "<str>"),
+    (r"0[xX]", "<hex>"),
+    (r"[0-9a-fA-F]{8}-", "<uuid>"),
+    (r"[0-9]+\.", "<ip>"),
+    (r"[0-9]", "<n>"),
+)
+
+
 def _token_class(token: Column) -> Column:
-    return (
-        F.when(F.substring(token, 1, 1).isin('"', "'"), "<str>")
-        .when(F.lower(F.substring(token, 1, 2)) == "0x", "<hex>")
-        .when((F.length(token) == 36) & (F.substring(token, 9, 1) == "-"), "<uuid>")
-        .when(F.contains(token, F.lit(".")), "<ip>")
-        .otherwise("<n>")
-    )
+    name = F.lit("<n>")
+    for start, kind in reversed(_KINDS[:-1]):
+        name = F.when(F.rlike(token, F.lit(rf"\A{start}")), kind).otherwise(name)
+    return name
 
 
-def normalize_message(message: Column) -> Column:
-    """Quoted text, hex addresses, UUIDs, IP addresses and numbers become place holders."""
+def _classified_by_pieces(message: Column) -> Column:
+    """Tokens replaced piece by piece; for messages that hold the framing characters."""
     pieces = F.split(message, TOKEN, -1)
     classes = F.transform(F.regexp_extract_all(message, F.lit(TOKEN), F.lit(0)), _token_class)
     # There is one more piece than tokens; the last one gets nothing appended.
-    joined = F.array_join(
+    return F.array_join(
         F.zip_with(pieces, classes, lambda piece, name: F.concat(piece, or_empty(name))), ""
     )
-    return F.trim(F.regexp_replace(joined, SPACES, " "))
+
+
+def _classified(message: Column) -> Column:
+    """Tokens framed in one pass over the message, then replaced kind by kind."""
+    text = F.regexp_replace(message, TOKEN, f"{_OPEN}$0{_CLOSE}")
+    for start, kind in _KINDS:
+        text = F.regexp_replace(text, f"{_OPEN}{start}[^{_CLOSE}]*+{_CLOSE}", kind)
+    return text
+
+
+def normalize_message(message: Column) -> Column:
+    """Quoted text, hex addresses, UUIDs, IP addresses and numbers become place holders."""
+    framed = F.contains(message, F.lit(_OPEN)) | F.contains(message, F.lit(_CLOSE))
+    plain = F.when(framed, _classified_by_pieces(message)).otherwise(_classified(message))
+    return F.trim(F.regexp_replace(plain, SPACES, " "))
 
 
 def normalize_frame(frame: Column) -> Column:
@@ -69,7 +92,7 @@ def template(
     depth = max_frames if max_frames > 0 else DEFAULT_MAX_FRAMES
     top = F.transform(F.slice(frames, 1, depth), normalize_frame)
     head = F.concat(service, F.lit("|"), normalize_message(message))
-    full = F.array_join(F.concat(F.array(head), top), "\n")
+    full = F.when(F.size(frames) > 0, F.concat_ws("\n", head, top)).otherwise(head)
     return F.when((service == "") & (message == ""), "").otherwise(full)
 
 

@@ -1,5 +1,8 @@
 """Row validation as an array of (field, error) findings; an empty array means valid."""
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -26,7 +29,10 @@ def _findings(*checks: tuple[str, Column, str]) -> Column:
         F.when(failed, F.struct(F.lit(field).alias("field"), F.lit(error).alias("error")))
         for field, failed, error in checks
     ]
-    return F.array_compact(F.array(*found)).cast(S.FIELD_ERRORS)
+    any_failed = reduce(or_, [failed for _, failed, _ in checks])
+    # Valid rows, nearly all, skip building the list.
+    none = F.array().cast(S.FIELD_ERRORS)
+    return F.when(any_failed, F.array_compact(F.array(*found)).cast(S.FIELD_ERRORS)).otherwise(none)
 
 
 def raw_errors(source: Column, payload: Column, received_at: Column) -> Column:

@@ -24,8 +24,8 @@ def _window_processor(width: int, evict: bool):
             import pandas as pd
 
             events = pd.concat(list(rows), ignore_index=True)
-            events = events.sort_values(["_t", "stream_id", "seq_no"], ignore_index=True)
-            times = events["_t"].to_numpy()
+            events = events.sort_values(["event_micros", "stream_id", "seq_no"], ignore_index=True)
+            times = events["event_micros"].to_numpy()
             total = len(times)
             window = np.empty(total, dtype="int64")
             count = np.empty(total, dtype="int64")
@@ -54,7 +54,7 @@ def _window_processor(width: int, evict: bool):
             events["window_start"] = pd.to_datetime(window, unit="us")
             events["is_novel"] = count == 1
             events["window_count"] = count
-            yield events.drop(columns="_t")
+            yield events.drop(columns="event_micros")
 
         def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
             self.open.clear()
@@ -101,7 +101,7 @@ def dedup_stream(
         ]
     )
     counted = (
-        signed.withColumn("_t", F.unix_micros(F.col(time)))
+        signed.withColumn("event_micros", F.unix_micros(F.col(time)))
         .groupBy("signature")
         .transformWithStateInPandas(
             _window_processor(width, evict), output, "Append", "EventTime" if evict else "None"
