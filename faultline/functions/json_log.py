@@ -23,6 +23,9 @@ KNOWN_KEYS = SERVICE_KEYS + LEVEL_KEYS + MESSAGE_KEYS + HOST_KEYS + TIME_KEYS +
 # Variant type names of numbers that are not plain integers.
 REAL_KINDS = ("DECIMAL", "DOUBLE", "FLOAT")
 
+# How decoding to text spells numbers that may have been written otherwise.
+REAL_TEXT = r"^-?[0-9]+(?:\.[0-9]+(?:E-?[0-9]+)?|E-?[0-9]+)$"
+
 UNKNOWN_SERVICE = "unknown-service"
 NULL_TEXT = "<nil>"
 
@@ -83,21 +86,33 @@ def _stack_frames() -> Column:
 def _extra_fields(document: Column, payload: Column) -> Column:
     """The other keys with their values as text; nested values stay compact JSON.
 
-    Decoding the values as text keeps numbers as written unless they have an exponent; those
-    documents are rare and take the longer way.
+    Decoding to text gives most values as they are. Numbers with a fraction or exponent are
+    rewritten by it and get their literal back; repeated keys take the longer way.
     """
     texts = F.map_filter(
         F.from_json(document, "map<string,string>", STRICT),
         lambda key, text: ~F.lower(key).isin(*KNOWN_KEYS),
     )
-    plain = F.transform_values(texts, lambda key, text: F.coalesce(text, F.lit(NULL_TEXT)))
+
+    def as_written(key: Column, text: Column) -> Column:
+        value = F.get("_values", F.array_position("_keys", key).cast("int") - 1)
+        literal = F.when(
+            _kind(value).isin(*REAL_KINDS), _number_literal(payload, key, value)
+        ).otherwise(text)
+        return (
+            F.when(text.isNull(), F.lit(NULL_TEXT))
+            .when(F.rlike(text, F.lit(REAL_TEXT)), literal)
+            .otherwise(text)
+        )
+
     unique = F.size(F.array_distinct("_keys")) == F.size("_keys")
-    exponent = F.rlike(payload, F.lit("[0-9][eE][-+]?[0-9]"))
-    return F.when(unique & ~exponent, plain).otherwise(_extra_fields_by_type(payload))
+    return F.when(unique, F.transform_values(texts, as_written)).otherwise(
+        _extra_fields_by_type(payload)
+    )
 
 
 def _extra_fields_by_type(payload: Column) -> Column:
-    """Other keys of documents with repeated keys or numbers that need their literal."""
+    """Other keys of documents with repeated keys."""
 
     def with_text(entry: Column) -> Column:
         key, value, kind = entry["key"], entry["value"], entry["kind"]
