@@ -141,7 +141,7 @@ def common_counts(grams: np.ndarray, cuts: np.ndarray, chunk: int = 4096) -> np.
 
 
 def similarity_classes(
-    docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.9999, most_hashes: int = 128, block: int = 512, block_ngrams: int = 1 << 20
+    docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.9999, most_hashes: int = 128, block: int = 256, block_ngrams: int = 1 << 19
 ) -> DataFrame:
     """``docs`` with class_id, n_links (documents linked directly: equal sets, or similarity of at least ``threshold``)
     and kept (one row of each class)."""
