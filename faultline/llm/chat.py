@@ -102,12 +102,12 @@ def _lines(text: str | None) -> list[str]:
     return text.replace("\r\n", "\n").split("\n") if text else []
 
 
-def placed(parts: DataFrame, conversation: str, place: str, text: str, role: str | None = None) -> DataFrame:
-    """The parts in order: part (number of the sorted partition), pos, conv, place, text and role, written to the shared folder."""
+def placed(parts: DataFrame, conversation: str, place: str, text: str, role: str | None = None, ranges: int | None = None) -> DataFrame:
+    """The parts in order, in ``ranges`` ranges if given: part (number of the sorted partition), pos, conv, place, text and role, written to the shared folder."""
     order = ["conv", "place", F.xxhash64("text")]
     role_column = F.col(role).cast("string") if role else F.lit(None).cast("string")
     source = parts.select(F.col(conversation).alias("conv"), F.col(place).alias("place"), F.col(text).alias("text"), role_column.alias("role"))
-    rows = source.repartitionByRange(*order).sortWithinPartitions(*order)
+    rows = source.repartitionByRange(*([ranges] if ranges else []), *order).sortWithinPartitions(*order)
     types = dict(source.dtypes)
 
     def number(batches):

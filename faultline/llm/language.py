@@ -141,11 +141,11 @@ def predict(docs: DataFrame, model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(best.astype(np.int32)), pa.array(top)], schema=None, names=schema.names)
 
     lettered = has_letter("text")
+    kept = [F.col(f"`{c}`") for c in docs.columns if c not in ("lang_pred", "score")]
     if not names:
-        return docs.select("*", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
+        return docs.select(*kept, F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
     scored = docs.mapInArrow(score, schema)
     known = F.array(*[F.lit(x) for x in names])
-    kept = [F.col(f"`{c}`") for c in docs.columns if c not in ("lang_pred", "score")]
     return scored.select(
         *kept, F.when(lettered, known[F.col(column)]).otherwise(UNKNOWN).alias("lang_pred"), F.when(lettered, F.col(f"{column}_score")).otherwise(0.0).alias("score")
     )
