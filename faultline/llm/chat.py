@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from faultline.llm.common import stored
 
@@ -247,6 +248,7 @@ def turns(held: DataFrame, model: Model) -> DataFrame:
     context = held.sparkSession.sparkContext
     shared = context.broadcast((model, _chained(model, held)))
     types = dict(held.dtypes)
+    keys = [to_arrow_type(held.schema[c].dataType) for c in ("conv", "place")]
 
     def render(batches):
         model, chained = shared.value
@@ -278,7 +280,7 @@ def turns(held: DataFrame, model: Model) -> DataFrame:
                     shown = (f"<|{role}|>\n" if starts else "") + text + ("\n<|end|>" if ends else "")
                     out.append((conv, row["place"], piece, role, starts, bool(ends), text, shown))
             names = ["conv", "place", "piece", "role", "starts", "ends", "text", "rendered"]
-            kinds = [None, None, pa.int32()] + [None] * 5
+            kinds = [*keys, pa.int32(), pa.string(), pa.bool_(), pa.bool_(), pa.string(), pa.string()]
             yield pa.record_batch([pa.array(v, t) for v, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
     return _sorted(held.select("part", "pos", "conv", "place", "text")).mapInArrow(
