@@ -46,7 +46,9 @@ def parse_syslog(df: DataFrame, rows: Column, out: str) -> DataFrame:
     pri = F.col("_pri")
     df = df.withColumn("_rest", X.strip(F.regexp_replace("_line", r"^<[+-]?[0-9]+>", "")))
     stamp = F.substring("_rest", 1, STAMP_LENGTH)
-    df = df.withColumn("_time", syslog_time(stamp, received_at))
+    long_enough = F.octet_length("_rest") >= STAMP_LENGTH
+    whole_stamp = (F.length(stamp) == STAMP_LENGTH) & long_enough
+    df = df.withColumn("_time", F.when(whole_stamp, syslog_time(stamp, received_at)))
     rest = F.when(
         F.col("_time").isNotNull(),
         X.strip(F.expr(f"substring(_rest, {STAMP_LENGTH + 1})")),

@@ -37,15 +37,16 @@ def dedup(
     """Add ``window_start``, ``is_novel`` and ``window_count`` (the count up to this event).
 
     Needs ``signature``, ``stream_id``, ``seq_no`` and the ``time`` column; equal times go by
-    stream and sequence number. Events without signature are always novel with count 1 and have
-    no window. ``events`` is read more than once: store it first when it is costly to compute.
+    stream and sequence number. Events without signature or time are always novel with count 1
+    and have no window. ``events`` is read more than once: store it first when it is costly to compute.
     """
-    width = window_micros(window_seconds)
+    width, hot_rows = window_micros(window_seconds), max(hot_rows, 1)
     keyed = events.withColumn("signature", or_empty(F.col("signature"))).withColumn(
         "_t", F.unix_micros(F.col(time).cast("timestamp"))
     )
-    signed = keyed.filter(F.col("signature") != "")
-    unsigned = keyed.filter(F.col("signature") == "").select(
+    placed = (F.col("signature") != "") & F.col("_t").isNotNull()
+    signed = keyed.filter(placed)
+    unsigned = keyed.filter(~placed).select(
         "*",
         F.lit(None).cast("bigint").alias("_window"),
         F.lit(True).alias("is_novel"),

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from faultline import schemas as S
+from faultline.functions.json_log import STRICT
 from faultline.functions.severity import severity_name
 from faultline.functions.text import or_empty, words
 from faultline.operators.dedup import window_micros
@@ -233,6 +234,8 @@ def diagnosis_tokens(diagnoses: DataFrame) -> DataFrame:
 
 # Response keys with the JSON types they may have; a null leaves the default.
 _RESPONSE_TYPES = {
+    "event_id": "^(STRING|VOID)$",
+    "signature": "^(STRING|VOID)$",
     "root_cause": "^(STRING|VOID)$",
     "severity": "^(STRING|VOID)$",
     "affected_component": "^(STRING|VOID)$",
@@ -243,28 +246,45 @@ _RESPONSE_TYPES = {
 }
 
 
+def _best_answers(answers: DataFrame) -> DataFrame:
+    """One answer per event id: a usable one if there is any."""
+    rest = [name for name in answers.columns if name != "event_id"]
+    ranked = F.struct((F.col("failure") == "").alias("_usable"), *rest)
+    best = answers.dropna(subset=["event_id"]).groupBy("event_id").agg(F.max(ranked).alias("_best"))
+    return best.select("event_id", *[F.col("_best")[name].alias(name) for name in rest])
+
+
 def responses(requested: DataFrame, answers: DataFrame) -> DataFrame:
     """Answers (``event_id``, HTTP ``status``, ``body``) to diagnoses, one per request.
 
     Event id and signature come from the request, whatever the answer says. ``failure`` is ''
-    for a usable answer; a missing answer or another status than 200 is a provider failure.
+    for a usable answer; a missing answer or another status than 200 is a provider failure. Keys
+    are matched without case, the last of equal ones counts. Of several answers to a request a
+    usable one is taken, and among equally usable ones the largest by value.
     """
     decoded = answers.withColumn(
         "_values",
         F.when(F.trim("body") == "null", F.from_json(F.lit("{}"), "map<string,variant>"))
-        .otherwise(F.from_json("body", "map<string,variant>", {"allowSingleQuotes": "false"})),
+        .otherwise(F.from_json("body", "map<string,variant>", STRICT)),
     )
     fits = F.col("_values").isNotNull()
+
+    def held(name: str) -> Column:
+        entries = F.map_entries("_values")
+        return F.try_element_at(
+            F.filter(entries, lambda entry: F.lower(entry["key"]) == name), F.lit(-1)
+        )["value"]
+
     for name, types in _RESPONSE_TYPES.items():
-        value = F.col("_values")[name]
+        value = held(name)
         fits = fits & (value.isNull() | F.rlike(F.schema_of_variant(value), F.lit(types)))
     decoded = decoded.withColumn("_fits", F.coalesce(fits, F.lit(False)))
 
     def value(name: str, type_name: str) -> Column:
-        return F.when(F.col("_fits"), F.col("_values")[name].try_cast(type_name))
+        return F.when(F.col("_fits"), held(name).try_cast(type_name))
 
     joined = requested.join(
-        decoded.select(
+        _best_answers(decoded.select(
             "event_id",
             F.when(F.col("status") != 200, F.format_string(
                 S.PROVIDER_FAILED + ": http status %d: %s", "status", or_empty(F.col("body"))
@@ -281,7 +301,7 @@ def responses(requested: DataFrame, answers: DataFrame) -> DataFrame:
             F.coalesce(value("confidence_score", "double"), F.lit(0.0)).alias("confidence_score"),
             or_empty(value("raw_response", "string")).alias("raw_response"),
             F.coalesce(value("tokens_used", "int"), F.lit(0)).alias("tokens_used"),
-        ),
+        )),
         "event_id",
         "left",
     )

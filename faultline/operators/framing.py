@@ -45,7 +45,7 @@ def _within_limit(text: Column, max_line_bytes: int, stop: bool) -> Column:
     if stop:
         kept = F.slice(lines, F.lit(1), (first - 1).cast("int"))
     else:
-        kept = F.transform(lines, lambda x: F.when(too_long(x, max_line_bytes), "").otherwise(x))
+        kept = F.filter(lines, lambda x: ~too_long(x, max_line_bytes))
     # A text below the limit has no long line; most streams skip the split.
     suspicious = too_long(text, max_line_bytes)
     return F.when(suspicious & (first > 0), F.array_join(kept, "\n")).otherwise(text)
@@ -67,13 +67,13 @@ def frame_text(
     streams: DataFrame,
     text: str = "text",
     max_line_bytes: int = DEFAULT_MAX_LINE_BYTES,
-    stop_at_long_line: bool = True,
+    stop_at_long_line: bool = False,
 ) -> DataFrame:
     """One row per stream (``stream_id``, ``source``, ``received_at``, whole text) to raw events.
 
-    Stack-trace streams use blocks, all others lines. A long line ends its stream after the
-    records before it; with ``stop_at_long_line=False`` only that line is left out, see
-    ``long_lines_of_text``. Works on streaming DataFrames too.
+    Stack-trace streams use blocks, all others lines. Long lines are left out, see
+    ``long_lines_of_text``; with ``stop_at_long_line`` the first ends its stream after the records
+    before it. Works on streaming DataFrames too.
     """
     bounded = streams.withColumn(
         "_text", _within_limit(F.col(text), max_line_bytes, stop_at_long_line)
@@ -117,12 +117,16 @@ def long_lines_of_text(
 
 
 def _bounded_lines(lines: DataFrame, max_line_bytes: int, stop: bool) -> DataFrame:
-    """Line rows with slices, long lines emptied or their streams cut."""
+    """Line rows with slices, without long lines or with their streams cut.
+
+    Rows without stream or source belong to the stream or source ''.
+    """
+    lines = lines.withColumns({name: X.or_empty(F.col(name)) for name in ("stream_id", "source")})
     if SLICE not in lines.columns:
         lines = sliced_by_position(lines, "line_no")
     long = too_long(F.col("line"), max_line_bytes)
     if not stop:
-        return lines.withColumn("line", F.when(long, "").otherwise(F.col("line")))
+        return lines.filter(~F.coalesce(long, F.lit(False)))
     place = F.struct(SLICE, "line_no")
     ends = lines.filter(long).groupBy("stream_id").agg(F.min(place).alias("_end"))
     return (
@@ -132,10 +136,24 @@ def _bounded_lines(lines: DataFrame, max_line_bytes: int, stop: bool) -> DataFra
     )
 
 
+def long_lines(
+    lines: DataFrame, max_line_bytes: int = DEFAULT_MAX_LINE_BYTES
+) -> DataFrame:
+    """Raw events of the long lines among line rows, numbered by line, for the dead letters."""
+    return lines.filter(too_long(F.col("line"), max_line_bytes)).select(
+        X.or_empty(F.col("source")).alias("source"),
+        F.col("line").alias("payload"),
+        X.or_empty(F.col("stream_id")).alias("stream_id"),
+        "received_at",
+        (F.col("line_no") + 1).cast("bigint").alias("seq_no"),
+        F.lit(S.LINE_TOO_LONG).alias("reason"),
+    )
+
+
 def frame_lines(
     lines: DataFrame,
     max_line_bytes: int = DEFAULT_MAX_LINE_BYTES,
-    stop_at_long_line: bool = True,
+    stop_at_long_line: bool = False,
 ) -> DataFrame:
     """Line rows (``stream_id``, ``source``, ``line_no``, ``line``, ``received_at``) to records.
 
@@ -154,7 +172,7 @@ def frame_lines(
 def frame_blocks(
     lines: DataFrame,
     max_line_bytes: int = DEFAULT_MAX_LINE_BYTES,
-    stop_at_long_line: bool = True,
+    stop_at_long_line: bool = False,
 ) -> DataFrame:
     """Line rows of stack-trace streams to one record per block.
 
@@ -185,24 +203,28 @@ def frame_blocks(
 def frame(
     lines: DataFrame,
     max_line_bytes: int = DEFAULT_MAX_LINE_BYTES,
-    stop_at_long_line: bool = True,
+    stop_at_long_line: bool = False,
 ) -> DataFrame:
     """Line rows of any source: blocks for stack traces, lines for the others."""
-    is_trace = F.col("source") == "stacktrace"
+    is_trace = F.col("source").eqNullSafe("stacktrace")
     options = (max_line_bytes, stop_at_long_line)
     return frame_blocks(lines.filter(is_trace), *options).unionByName(
         frame_lines(lines.filter(~is_trace), *options)
     )
 
 
-def number_file_lines(lines: DataFrame) -> DataFrame:
+def number_file_lines(
+    lines: DataFrame, max_line_bytes: int = DEFAULT_MAX_LINE_BYTES
+) -> DataFrame:
     """Line framing of files read in place: sequence numbers without moving the lines.
 
     Rows of a file split are contiguous and in order, so an id given after dropping empty lines
-    is dense inside the split; only one row per split is summed up across splits.
+    is dense inside the split; only one row per split is summed up across splits. Long lines are
+    left out; ``long_file_lines`` gives them for the dead letters.
     """
     kept = (
-        lines.withColumn("payload", F.regexp_replace("line", r"\r\z", ""))
+        lines.filter(~F.coalesce(too_long(F.col("line"), max_line_bytes), F.lit(False)))
+        .withColumn("payload", F.regexp_replace("line", r"\r\z", ""))
         .filter(F.col("payload") != "")
         .withColumn("_id", F.monotonically_increasing_id())
     )
@@ -224,3 +246,17 @@ def number_file_lines(lines: DataFrame) -> DataFrame:
         "received_at",
         (F.col("_id") + F.col("_shift") + 1).alias("seq_no"),
     )
+
+
+def long_file_lines(
+    lines: DataFrame, max_line_bytes: int = DEFAULT_MAX_LINE_BYTES
+) -> DataFrame:
+    """Raw events of the long lines of files; they have no number as files are not counted twice."""
+    return lines.filter(too_long(F.col("line"), max_line_bytes)).select(
+        "source",
+        F.col("line").alias("payload"),
+        "stream_id",
+        "received_at",
+        F.lit(None).cast("bigint").alias("seq_no"),
+        F.lit(S.LINE_TOO_LONG).alias("reason"),
+    )

@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from faultline.functions.text import or_empty
 from faultline.operators.slices import previous_value, sliced_by_range
 
 # Streams with more events than this are compared slice by slice.
@@ -28,8 +29,10 @@ def stats(normalized: DataFrame, *by: str) -> DataFrame:
 def sequence_gaps(events: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Rows whose sequence number does not follow the one received before in its stream.
 
-    ``missing`` counts skipped numbers, ``reordered`` marks a number below the one before.
+    ``missing`` counts skipped numbers, ``reordered`` marks a number below the one before. Rows
+    without stream are one stream named ''.
     """
+    events = events.withColumn("stream_id", or_empty(F.col("stream_id")))
     largest = events.groupBy("stream_id").count().agg(F.max("count")).first()[0] or 0
     order = ["received_at", "seq_no"]
     if largest <= hot_rows:

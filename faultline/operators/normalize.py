@@ -94,6 +94,7 @@ def normalize(
         "seq_no",
         "received_at",
         "payload",
+        *[name for name in ("attempt_count",) if name in raw.columns],
         "failed_step",
         F.when(raw_bad, F.col("_raw_errors")).otherwise(F.col("_event_errors")).alias("errors"),
         F.when(raw_bad, V.error_text(F.col("_raw_errors")))
@@ -112,8 +113,9 @@ def accepted(normalized: DataFrame) -> DataFrame:
 
 def rejected(normalized: DataFrame) -> DataFrame:
     """Raw events that failed a step, with the reason."""
+    carried = [name for name in ("attempt_count",) if name in normalized.columns]
     return normalized.filter(F.col("failed_step") != "").select(
-        "source", "payload", "stream_id", "received_at", "seq_no", "failed_step", "errors", "reason"
+        "source", "payload", "stream_id", "received_at", "seq_no", *carried, "failed_step", "errors", "reason"
     )
 
 

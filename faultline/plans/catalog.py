@@ -78,7 +78,8 @@ def _language_lines(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def long_lines_stop(spark: SparkSession, folder: str) -> DataFrame:
-    framed = R.frame_lines(_language_lines(spark, folder), max_line_bytes=LINE_BYTES)
+    lines = _language_lines(spark, folder)
+    framed = R.frame_lines(lines, max_line_bytes=LINE_BYTES, stop_at_long_line=True)
     return framed.select("stream_id", "seq_no", "payload")
 
 

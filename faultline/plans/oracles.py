@@ -348,7 +348,7 @@ CAST(sum(strlen(line)) AS BIGINT) AS bytes FROM lines WHERE line <> ''""",
     "dead_letter_round_trip": f"{JSON}, {LETTERS} {LETTER_COLUMNS}",
     "dead_letter_replay": f"{JSON} SELECT failed_step, reason, count(*) AS events FROM ev WHERE failed_step <> '' GROUP BY ALL",
     "retry_plan": f"""{JSON}, {LETTERS}, plan AS (SELECT *, attempt_count < 3 AND reason <> 'ingest: invalid json payload' AS eligible FROM letters)
-SELECT event_id, attempt_count, eligible, CAST(least(100 * pow(2, attempt_count), 5000) AS BIGINT) AS delay_cap_ms,
+SELECT event_id, attempt_count, eligible, CAST(least(100 * pow(2, greatest(attempt_count - 1, 0)), 5000) AS BIGINT) AS delay_cap_ms,
 eligible AS within_cap FROM plan""",
     "raw_validation": _validation(*RAW_CHECKS),
     "event_validation": _validation(*EVENT_CHECKS),

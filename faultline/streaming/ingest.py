@@ -1,6 +1,7 @@
 """Streaming ingest: normalized events to a table, rejects to the dead letters."""
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from faultline.operators.deadletter import dead_letters
 from faultline.operators.metrics import stats_columns
@@ -28,14 +29,16 @@ def start_ingest(
     table: str,
     letters: str,
     parsers=None,
-    attempts: int = 1,
+    attempts: int | None = None,
     failed_at: Column | None = None,
     trigger: dict | None = None,
+    counters: str | None = None,
 ):
     """Start a query that normalizes raw events, keeps accepted ones and files rejects.
 
     Both outputs of a batch are folders named after it and are overwritten when the batch runs
-    again, so a restart neither loses nor repeats rows.
+    again, so a restart neither loses nor repeats rows. With ``counters`` each batch also writes its
+    counts there, see ``counted_totals``.
     """
 
     def one_batch(batch: DataFrame, number: int) -> None:
@@ -47,6 +50,9 @@ def start_ingest(
                 f"{letters}/batch={number}",
                 mode="overwrite",
             )
+            if counters:
+                counts = events.agg(*stats_columns()).coalesce(1)
+                counts.write.mode("overwrite").parquet(f"{counters}/batch={number}")
         finally:
             events.unpersist()
 
@@ -69,7 +75,7 @@ def observed(normalized: DataFrame) -> DataFrame:
 
 
 def observed_totals(query) -> dict[str, int]:
-    """Sum of the counters over the batches the query remembers."""
+    """Sum of the counters over the batches the query remembers, the latest hundred as a rule."""
     totals: dict[str, int] = {}
     for progress in query.recentProgress:
         row = progress.observedMetrics.get(STATS)
@@ -77,3 +83,11 @@ def observed_totals(query) -> dict[str, int]:
             totals[name] = totals.get(name, 0) + value
     return totals
 
+
+def counted_totals(spark: SparkSession, counters: str) -> dict[str, int]:
+    """Sum of the counters over all batches that ``start_ingest`` has written, across restarts."""
+    schema = "ingested bigint, parsed bigint, errors bigint"
+    rows = spark.read.schema(schema).option("basePath", counters).parquet(counters)
+    names = ("ingested", "parsed", "errors")
+    row = rows.agg(*[F.coalesce(F.sum(name), F.lit(0)).alias(name) for name in names]).first()
+    return {name: row[name] for name in names}

@@ -64,8 +64,8 @@ def test_long_lines(spark):
     long = "x" * 5000
     texts = [f"one\n{long}\ntwo", "x" * 4095, "x" * 4096, f"t\n\tat a\n{long}\n\tat b"]
     for source in ("json", "stacktrace"):
-        stop = R.frame_text(streams(spark, texts, source), max_line_bytes=4096)
-        rows = R.frame(line_rows(spark, texts, source), max_line_bytes=4096)
+        stop = R.frame_text(streams(spark, texts, source), "text", 4096, True)
+        rows = R.frame(line_rows(spark, texts, source), 4096, True)
         assert payloads(stop) == payloads(rows)
     assert payloads(stop) == {"s0": ["one"], "s1": ["x" * 4095], "s3": ["t\n\tat a"]}
     keep = R.frame_text(streams(spark, texts, "json"), max_line_bytes=10, stop_at_long_line=False)
