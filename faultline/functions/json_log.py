@@ -48,20 +48,20 @@ def _number_literal(payload: Column, key: Column, value: Column) -> Column:
     return F.coalesce(F.try_element_at(same, F.lit(-1)), value.cast("string"))
 
 
-def _value(name: str) -> Column:
+def _value_sql(name: str) -> str:
     """Value of the key with this lower-case name; null when there is none.
 
-    The key lists run backwards, so that of a repeated key the last one counts.
+    The key lists run backwards, so that of a repeated key the last one counts. The lookups are SQL text because
+    a plan of many columns takes long to put together call by call.
     """
-    place = F.array_position("_names", name).cast("int")
-    return F.get("_values", place - 1)
+    return f"get(_values, CAST(array_position(_names, '{name}') AS INT) - 1)"
 
 
 def _first_text(names: tuple[str, ...]) -> Column:
     """Text under the first of the names that holds one."""
-    values = [_value(name) for name in names]
-    texts = [F.when(F.schema_of_variant(v) == "STRING", v.cast("string")) for v in values]
-    return X.or_empty(F.coalesce(*texts))
+    values = [_value_sql(name) for name in names]
+    texts = [f"CASE WHEN schema_of_variant({v}) = 'STRING' THEN CAST({v} AS STRING) END" for v in values]
+    return F.expr(f"coalesce({', '.join(texts)}, '')")
 
 
 def _frames(value: Column) -> Column:
@@ -77,10 +77,14 @@ def _frames(value: Column) -> Column:
 
 
 def _stack_frames() -> Column:
+    stacks = F.expr(f"array({', '.join(map(_value_sql, STACK_KEYS))})")
     none = F.array().cast("array<string>")
-    stacks = [F.coalesce(_frames(_value(name)), none) for name in STACK_KEYS]
-    present = F.arrays_overlap("_names", F.array(*map(F.lit, STACK_KEYS)))
-    return F.when(present, F.concat(*stacks)).otherwise(none)
+    return F.flatten(
+        F.transform(
+            F.filter(stacks, lambda stack: stack.isNotNull()),
+            lambda stack: F.coalesce(_frames(stack), none),
+        )
+    )
 
 
 def _extra_fields(document: Column, payload: Column) -> Column:
@@ -144,7 +148,8 @@ def _extra_fields_by_type(payload: Column) -> Column:
 def parse_json(df: DataFrame, rows: Column, out: str) -> DataFrame:
     """Add ``out`` (struct ``PARSED``) for the rows where ``rows`` holds, null elsewhere.
 
-    The object is decoded once per row. A ``null`` document counts as an empty object.
+    The object is decoded once per row. A ``null`` document counts as an empty object. The extra fields are a
+    column of their own, ``<out>_fields``, so that they cost nothing where nobody selects them.
     """
     payload = F.col("payload")
     null_document = F.rlike(payload, F.lit(r"^[ \t\r\n]*null(?![A-Za-z0-9_])"))
@@ -157,10 +162,9 @@ def parse_json(df: DataFrame, rows: Column, out: str) -> DataFrame:
         _names=F.reverse(F.transform(F.map_keys("_object"), F.lower)),
         _values=F.reverse(F.map_values("_object")),
     ).drop("_object")
-    time = F.coalesce(*[_value(name) for name in TIME_KEYS])
-    time_key = F.coalesce(
-        *[F.when(F.array_contains("_names", name), F.lit(name)) for name in TIME_KEYS]
-    )
+    time = F.expr(f"coalesce({', '.join(map(_value_sql, TIME_KEYS))})")
+    time_names = [f"WHEN array_contains(_names, '{name}') THEN '{name}'" for name in TIME_KEYS]
+    time_key = F.expr(f"CASE {' '.join(time_names)} END")
     df = compute_once(
         df,
         _level=F.lower(_first_text(LEVEL_KEYS)),
@@ -182,13 +186,15 @@ def parse_json(df: DataFrame, rows: Column, out: str) -> DataFrame:
         _first_text(HOST_KEYS).alias("host"),
         _first_text(MESSAGE_KEYS).alias("message"),
         _stack_frames().alias("stack_frames"),
-        _extra_fields(document, payload).alias("fields"),
+        F.lit(None).alias("fields"),
         F.lit("").alias("error"),
     ).cast(S.PARSED)
     failure = parse_failure(
         F.when(X.or_empty(payload) == "", S.EMPTY_PAYLOAD).otherwise(S.INVALID_JSON)
     )
-    parsed = F.when(F.col("_keys").isNotNull(), event).otherwise(failure)
-    return df.withColumn(out, F.when(rows, parsed)).drop(
+    is_object = F.col("_keys").isNotNull()
+    parsed = F.when(is_object, event).otherwise(failure)
+    fields = F.when(is_object, _extra_fields(document, payload)).cast("map<string,string>")
+    return df.withColumns({out: F.when(rows, parsed), f"{out}_fields": fields}).drop(
         "_keys", "_names", "_values", "_level", "_service", "_time_kind", "_time_text"
     )

@@ -15,13 +15,14 @@ from faultline.functions.stacktrace import parse_stacktrace
 from faultline.functions.syslog import parse_syslog
 from faultline.functions.text import or_empty
 
-# Source name to parser. A parser adds one struct column for the rows it is given; callers
-# may pass their own table to replace one or to serve more sources.
+# Source name to parser. A parser adds one struct column for the rows it is given, and may add the
+# fields as a column of their own (see ``parse_json``); callers may pass their own table to replace one
+# or to serve more sources.
 PARSERS = {"json": parse_json, "syslog": parse_syslog, "stacktrace": parse_stacktrace}
 
 
 def parse(raw: DataFrame, parsers=None, rows: Column | None = None) -> DataFrame:
-    """Route every row to the parser of its source; adds ``parsed`` (struct ``PARSED``).
+    """Route every row to the parser of its source; adds ``parsed`` (struct ``PARSED``) and ``fields``.
 
     All parsers work on the same scan: a row takes the branch of its source and skips the
     others. Rows outside ``rows`` stay unparsed, sources without parser get an error.
@@ -38,7 +39,9 @@ def parse(raw: DataFrame, parsers=None, rows: Column | None = None) -> DataFrame
         F.format_string(S.UNHANDLED_SOURCE + ': "%s"', or_empty(F.col("source")))
     )
     parsed = F.coalesce(*outs, unhandled)
-    return compute_once(df, parsed=F.when(wanted, parsed)).drop(*outs)
+    apart = [name for name in (f"{out}_fields" for out in outs) if name in df.columns]
+    df = compute_once(df, parsed=F.when(wanted, parsed)).drop(*outs)
+    return df.withColumn("fields", F.coalesce(F.col("parsed")["fields"], *apart)).drop(*apart)
 
 
 def normalize(
@@ -86,7 +89,7 @@ def normalize(
         or_empty(parsed["host"]).alias("host"),
         or_empty(parsed["message"]).alias("message"),
         F.coalesce(parsed["stack_frames"], F.array().cast("array<string>")).alias("stack_frames"),
-        parsed["fields"].alias("fields"),
+        "fields",
         G.signature(F.col("template")).alias("signature"),
         "template",
         F.octet_length("payload").alias("raw_size"),
