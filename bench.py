@@ -77,9 +77,10 @@ def main() -> None:
             seconds[name] = round(time.perf_counter() - start, 3)
         rates[name] = round(rows / seconds[name])
     for name in ("error_incidents", "routed_events", "template_catalogue"):
-        start = time.perf_counter()
-        C.QUERIES[name](spark, FOLDER).write.format("noop").mode("overwrite").save()
-        seconds[name] = round(time.perf_counter() - start, 3)
+        for _ in range(2):
+            start = time.perf_counter()
+            C.QUERIES[name](spark, FOLDER).write.format("noop").mode("overwrite").save()
+            seconds[name] = round(time.perf_counter() - start, 3)
     print(
         json.dumps(
             {

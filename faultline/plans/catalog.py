@@ -19,6 +19,7 @@ from faultline.plans import inputs as I
 from faultline.session import materialize, new_folder
 from faultline.sources import jsonl, text as files
 from faultline.streaming import dedup as stream_dedup
+from faultline.streaming import frames as stream_frames
 from faultline.streaming import ingest as stream_ingest
 
 HOUR = 3600
@@ -700,6 +701,31 @@ def stream_dead_letters(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _over_files(spark: SparkSession, folder: str, source: str) -> DataFrame:
+    """Documents as files of three log streams, a hundred documents a file, framed in two runs of one query."""
+    path, records, state = (new_folder(spark, name) for name in ("log-files", "records", "framing"))
+    lines = I.trace_lines(spark, folder).select(
+        "line", "line_no", F.expr("CAST(substring(stream_id, 5) AS BIGINT)").alias("doc")
+    )
+    half = (lines.agg(F.max("doc")).first()[0] or 0) // 200
+    placed = lines.withColumns({"log": F.expr("doc % 3"), "chunk": F.expr("lpad(doc div 100, 9, '0')")})
+    for part in (F.expr("doc div 100") <= half, F.expr("doc div 100") > half):
+        ordered = placed.filter(part).repartition("log", "chunk").sortWithinPartitions("log", "chunk", "doc", "line_no")
+        ordered.select("log", "chunk", "line").write.mode("append").partitionBy("log", "chunk").text(path)
+        stream = F.concat(F.lit("log-"), F.regexp_extract("_metadata.file_path", "log=([0-9]+)", 1))
+        stream_frames.run_framing(stream_frames.stream_lines(spark, path, source, stream), records, state)
+    columns = ["stream_id", "seq_no", "payload"]
+    return spark.read.parquet(records).select(columns).union(stream_frames.open_blocks(spark, state).select(columns))
+
+
+def stream_lines_over_files(spark: SparkSession, folder: str) -> DataFrame:
+    return _over_files(spark, folder, "json")
+
+
+def stream_blocks_over_files(spark: SparkSession, folder: str) -> DataFrame:
+    return _over_files(spark, folder, "stacktrace")
+
+
 QUERIES = {
     query.__name__: query
     for query in (
@@ -767,5 +793,7 @@ QUERIES = {
         stream_dedup_events,
         stream_traces,
         stream_dead_letters,
+        stream_lines_over_files,
+        stream_blocks_over_files,
     )
 }

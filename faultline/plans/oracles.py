@@ -152,6 +152,13 @@ ev AS (SELECT stream_id || '-' || seq_no AS event_id, stream_id AS service, part
   CASE WHEN regexp_matches(lower(parts[1]), 'panic|fatal|critical') THEN 5 ELSE 4 END AS severity,
   parts[2:] AS frames, strlen(payload) AS raw_size, payload FROM traces)"""
 
+# The documents of three streams, one after the other.
+LOG_LINES = (
+    "lines AS (SELECT 'log-' || (doc % 3) AS stream_id, line,"
+    " row_number() OVER (PARTITION BY doc % 3 ORDER BY doc, line_no) AS line_no"
+    f" FROM (SELECT *, CAST(substr(stream_id, 5) AS BIGINT) AS doc FROM ({I.TRACE_LINES})))"
+)
+
 LANGUAGE_LINES = (
     "lines AS (SELECT lang || '/' || source AS stream_id, doc_id AS line_no,"
     f" replace(text, chr(10), ' ') AS line, strlen(text) >= {C.LINE_BYTES} AS long FROM documents)"
@@ -326,6 +333,9 @@ ORACLES = {
     "frame_lines_of_rows": FRAMED_LINES,
     "frame_blocks_of_text": FRAMED_BLOCKS,
     "frame_blocks_of_rows": FRAMED_BLOCKS,
+    "stream_lines_over_files": f"WITH {LOG_LINES} SELECT stream_id, row_number() OVER (PARTITION BY stream_id ORDER BY line_no)"
+    " AS seq_no, line AS payload FROM lines WHERE line <> ''",
+    "stream_blocks_over_files": f"WITH {LOG_LINES}, {_blocks('lines')} SELECT stream_id, seq_no, payload FROM blocks",
     "frame_by_source": f"""WITH {LINES}, traces AS (SELECT * FROM lines WHERE stream_id LIKE '%7'), {_blocks('traces')}
 SELECT 'stacktrace' AS source, stream_id, seq_no, payload FROM blocks UNION ALL
 SELECT 'syslog', stream_id, row_number() OVER (PARTITION BY stream_id ORDER BY line_no), line

@@ -55,15 +55,3 @@ def stream_files(
         F.col("value").alias("text"),
         _received(received_at).alias("received_at"),
     )
-
-
-def stream_lines(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
-    """New files of a folder as unordered line rows; order them inside ``foreachBatch``."""
-    reader = spark.readStream.option("lineSep", LINE_END)
-    if files_per_batch:
-        reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return reader.text(path).select(
-        F.col("_metadata.file_path").alias("stream_id"),
-        F.col("_metadata.file_block_start").alias(SLICE),
-        F.col("value").alias("line"),
-    )
