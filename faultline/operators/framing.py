@@ -11,7 +11,6 @@ from faultline import schemas as S
 from faultline.functions import text as X
 from faultline.operators.slices import (
     SLICE,
-    previous_value,
     running_total,
     sliced_by_position,
 )
@@ -177,23 +176,68 @@ def frame_blocks(
     """Line rows of stack-trace streams to one record per block.
 
     A line opens a block when it has text and is no continuation of an open block; a block is
-    open exactly when the line before had text. ``received_at`` is that of the last line.
+    open exactly when the line before had text. ``received_at`` is that of the last line. Blocks
+    are built and numbered slice by slice; one row per slice is carried to the next ones, and a
+    block cut by a slice end is put together again by its number.
     """
+    in_slice = Window.partitionBy("stream_id", SLICE).orderBy("line_no")
     marked = (
         _bounded_lines(lines, max_line_bytes, stop_at_long_line)
         .withColumn("_bare", X.chomp(F.col("line")))
-        .withColumn("_has_text", F.col("_bare") != "")
+        .withColumn("_has_text", F.coalesce(F.col("_bare") != "", F.lit(False)))
+        .withColumn("_open", F.lag("_has_text").over(in_slice))
     )
-    marked = previous_value(marked, ["stream_id"], ["line_no"], "_has_text", "_open")
-    continues = F.rlike("line", F.lit(rf"\A{CONTINUATION}")) & F.coalesce("_open", F.lit(False))
-    starts = (F.col("_has_text") & ~continues).cast("bigint")
-    numbered = running_total(marked, ["stream_id"], ["line_no"], starts, "seq_no")
-    parts = F.sort_array(F.collect_list(F.struct(SLICE, "line_no", "_bare")))
-    return (
+    # The first line of a slice counts as a start here; the carried values put that right.
+    continues = F.rlike("line", F.lit(rf"\A{CONTINUATION}")) & F.col("_has_text")
+    starts = F.col("_has_text") & ~(continues & F.coalesce("_open", F.lit(False)))
+    numbered = marked.withColumns(
+        {
+            "_hangs": continues & F.col("_open").isNull(),
+            "_inside": F.sum(starts.cast("bigint")).over(
+                in_slice.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+            ),
+        }
+    )
+    slices = Window.partitionBy("stream_id").orderBy(SLICE)
+    carried = (
+        numbered.groupBy("stream_id", SLICE)
+        .agg(
+            F.max("_inside").alias("_starts"),
+            F.max_by("_has_text", "line_no").alias("_ends_open"),
+            F.bool_or("_hangs").alias("_hangs"),
+        )
+        .withColumn(
+            "_goes_on",
+            (F.col("_hangs") & F.lag("_ends_open", 1, False).over(slices)).cast("bigint"),
+        )
+        .select(
+            "stream_id",
+            SLICE,
+            (
+                F.sum(F.col("_starts") - F.col("_goes_on")).over(
+                    slices.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+                )
+                - F.col("_starts")
+            ).alias("_carried"),
+        )
+    )
+    parts = F.sort_array(F.collect_list(F.struct("line_no", "_bare")))
+    pieces = (
         numbered.filter("_has_text")
-        .groupBy("source", "stream_id", "seq_no")
+        .groupBy("source", "stream_id", SLICE, "_inside")
+        .agg(
+            F.array_join(F.transform(parts, lambda part: part["_bare"]), "\n").alias("_piece"),
+            F.max("received_at").alias("received_at"),
+        )
+    )
+    pieces = pieces.join(carried, ["stream_id", SLICE]).withColumn(
+        "seq_no", F.col("_carried") + F.col("_inside")
+    )
+    parts = F.sort_array(F.collect_list(F.struct(SLICE, "_piece")))
+    return (
+        pieces.groupBy("source", "stream_id", "seq_no")
         .agg(
-            F.array_join(F.transform(parts, lambda part: part["_bare"]), "\n").alias("payload"),
+            F.array_join(F.transform(parts, lambda part: part["_piece"]), "\n").alias("payload"),
             F.max("received_at").alias("received_at"),
         )
         .select("source", "payload", "stream_id", "received_at", "seq_no")

@@ -1,6 +1,7 @@
 """Null keys and times, odd answers, retries, long lines and counters: nothing is lost."""
 
 import datetime
+import random
 
 from pyspark.sql import functions as F
 
@@ -11,6 +12,7 @@ from faultline.operators import diagnose as P
 from faultline.operators import framing as R
 from faultline.operators import metrics as M
 from faultline.operators import normalize as N
+from faultline.operators.slices import sliced_by_position
 from faultline.session import materialize
 from faultline.streaming import ingest
 
@@ -57,6 +59,43 @@ def test_a_long_line_does_not_split_its_block(spark):
     assert R.number_file_lines(files, 4096).count() == 4 and R.long_file_lines(files, 4096).count() == 1
 
 
+def trace_lines(spark, count=400, seed=5):
+    rng = random.Random(seed)
+    kinds = ["error x", "\tat a", "", "    more", "plain", "at b", "\r", None, " at c"]
+    rows = [
+        ("stacktrace", stream, n, rng.choices(kinds, [3, 6, 1, 3, 1, 2, 1, 1, 2])[0])
+        for stream in ("s", "t") for n in range(count)
+    ]
+    lines = spark.createDataFrame(rows, "source string, stream_id string, line_no bigint, line string")
+    return lines.withColumn("received_at", F.lit(AT))
+
+
+def test_blocks_do_not_depend_on_slices(spark):
+    lines = trace_lines(spark)
+    one, *others = (
+        sorted(
+            (r.stream_id, r.seq_no, r.payload)
+            for r in R.frame_blocks(sliced_by_position(lines, "line_no", rows)).collect()
+        )
+        for rows in (1000, 1, 3, 17)
+    )
+    assert one and all(other == one for other in others)
+    dense = lines.fillna("", ["line"])
+    framed = sorted((r.stream_id, r.seq_no, r.payload) for r in R.frame_blocks(dense).collect())
+    in_order = F.sort_array(F.collect_list(F.struct("line_no", "line")))
+    texts = dense.groupBy("source", "stream_id", "received_at").agg(
+        F.array_join(F.transform(in_order, lambda x: x["line"]), "\n").alias("text")
+    )
+    assert framed == sorted((r.stream_id, r.seq_no, r.payload) for r in R.frame_text(texts).collect())
+
+
+def test_blocks_read_their_input_twice(spark, tmp_path):
+    trace_lines(spark).write.parquet(str(tmp_path / "lines"))
+    framed = R.frame_blocks(spark.read.parquet(str(tmp_path / "lines")))
+    plan = framed._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") <= 2 and plan.count("Exchange ") <= 5
+
+
 def test_answers(spark):
     asked = spark.createDataFrame([(k, "sig") for k in "abcde"], "event_id string, signature string")
     answers = [
