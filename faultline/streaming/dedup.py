@@ -75,20 +75,23 @@ def dedup_stream(
     """Streaming form of ``dedup``: same columns added, state per signature between batches.
 
     Within a batch the events of a signature go by time; an event older than the open window
-    counts as duplicate. With ``lateness_seconds`` the stream gets a watermark, records are
-    evicted one window length after they were last seen, and events later than that are dropped
-    by the watermark. Without it nothing is dropped and every signature keeps its last record.
-    Pass narrow rows: they travel to the workers with the state.
+    counts as duplicate. Events without signature or time are novel and have no window.
+
+    With ``lateness_seconds`` the stream gets a watermark, records are evicted one window length
+    after they were last seen, and events later than that are dropped by the watermark. Without
+    it nothing is dropped and every signature keeps its last record. Pass narrow rows: they
+    travel to the workers with the state.
     """
     width = window_micros(window_seconds)
     keyed = events.withColumn("signature", or_empty(F.col("signature")))
-    unsigned = keyed.filter(F.col("signature") == "").select(
+    placed = (F.col("signature") != "") & F.col(time).isNotNull()
+    unsigned = keyed.filter(~placed).select(
         "*",
         F.lit(None).cast("timestamp").alias("window_start"),
         F.lit(True).alias("is_novel"),
         F.lit(1).cast("bigint").alias("window_count"),
     )
-    signed = keyed.filter(F.col("signature") != "")
+    signed = keyed.filter(placed)
     evict = lateness_seconds is not None
     if evict:
         signed = signed.withWatermark(time, f"{int(lateness_seconds * 1000)} milliseconds")

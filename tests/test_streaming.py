@@ -40,6 +40,15 @@ def test_eviction_by_watermark_keeps_results(spark, tmp_path):
     assert found(stored) == windows(rows, 1_000_000)
 
 
+def test_stream_events_without_time_are_novel(spark, tmp_path):
+    rows = [("k", "st", 1, START), ("k", "st", 2, None), ("k", "st", 3, START), ("k", "st", 4, None)]
+    spark.createDataFrame(rows, COLUMNS).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(COLUMNS).parquet(str(tmp_path / "in"))
+    stored = ingest.run_to_table(stream_dedup.dedup_stream(stream, 1), str(tmp_path / "out"))
+    got = sorted((r.seq_no, r.is_novel, micros(r.window_start)) for r in stored.collect())
+    assert got == [(1, True, 0), (2, True, None), (3, False, 0), (4, True, None)]
+
+
 def test_late_event_counts_as_duplicate(spark, tmp_path):
     batches = [[("k", 5_000_000, "st", 1)], [("k", 4_900_000, "st", 2)], [("k", 5_100_000, "st", 3)]]
     stream = arriving(spark, tmp_path / "in", batches)
