@@ -8,14 +8,14 @@ from pyspark.sql import functions as F
 from faultline import schemas as S
 from faultline.functions.json_log import STRICT
 from faultline.functions.severity import severity_name
-from faultline.functions.text import or_empty, words
+from faultline.functions.text import or_empty
 from faultline.operators.dedup import window_micros
 
-# Model, sampling temperature and the scores of a rule diagnosis.
+# Model and sampling temperature.
 DEFAULT_MODEL = "gemini-1.5-flash"
 TEMPERATURE = 0.1
-RULE_CONFIDENCE = 0.94
-RULE_TOKENS = 320
+# A table of rules becomes one expression, so it may not grow with the data.
+MAX_RULES = 500
 
 
 class Rule(NamedTuple):
@@ -190,14 +190,50 @@ def _outcome(rule: Rule) -> Column:
         (F.lit(rule.component) if rule.component else F.col("service")).alias(
             "affected_component"
         ),
-        F.array(*[_filled(command) for command in rule.commands]).alias("fix_commands"),
+        F.array(*[_filled(command) for command in rule.commands])
+        .cast("array<string>")
+        .alias("fix_commands"),
+    )
+
+
+def rules_of(table: DataFrame, most: int = MAX_RULES) -> tuple[Rule, ...]:
+    """Rules from a table: ``priority``, ``phrases`` and ``commands`` (arrays of text), ``root_cause``, ``severity``, ``component``.
+
+    The lowest priority comes first, null ones last and equal ones by cause and phrases. Absent
+    texts are '', absent arrays and their null entries are left out, phrases match without case;
+    a rule without phrases never matches. A table of more than ``most`` rules is refused.
+    """
+    rows = table.select("priority", *Rule._fields).limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rules")
+
+    def texts(values):
+        return tuple(value for value in values or () if value is not None)
+
+    found = [
+        (
+            (row.priority is None, row.priority or 0),
+            Rule(
+                tuple(phrase.lower() for phrase in texts(row.phrases)),
+                row.root_cause or "",
+                row.severity or "",
+                row.component or "",
+                texts(row.commands),
+            ),
+        )
+        for row in rows
+    ]
+    return tuple(
+        rule for _, rule in sorted(found, key=lambda x: (x[0], x[1].root_cause, x[1].phrases))
     )
 
 
 def diagnose(incidents: DataFrame, rules=RULES, otherwise: Rule = OTHERWISE) -> DataFrame:
     """Rule diagnosis (``DIAGNOSIS`` without raw response) and ``failure`` per incident.
 
-    A row without event id has no event to diagnose and gets a failure instead.
+    The first rule that matches counts, see ``rules_of`` for rules in a table. Nothing measures
+    how sure a rule is, so confidence and tokens are null. A row without event id has no event to
+    diagnose and gets a failure instead.
     """
     message = F.lower("message")
     found = _outcome(otherwise)
@@ -216,20 +252,18 @@ def diagnose(incidents: DataFrame, rules=RULES, otherwise: Rule = OTHERWISE) ->
         "event_id",
         "signature",
         "_d.*",
-        F.when(has_event, F.lit(RULE_CONFIDENCE)).alias("confidence_score"),
-        F.when(has_event, F.lit(RULE_TOKENS)).alias("tokens_used"),
+        F.lit(None).cast("double").alias("confidence_score"),
+        F.lit(None).cast("int").alias("tokens_used"),
         "failure",
     )
 
 
-def diagnosis_tokens(diagnoses: DataFrame) -> DataFrame:
-    """Cause and fixes as single words with their place, as a reader would see them arrive."""
+def diagnosis_texts(diagnoses: DataFrame) -> DataFrame:
+    """Cause and fixes of every diagnosis as one text, as a report shows them."""
     text = F.concat(
         F.col("root_cause"), F.lit("\nFixes: "), F.array_join("fix_commands", "; ")
     )
-    return diagnoses.filter(F.col("failure") == "").select(
-        "event_id", F.posexplode(words(text)).alias("place", "token")
-    )
+    return diagnoses.filter(F.col("failure") == "").select("event_id", text.alias("text"))
 
 
 # Response keys with the JSON types they may have; a null leaves the default.

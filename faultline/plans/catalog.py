@@ -592,8 +592,22 @@ def rule_diagnosis(spark: SparkSession, folder: str) -> DataFrame:
     return _diagnosis_columns(P.diagnose(_incidents(spark, folder)))
 
 
-def diagnosis_tokens(spark: SparkSession, folder: str) -> DataFrame:
-    return P.diagnosis_tokens(P.diagnose(_incidents(spark, folder)))
+def diagnosis_texts(spark: SparkSession, folder: str) -> DataFrame:
+    return P.diagnosis_texts(P.diagnose(_incidents(spark, folder)))
+
+
+def table_rule_diagnosis(spark: SparkSession, folder: str) -> DataFrame:
+    """Rules taken from a table: one for each nation, for messages with its key or name."""
+    nation = F.lower("n_name")
+    by_nation = spark.read.parquet(f"{folder}/nation.parquet").select(
+        (F.lit(100) - F.col("n_nationkey")).alias("priority"),
+        F.array(nation, F.concat(F.lit("AFTER "), F.col("n_nationkey"))).alias("phrases"),
+        F.concat(F.lit("trouble in "), nation).alias("root_cause"),
+        F.lit("warn").alias("severity"),
+        F.lit(None).cast("string").alias("component"),
+        F.array(F.concat(F.lit("page {service} of "), nation)).alias("commands"),
+    )
+    return _diagnosis_columns(P.diagnose(_incidents(spark, folder), P.rules_of(by_nation)))
 
 
 def missing_events(spark: SparkSession, folder: str) -> DataFrame:
@@ -788,7 +802,8 @@ QUERIES = {
         diagnosis_requests,
         diagnosis_responses,
         rule_diagnosis,
-        diagnosis_tokens,
+        diagnosis_texts,
+        table_rule_diagnosis,
         missing_events,
         stream_dedup_events,
         stream_traces,

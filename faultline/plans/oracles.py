@@ -434,9 +434,14 @@ CAST(CASE WHEN k > 3 THEN seq_no WHEN k = 0 THEN NULL ELSE 0 END AS INTEGER) AS
 CASE WHEN k > 3 THEN '' WHEN k = 0 THEN 'llm: provider request failed' WHEN k = 1 THEN 'llm: provider request failed: http status 503: busy'
 ELSE 'llm: invalid json response from provider' END AS failure FROM asked""",
     "rule_diagnosis": f"""{DIAGNOSED} SELECT event_id, signature, root_cause, severity, affected_component, array_to_string(commands, '|') AS fix_commands,
-94 AS confidence_percent, 320 AS tokens_used, '' AS failure FROM diagnosed""",
-    "diagnosis_tokens": f"""{DIAGNOSED}, split AS (SELECT event_id, regexp_split_to_array(root_cause || ' Fixes: ' || array_to_string(commands, '; '), '\\s+') AS w FROM diagnosed)
-SELECT event_id, CAST(generate_subscripts(w, 1) - 1 AS INTEGER) AS place, unnest(w) AS token FROM split""",
+CAST(NULL AS INTEGER) AS confidence_percent, CAST(NULL AS INTEGER) AS tokens_used, '' AS failure FROM diagnosed""",
+    "diagnosis_texts": f"""{DIAGNOSED} SELECT event_id, root_cause || chr(10) || 'Fixes: ' || array_to_string(commands, '; ') AS text FROM diagnosed""",
+    "table_rule_diagnosis": f"""{INCIDENTS}, ruled AS (SELECT i.*, (SELECT max(n_nationkey) FROM nation
+  WHERE contains(lower(message), 'after ' || n_nationkey) OR contains(lower(message), lower(n_name))) AS rule FROM incident i)
+SELECT event_id, signature, CASE WHEN rule IS NULL THEN 'Unhandled application error: ' || message ELSE 'trouble in ' || lower(n_name) END AS root_cause,
+CASE WHEN rule IS NULL THEN {NAME.format(s='severity')} ELSE 'warn' END AS severity, service AS affected_component,
+CASE WHEN rule IS NULL THEN 'kubectl logs -l app=' || service || ' --tail=100' ELSE 'page ' || service || ' of ' || lower(n_name) END AS fix_commands,
+CAST(NULL AS INTEGER) AS confidence_percent, CAST(NULL AS INTEGER) AS tokens_used, '' AS failure FROM ruled LEFT JOIN nation ON rule = n_nationkey""",
     "missing_events": f"""WITH {INCIDENT}, asked AS (SELECT seq_no % 4 <> 0 AS has FROM ok WHERE severity >= 4)
 SELECT CASE WHEN has THEN '' ELSE 'llm: nil diagnosis request' END AS failure, count(*) AS requests,
 CAST(count_if(has) AS BIGINT) AS diagnoses FROM asked GROUP BY has""",
