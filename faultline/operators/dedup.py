@@ -4,19 +4,17 @@ The first event of a signature opens a window at its own time. Events less than
 length after that are duplicates; the first one at or beyond it opens the next window.
 """
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from faultline.functions.text import or_empty
 from faultline.operators.anchors import anchors
-from faultline.operators.slices import running_total, sliced_by_range
+from faultline.operators.slices import SLICE, sliced_by_range
 from faultline.session import materialize
 
 DEFAULT_WINDOW_SECONDS = 300
 # Signatures with more events than this are spread over many tasks.
 HOT_ROWS = 2_000_000
-# Parts a hot signature and time bucket is split into when events look up their window.
-SALTS = 32
 # Hot signatures up to this count are sent to every task; it bounds the size of that table.
 MAX_BROADCAST_KEYS = 100_000
 
@@ -142,32 +140,66 @@ def _scan_windows(signed: DataFrame, width: int) -> DataFrame:
 def _spread_windows(signed: DataFrame, width: int, hot_rows: int) -> DataFrame:
     """Windows of signatures too frequent for one task.
 
-    The window starts come from the distinct times; an event lies less than one window length
-    after its start, so it finds the start by equi-join in its own or the bucket before. The
-    count inside a window is a running total over range slices.
+    The window starts come from the distinct times and join the events as rows of their own, put
+    before the events of that time. One range sort then brings every event behind its start:
+    inside a slice both the start and the count are running values, and one row per slice
+    carries the open window to the next slices.
     """
     times = signed.groupBy("signature", "_t").agg(F.lit(1).alias("_one")).drop("_one")
     starts = anchors(times, "signature", "_t", width, hot_rows)
-    bucket = F.floor(F.col("_t") / width).cast("bigint")
-    reach = starts.select(
-        "signature",
-        F.col("_t").alias("_window"),
-        F.explode(F.array(bucket, bucket + 1)).alias("_bucket"),
-    ).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salt = F.pmod(F.xxhash64("stream_id", "seq_no"), F.lit(SALTS)).cast("int")
-    placed = (
-        signed.withColumn("_bucket", bucket)
-        .withColumn("_salt", salt)
-        .join(reach, ["signature", "_bucket", "_salt"])
-        .filter((F.col("_window") <= F.col("_t")) & (F.col("_t") < F.col("_window") + width))
-        .drop("_bucket", "_salt")
+    # 0 for a start, 1 for an event: also what a row adds to the count.
+    rows = signed.withColumn("_event", F.lit(1)).unionByName(
+        starts.select("signature", "_t", F.lit(0).alias("_event")), allowMissingColumns=True
     )
-    order = ["_t", "stream_id", "seq_no"]
-    sliced = sliced_by_range(placed, ["signature", "_window"], order)
-    counted = running_total(
-        sliced, ["signature", "_window"], order, F.lit(1), "window_count"
+    order = ["_t", "_event", "stream_id", "seq_no"]
+    sliced = sliced_by_range(rows, ["signature"], order)
+    inside = (
+        Window.partitionBy("signature", SLICE)
+        .orderBy(*order)
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    opens = F.col("_event") == 0
+    placed = sliced.withColumns(
+        {
+            "_start": F.max(F.when(opens, F.col("_t"))).over(inside),
+            "_seen": F.sum("_event").over(inside),
+        }
+    ).withColumn("_before", F.max(F.when(opens, F.col("_seen"))).over(inside))
+    slices = Window.partitionBy("signature").orderBy(SLICE)
+    so_far = slices.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    since_start = (
+        Window.partitionBy("signature", "_held_start")
+        .orderBy(SLICE)
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    carried = (
+        placed.groupBy("signature", SLICE)
+        .agg(
+            F.max("_start").alias("_last"),
+            (F.max("_seen") - F.coalesce(F.max("_before"), F.lit(0))).alias("_tail"),
+        )
+        .withColumn("_held_start", F.max("_last").over(so_far))
+        .withColumn("_held", F.sum("_tail").over(since_start))
+        .select(
+            "signature",
+            SLICE,
+            F.lag("_held_start").over(slices).alias("_open_start"),
+            F.lag("_held").over(slices).alias("_open_count"),
+        )
+    )
+    count = F.col("_seen") + F.when(F.col("_start").isNull(), F.col("_open_count")).otherwise(
+        -F.col("_before")
+    )
+    return (
+        placed.filter(~opens)
+        .join(carried, ["signature", SLICE])
+        .select(
+            *signed.columns,
+            F.coalesce("_start", "_open_start").alias("_window"),
+            (count == 1).alias("is_novel"),
+            count.alias("window_count"),
+        )
     )
-    return counted.withColumn("is_novel", F.col("window_count") == 1).drop("_slice")
 
 
 def novel(deduped: DataFrame) -> DataFrame:
