@@ -8,7 +8,8 @@ distance in double precision. Every row is in the index.
 The number of probes is fitted: on a bounded sample (``sample_rows`` rows, ``sample_queries`` queries, by hash of the id) the true
 neighbours are computed, and the smallest number that finds the target share of them is taken. A sample is thinner than
 the table, its neighbours are farther, so the full table does better. Where directions say little (norms that differ, for
-one), the fit rises to all axes, which is an exhaustive search.
+one), the fit rises to all axes, which is an exhaustive search. Queries that find fewer than k rows though there are more, and
+all queries of a dimension the sample says nothing about, are searched again over all axes of one table: exhaustively.
 
 Buckets are dealt into blocks of bounded size on both sides, so hot buckets are many tasks; a task returns at most k rows a
 query. Rules: unusable vectors (null, empty, zero, null or non-finite components) and other dimensions than the query's
@@ -72,12 +73,12 @@ def nearest(x: np.ndarray, ids: np.ndarray, uids: np.ndarray, q: np.ndarray, q_u
     return row[rank < k], col[rank < k], exact[rank < k]
 
 
-def fit_probes(held: DataFrame, is_query, k: int, tables: int, recall: float, sample_rows: int, sample_queries: int) -> int:
-    """The smallest number of probes that reaches ``recall`` on the sample, at least 1."""
+def fit_probes(held: DataFrame, is_query, k: int, tables: int, recall: float, sample_rows: int, sample_queries: int) -> tuple[int, list[int]]:
+    """The smallest number of probes that reaches ``recall`` on the sample, at least 1, and the dimensions it was fitted on."""
     by_hash = lambda df, n: df.orderBy(F.xxhash64("id"), "uid").limit(n)
     ids = by_hash(held.select("uid", "id", "dim"), sample_rows).union(by_hash(held.filter(is_query).select("uid", "id", "dim"), sample_queries))
     got = held.join(F.broadcast(ids.select("uid").distinct()), "uid", "left_semi").withColumn("is_query", is_query).toArrow()
-    worst = 1
+    worst, fitted = 1, []
     dims = got.column("dim").to_numpy()
     for dim in np.unique(dims).tolist():
         part = got.filter(pa.array(dims == dim))
@@ -90,8 +91,9 @@ def fit_probes(held: DataFrame, is_query, k: int, tables: int, recall: float, sa
             for t in range(tables):
                 home, order = axes(x, t)[:, 0], axes(x[at], t, 1 << 30)
                 best = np.minimum(best, np.argsort(order, axis=1)[row, home[col]])
+            fitted.append(dim)
             worst = max(worst, int(np.sort(best)[math.ceil(recall * len(best)) - 1]) + 1)
-    return worst
+    return worst, fitted
 
 
 def search(
@@ -101,7 +103,22 @@ def search(
     """(query_id, rank, ``key``, score): for each row where ``is_query`` (a condition on the column ``id``) holds its k nearest rows
     found by Euclidean distance (score). Rows with a null id are neither queries nor found."""
     held = stored(V.rows(table, key, column).filter("vec is not null and id is not null"), "vectors")
-    probes = fit_probes(held, is_query, k, tables, recall, sample_rows, sample_queries)
+    probes, fitted = fit_probes(held, is_query, k, tables, recall, sample_rows, sample_queries)
+    queries = held.filter(is_query).select("uid", "dim", "vec")
+    first = stored(_ranked(held, queries, probes, tables, k, block), "neighbours")
+    found = first.groupBy(F.col("q").alias("uid")).agg(F.count("*").alias("found"))
+    rows = held.groupBy("dim").agg(F.count("*").alias("rows"))
+    enough = (F.coalesce("found", F.lit(0)) >= F.least(F.lit(k), F.col("rows") - 1)) & F.col("dim").isin(fitted)
+    short = queries.join(F.broadcast(rows), "dim").join(found, "uid", "left").filter(~enough)
+    short = stored(short.select("uid", "dim", "vec"), "short_queries")
+    if not short.isEmpty():
+        again = _ranked(held, short, 1 << 30, 1, k, block)
+        first = first.join(short.select(F.col("uid").alias("q")), "q", "left_anti").unionByName(again)
+    return first.select("query_id", "rank", F.col("id").alias(key), "score")
+
+
+def _ranked(held: DataFrame, queries: DataFrame, probes: int, tables: int, k: int, block: int) -> DataFrame:
+    """(q, query_id, rank, id, score): the k nearest rows in the ``probes`` nearest buckets of each table, for each of ``queries``."""
 
     def placed(count: int):
         def run(batches):
@@ -119,7 +136,7 @@ def search(
 
     spot = ["dim", "t", "bucket"]
     index = held.mapInArrow(placed(1), "uid long, dim int, t int, bucket int")
-    looks = held.filter(is_query).mapInArrow(placed(probes), "uid long, dim int, t int, bucket int")
+    looks = queries.mapInArrow(placed(probes), "uid long, dim int, t int, bucket int")
     # At most tables x 2 D rows for each dimension.
     sizes = index.groupBy(*spot).agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     asked = looks.groupBy(*spot).agg(F.ceil(F.count("*") / block).cast("int").alias("asks"))
@@ -145,5 +162,5 @@ def search(
 
     found = both.repartition(*task).sortWithinPartitions(*task).select(*task, "side", "uid", "id", "vec").mapInArrow(rank, "q long, query_id long, uid long, id long, score double")
     order = Window.partitionBy("q").orderBy("score", "id", "uid")
-    ranked = found.distinct().withColumn("rank", F.row_number().over(order).cast("int")).filter(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", F.col("id").alias(key), "score")
+    found = found.distinct().withColumn("rank", F.row_number().over(order).cast("int")).filter(F.col("rank") <= k)
+    return found.select("q", "query_id", "rank", "id", "score")
