@@ -208,9 +208,9 @@ def novel(deduped: DataFrame) -> DataFrame:
 
 
 def window_records(deduped: DataFrame, time: str = "received_at") -> DataFrame:
-    """First seen, last seen and count per signature and window."""
+    """First seen, last seen and count per signature and window; events without time have none."""
     return (
-        deduped.filter(F.col("signature") != "")
+        deduped.filter((F.col("signature") != "") & F.col("window_start").isNotNull())
         .groupBy("signature", "window_start")
         .agg(
             F.min(time).alias("first_seen"),
@@ -257,11 +257,12 @@ def tracked_count(
 def incidents(deduped: DataFrame) -> DataFrame:
     """Novel events with the full count of their window as ``dedup_count``.
 
-    One aggregation per window instead of a join; events without signature stand alone.
+    One aggregation per window instead of a join; events without signature or time stand alone.
     """
     event = [name for name in deduped.columns if name not in RESULT]
-    signed = deduped.filter(F.col("signature") != "")
-    alone = deduped.filter(F.col("signature") == "").select(
+    single = (F.col("signature") == "") | F.col("window_start").isNull()
+    signed = deduped.filter(~single)
+    alone = deduped.filter(single).select(
         *event, F.lit(1).cast("bigint").alias("dedup_count")
     )
     opening = F.first(F.when(F.col("is_novel"), F.struct(*event)), ignorenulls=True)
