@@ -30,7 +30,8 @@ def test_dead_letters_round_trip_and_append(spark, tmp_path):
     jsonl.write_json_lines(letters(spark), path)
     assert jsonl.read_dead_letters(spark, path).count() == 4
     raw = D.replay(jsonl.read_dead_letters(spark, path)).first()
-    assert set(raw.asDict()) == set(S.RAW_EVENT.names)
+    assert set(raw.asDict()) == {*S.RAW_EVENT.names, "attempt_count"}
+    assert raw.attempt_count == 2
 
 
 def test_retry_plan(spark):
@@ -38,7 +39,7 @@ def test_retry_plan(spark):
     plan = D.retry_plan(data, base_ms=100, max_ms=5000).filter("stream_id = 'st'").collect()
     got = {r.attempt_count: (r.eligible, r.delay_cap_ms) for r in plan}
     assert got == {
-        -1: (True, 100.0), 0: (True, 100.0), 2: (True, 400.0), 3: (False, 800.0), 90: (False, 5000.0),
+        -1: (True, 100.0), 0: (True, 100.0), 2: (True, 200.0), 3: (False, 400.0), 90: (False, 5000.0),
     }
     for row in plan:
         if row.eligible:
