@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultline.llm import chat, cross_polytope, jaccard, language, loglinear, packing, pieces, rotation_codes, token_store, toxicity
+from faultline.llm import chat, cross_polytope, jaccard, language, loglinear, packing, pieces, repair, rotation_codes, token_store, toxicity
 from faultline.llm.common import fold, table
 from faultline.session import new_folder
 
@@ -92,11 +92,29 @@ def op10_language_model(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def damaged(conversations: DataFrame) -> DataFrame:
+    """Conversations with the faults of careless exports, chosen by the checksum of conversation and turn; lost rows are not present."""
+    text = [F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn", "role", "text")]
+    held = conversations.select("conv_id", "turn", *text[2:]).toDF("conv_id", "turn", "role", "text")
+    kind = F.crc32(F.concat(text[0], F.lit(":"), text[1]).cast("binary")) % 20
+    held = held.withColumn("kind", kind)
+    bare = F.when(F.col("kind") == 1, "").when(F.col("kind") == 2, F.translate("text", ".!?", "")).otherwise(F.col("text"))
+    role = F.when(F.col("kind") == 4, "user").otherwise(F.col("role"))
+    copies = F.explode(F.array_repeat(F.lit(0), F.when(F.col("kind") == 3, 2).otherwise(1)))
+    return held.select("conv_id", "turn", role.alias("role"), bare.alias("text"), (F.col("kind") != 0).alias("present"), copies).drop("col")
+
+
+def op12_repair(spark: SparkSession, folder: str) -> DataFrame:
+    rows = damaged(table(spark, folder, "conversations"))
+    held = repair.placed(rows, "conv_id", "turn", "role", "text", F.col("present"))
+    return repair.conversations(repair.pieces(held)).withColumnRenamed("conv", "conv_id")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_token_store, op2_language, op3_chat, op4_jaccard, op5_toxicity, op6_packing, op7_near_vectors, op8_neighbours,
-        op9_pieces, op10_language_model,
+        op9_pieces, op10_language_model, op12_repair,
     )
 }
 
