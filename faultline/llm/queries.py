@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultline.llm import chat, cross_polytope, jaccard, language, loglinear, packing, pieces, repair, rotation_codes, token_store, toxicity
+from faultline.llm import chat, cross_polytope, impact_lists, jaccard, language, loglinear, main_text, packing, pieces, repair, rotation_codes, token_store, toxicity
 from faultline.llm.common import fold, table
 from faultline.session import new_folder
 
@@ -92,6 +92,10 @@ def op10_language_model(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_ranked(spark: SparkSession, folder: str) -> DataFrame:
+    return impact_lists.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 def damaged(conversations: DataFrame) -> DataFrame:
     """Conversations with the faults of careless exports, chosen by the checksum of conversation and turn; lost rows are not present."""
     text = [F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn", "role", "text")]
@@ -110,11 +114,16 @@ def op12_repair(spark: SparkSession, folder: str) -> DataFrame:
     return repair.conversations(repair.pieces(held)).withColumnRenamed("conv", "conv_id")
 
 
+def op13_main_text(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "pages")
+    return main_text.extract(pages, main_text.learn(pages)).select("page_id", "url", "text", "n_chars")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_token_store, op2_language, op3_chat, op4_jaccard, op5_toxicity, op6_packing, op7_near_vectors, op8_neighbours,
-        op9_pieces, op10_language_model, op12_repair,
+        op9_pieces, op10_language_model, op11_ranked, op12_repair, op13_main_text,
     )
 }
 
@@ -169,4 +178,34 @@ links AS (
     + """
 SELECT x AS vec_id, coalesce(n_links, 0)::BIGINT AS n_links, root AS component_id, root = x AS kept
 FROM roots LEFT JOIN degrees USING (x)""",
+    "op11_ranked": r"""
+WITH words AS (
+    SELECT doc_id, regexp_extract_all(
+        translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+') AS w FROM documents
+),
+lengths AS (SELECT doc_id, len(w)::BIGINT AS n FROM words WHERE len(w) > 0),
+totals AS (SELECT count(*)::BIGINT AS documents, sum(n)::BIGINT AS terms FROM lengths),
+counts AS (SELECT doc_id, t, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS t FROM words) GROUP BY doc_id, t),
+rarity AS (
+    SELECT t, floor(1000 * ln((2 * any_value(documents) + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM counts, totals GROUP BY t
+),
+asked AS (
+    SELECT item_id, t, count(*) AS r
+    FROM (
+        SELECT item_id, unnest(regexp_extract_all(
+            translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+')) AS t FROM benchmark
+    ) GROUP BY item_id, t
+),
+scores AS (
+    SELECT item_id, doc_id,
+        sum(r * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * documents) // terms))))::BIGINT AS score
+    FROM asked JOIN rarity USING (t) JOIN counts USING (t) JOIN lengths USING (doc_id), totals
+    GROUP BY item_id, doc_id
+)
+SELECT item_id, rank, doc_id, score
+FROM (
+    SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank FROM scores WHERE score > 0
+) WHERE rank <= 10""",
 }
