@@ -4,12 +4,15 @@ The first event of a signature opens a window at its own time. Events less than
 length after that are duplicates; the first one at or beyond it opens the next window.
 """
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from faultline.functions.text import or_empty
-from faultline.operators.anchors import anchors
-from faultline.operators.slices import SLICE, sliced_by_range
+from faultline.operators.columns import fresh_name
 from faultline.session import materialize
 
 DEFAULT_WINDOW_SECONDS = 300
@@ -26,6 +29,11 @@ def window_micros(seconds: float) -> int:
     return int((seconds if seconds > 0 else DEFAULT_WINDOW_SECONDS) * 1_000_000)
 
 
+def kept_columns(events: DataFrame) -> list[str]:
+    """The columns that stay; those with names of results are replaced by the results."""
+    return [name for name in events.columns if name not in RESULT]
+
+
 def dedup(
     events: DataFrame,
     window_seconds: float = DEFAULT_WINDOW_SECONDS,
@@ -36,17 +44,22 @@ def dedup(
 
     Needs ``signature``, ``stream_id``, ``seq_no`` and the ``time`` column; equal times go by
     stream and sequence number. Events without signature or time are always novel with count 1
-    and have no window. ``events`` is read more than once: store it first when it is costly to compute.
+    and have no window. Columns that already have the name of a result are replaced, all others are kept.
+    ``events`` is read more than once: store it first when it is costly to compute.
     """
     width, hot_rows = window_micros(window_seconds), max(hot_rows, 1)
-    keyed = events.withColumn("signature", or_empty(F.col("signature"))).withColumn(
-        "_t", F.unix_micros(F.col(time).cast("timestamp"))
+    columns = [F.col(f"`{name}`") for name in kept_columns(events)]
+    at = fresh_name("micros")
+    keyed = (
+        events.select(*columns)
+        .withColumn("signature", or_empty(F.col("signature")))
+        .withColumn(at, F.unix_micros(F.col(time).cast("timestamp")))
     )
-    placed = (F.col("signature") != "") & F.col("_t").isNotNull()
+    placed = (F.col("signature") != "") & F.col(at).isNotNull()
     signed = keyed.filter(placed)
     unsigned = keyed.filter(~placed).select(
-        "*",
-        F.lit(None).cast("bigint").alias("_window"),
+        *columns,
+        F.lit(None).cast("timestamp").alias("window_start"),
         F.lit(True).alias("is_novel"),
         F.lit(1).cast("bigint").alias("window_count"),
     )
@@ -55,151 +68,208 @@ def dedup(
     )
     hot_keys = hot.count()
     if hot_keys == 0:
-        counted = _scan_windows(signed, width)
+        counted = _scan_windows(signed, at, width)
     else:
         few = F.broadcast(hot) if hot_keys <= MAX_BROADCAST_KEYS else hot
-        counted = _scan_windows(signed.join(few, "signature", "left_anti"), width).unionByName(
-            _spread_windows(signed.join(few, "signature", "left_semi"), width, hot_rows)
+        counted = _scan_windows(signed.join(few, "signature", "left_anti"), at, width).unionByName(
+            _spread_windows(signed.join(few, "signature", "left_semi"), at, width)
         )
-    start = F.timestamp_micros("_window").alias("window_start")
-    return counted.unionByName(unsigned).select(
-        *events.columns, start, "is_novel", "window_count"
-    )
+    return counted.unionByName(unsigned).select(*columns, *RESULT)
+
 
+def _result_schema(rows: DataFrame, at: str) -> T.StructType:
+    return T.StructType([
+        *[field for field in rows.schema.fields if field.name != at],
+        T.StructField("window_start", T.TimestampType()),
+        T.StructField("is_novel", T.BooleanType()),
+        T.StructField("window_count", T.LongType()),
+    ])
 
-def _scan_windows(signed: DataFrame, width: int) -> DataFrame:
+
+def _scan_windows(signed: DataFrame, at: str, width: int) -> DataFrame:
     """Windows of signatures that fit a task: one shuffle, one sort, one pass.
 
     The pass sees the rows of a partition ordered by signature and time and keeps only the open
     window between batches, so it needs no memory per group.
     """
     ordered = signed.repartition("signature").sortWithinPartitions(
-        "signature", "_t", "stream_id", "seq_no"
+        "signature", at, "stream_id", "seq_no"
     )
-    schema = ordered.withColumn("_window", F.lit(0).cast("bigint")).withColumn(
-        "is_novel", F.lit(True)
-    ).withColumn("window_count", F.lit(0).cast("bigint")).schema
+    schema = _result_schema(signed, at)
+    return ordered.mapInArrow(lambda batches: _assign(batches, at, width, schema.names, {}), schema)
+
+
+def _reached(starts, step):
+    """Marks of the rows on the paths from ``starts`` along ``step`` (a row behind the last one ends a path).
+
+    Pointers of 1, 2, 4, ... steps mark in turn, so the number of passes is the logarithm of the longest path.
+    """
+    import numpy as np
 
-    def assign(batches):
+    marks = np.append(starts, False)
+    pointer = np.append(step, len(step))
+    while True:
+        reached = pointer[np.flatnonzero(marks)]
+        marks[reached] = True
+        if (pointer == len(step)).all():
+            return marks[:-1]
+        pointer = pointer[pointer]
+
+
+def _group_starts(keys):
+    """Marks of the first rows of runs of equal values."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    change = np.ones(len(keys), dtype=bool)
+    if len(keys) > 1:
+        change[1:] = pc.not_equal(keys.slice(1), keys.slice(0, len(keys) - 1)).to_numpy(zero_copy_only=False)
+    return change
+
+
+def _assign(batches, at: str, width: int, names: list[str], entries: dict) -> Iterator:
+    """Rows ordered by signature and time with their windows.
+
+    ``entries`` has (window start, count) of the windows that are open before the first row, by signature.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    open_key, open_start, open_count = None, 0, 0
+    for batch in batches:
+        n = batch.num_rows
+        if n == 0:
+            continue
+        keys = batch.column("signature")
+        times = batch.column(at).to_numpy(zero_copy_only=False)
+        change = _group_starts(keys)
+        group_start = np.flatnonzero(change)
+        group_end = np.append(group_start[1:], n)
+        # One increasing axis for all groups; the gap keeps a step inside its group.
+        spans = times[group_end - 1] - times[group_start] + width + 1
+        base = np.concatenate(([0], np.cumsum(spans)[:-1]))
+        group = np.cumsum(change) - 1
+        axis = times - times[group_start][group] + base[group]
+        # First row at or beyond the end of a window opened by this row; other groups begin anew.
+        step = np.searchsorted(axis, axis + width, side="left")
+        step = np.where(step < group_end[group], step, n)
+        starts = change.copy()
+        carried_start, carried_count = np.zeros(len(group_start), np.int64), np.zeros(len(group_start), np.int64)
+        for g, row in enumerate(group_start.tolist()) if entries else [(0, 0)]:
+            key = keys[row].as_py()
+            held = (open_start, open_count) if key == open_key else entries.get(key)
+            if held:
+                carried_start[g], carried_count[g] = held
+                first = row + int(np.searchsorted(times[row : group_end[g]], held[0] + width, side="left"))
+                starts[row] = False
+                if first < group_end[g]:
+                    starts[first] = True
+        novel = _reached(starts, step)
+        opener = np.maximum.accumulate(np.where(novel, np.arange(n), -1))
+        carried = opener < group_start[group]
+        window = np.where(carried, carried_start[group], times[opener])
+        count = np.where(carried, np.arange(n) - group_start[group] + 1 + carried_count[group], np.arange(n) - opener + 1)
+        open_key, open_start, open_count = keys[n - 1].as_py(), int(window[-1]), int(count[-1])
+        kept = [column for name, column in zip(batch.schema.names, batch.columns, strict=True) if name != at]
+        start = pa.array(window).cast(pa.timestamp("us", "UTC"))
+        yield pa.RecordBatch.from_arrays([*kept, start, pa.array(novel), pa.array(count)], names=names)
+
+
+def slice_map(times, width: int):
+    """How a slice of the times of one signature carries windows on: (ends, last, tail).
+
+    ``times`` ascend. A window that is open before the slice ends at some time e; if ``ends[i]`` is the first of ``ends`` at or beyond e, the
+    last window opened in the slice starts at ``last[i]`` and holds ``tail[i]`` of its events. Behind all ``ends`` the open
+    window holds the whole slice. Neighbours that lead to the same last window are one entry.
+    """
+    import numpy as np
+
+    distinct, first_row = np.unique(times, return_index=True)
+    following = np.searchsorted(distinct, distinct + width, side="left")
+    n = len(distinct)
+    pointer = np.where(following < n, following, np.arange(n))
+    while (pointer[pointer] != pointer).any():
+        pointer = pointer[pointer]
+    # The first window of the slice opens less than one window behind its first time, or at the first time beyond that.
+    able = min(n, int(np.searchsorted(distinct, distinct[0] + width, side="left")) + 1)
+    last = pointer[:able]
+    kept = np.append(np.flatnonzero(last[1:] != last[:-1]), able - 1)
+    return distinct[kept], distinct[last[kept]], len(times) - first_row[last[kept]]
+
+
+def _spread_windows(signed: DataFrame, at: str, width: int) -> DataFrame:
+    """Windows of signatures too frequent for one task: a parallel scan.
+
+    Events are sorted by ranges of signature and time, a partition being a slice. Each slice gives the map from the window
+    that is open where it begins to the one open where it ends. One step per slice then follows the maps from
+    the first slice of a signature to its last, and with the window open at its beginning each slice is scanned on its own.
+    """
+    ordered = ["signature", at, "stream_id", "seq_no"]
+    held = materialize(signed.repartitionByRange(*ordered).sortWithinPartitions(*ordered))
+
+    def maps(batches):
         import numpy as np
         import pyarrow as pa
-        import pyarrow.compute as pc
 
-        open_key, open_start, open_count = None, 0, 0
+        part, key, parts = TaskContext.get().partitionId(), None, []
+
+        def row():
+            times = np.concatenate(parts)
+            ends, last, tail = slice_map(times, width)
+            return pa.RecordBatch.from_pydict({
+                "signature": [key], "slice": [part], "size": [len(times)],
+                "ends": [ends.astype("<i8").tobytes()], "last": [last.astype("<i8").tobytes()], "tail": [tail.astype("<i8").tobytes()],
+            })
+
         for batch in batches:
-            n = batch.num_rows
-            if n == 0:
+            if not batch.num_rows:
                 continue
-            keys = batch.column("signature")
-            times = batch.column("_t").to_numpy(zero_copy_only=False)
-            change = np.ones(n, dtype=bool)
-            if n > 1:
-                change[1:] = pc.not_equal(keys.slice(1), keys.slice(0, n - 1)).to_numpy(
-                    zero_copy_only=False
-                )
-            group_start = np.flatnonzero(change)
-            group_end = np.append(group_start[1:], n)
-            # One increasing axis for all groups; the gap keeps a step inside its group.
-            spans = times[group_end - 1] - times[group_start] + width + 1
-            base = np.concatenate(([0], np.cumsum(spans)[:-1]))
-            group = np.cumsum(change) - 1
-            axis = times - times[group_start][group] + base[group]
-            # First row at or beyond the end of a window opened by this row, at most the start
-            # of the next group, which opens a window anyway.
-            step = np.minimum(np.searchsorted(axis, axis + width, side="left"), group_end[group])
-            first = 0
-            if keys[0].as_py() == open_key:
-                first = int(
-                    np.searchsorted(times[: group_end[0]], open_start + width, side="left")
-                )
-            novel = np.zeros(n, dtype=bool)
-            hops = step.tolist()
-            row = first
-            while row < n:
-                novel[row] = True
-                row = hops[row]
-            opener = np.maximum.accumulate(np.where(novel, np.arange(n), -1))
-            carried = opener < 0
-            window = np.where(carried, open_start, times[opener])
-            count = np.arange(n) - opener + np.where(carried, open_count, 1)
-            count = np.where(carried, np.arange(n) + 1 + open_count, count)
-            open_key, open_start, open_count = (
-                keys[n - 1].as_py(),
-                int(window[-1]),
-                int(count[-1]),
-            )
-            yield pa.RecordBatch.from_arrays(
-                batch.columns
-                + [pa.array(window), pa.array(novel), pa.array(count.astype("int64"))],
-                names=batch.schema.names + ["_window", "is_novel", "window_count"],
-            )
-
-    return ordered.mapInArrow(assign, schema)
-
-
-def _spread_windows(signed: DataFrame, width: int, hot_rows: int) -> DataFrame:
-    """Windows of signatures too frequent for one task.
-
-    The window starts come from the distinct times and join the events as rows of their own, put
-    before the events of that time. One range sort then brings every event behind its start:
-    inside a slice both the start and the count are running values, and one row per slice
-    carries the open window to the next slices.
-    """
-    times = signed.groupBy("signature", "_t").agg(F.lit(1).alias("_one")).drop("_one")
-    starts = anchors(times, "signature", "_t", width, hot_rows)
-    # 0 for a start, 1 for an event: also what a row adds to the count.
-    rows = signed.withColumn("_event", F.lit(1)).unionByName(
-        starts.select("signature", "_t", F.lit(0).alias("_event")), allowMissingColumns=True
-    )
-    order = ["_t", "_event", "stream_id", "seq_no"]
-    sliced = sliced_by_range(rows, ["signature"], order)
-    inside = (
-        Window.partitionBy("signature", SLICE)
-        .orderBy(*order)
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    opens = F.col("_event") == 0
-    placed = sliced.withColumns(
-        {
-            "_start": F.max(F.when(opens, F.col("_t"))).over(inside),
-            "_seen": F.sum("_event").over(inside),
-        }
-    ).withColumn("_before", F.max(F.when(opens, F.col("_seen"))).over(inside))
-    slices = Window.partitionBy("signature").orderBy(SLICE)
-    so_far = slices.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    since_start = (
-        Window.partitionBy("signature", "_held_start")
-        .orderBy(SLICE)
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    carried = (
-        placed.groupBy("signature", SLICE)
-        .agg(
-            F.max("_start").alias("_last"),
-            (F.max("_seen") - F.coalesce(F.max("_before"), F.lit(0))).alias("_tail"),
-        )
-        .withColumn("_held_start", F.max("_last").over(so_far))
-        .withColumn("_held", F.sum("_tail").over(since_start))
-        .select(
-            "signature",
-            SLICE,
-            F.lag("_held_start").over(slices).alias("_open_start"),
-            F.lag("_held").over(slices).alias("_open_count"),
-        )
-    )
-    count = F.col("_seen") + F.when(F.col("_start").isNull(), F.col("_open_count")).otherwise(
-        -F.col("_before")
-    )
-    return (
-        placed.filter(~opens)
-        .join(carried, ["signature", SLICE])
-        .select(
-            *signed.columns,
-            F.coalesce("_start", "_open_start").alias("_window"),
-            (count == 1).alias("is_novel"),
-            count.alias("window_count"),
-        )
+            keys, times = batch.column("signature"), batch.column(at).to_numpy(zero_copy_only=False)
+            cuts = [*np.flatnonzero(_group_starts(keys)).tolist(), batch.num_rows]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if keys[a].as_py() != key:
+                    if parts:
+                        yield row()
+                    key, parts = keys[a].as_py(), []
+                parts.append(times[a:b])
+        if parts:
+            yield row()
+
+    def chained(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        key, start, count = None, None, 0
+        for batch in batches:
+            for i in range(batch.num_rows):
+                name, part, size, *arrays = (column[i].as_py() for column in batch.columns)
+                if name != key:
+                    key, start, count = name, None, 0
+                else:
+                    yield pa.RecordBatch.from_pydict({"signature": [name], "slice": [part], "start": [start], "count": [count]})
+                ends, last, tail = (np.frombuffer(data, "<i8") for data in arrays)
+                entry = 0 if start is None else int(np.searchsorted(ends, start + width, side="left"))
+                if entry < len(ends):
+                    start, count = int(last[entry]), int(tail[entry])
+                else:
+                    count += size
+
+    found = held.select("signature", at).mapInArrow(
+        maps, "signature string, slice bigint, size bigint, ends binary, last binary, tail binary"
     )
+    chain = found.repartition("signature").sortWithinPartitions("signature", "slice")
+    # One row per partition and signature that goes on in it: as many as there are partitions and hot signatures.
+    entries: dict[int, dict] = {}
+    for row in chain.mapInArrow(chained, "signature string, slice bigint, start bigint, count bigint").collect():
+        entries.setdefault(row.slice, {})[row.signature] = (row.start, row["count"])
+    shared = held.sparkSession.sparkContext.broadcast(entries)
+    schema = _result_schema(signed, at)
+    names = schema.names
+
+    def assigned(batches):
+        return _assign(batches, at, width, names, shared.value.get(TaskContext.get().partitionId(), {}))
+
+    return held.mapInArrow(assigned, schema)
 
 
 def novel(deduped: DataFrame) -> DataFrame:

@@ -18,6 +18,7 @@ from faultline.operators import normalize as N
 from faultline.plans import inputs as I
 from faultline.session import materialize, new_folder
 from faultline.sources import jsonl, text as files
+from faultline.streaming import counters
 from faultline.streaming import dedup as stream_dedup
 from faultline.streaming import frames as stream_frames
 from faultline.streaming import ingest as stream_ingest
@@ -664,6 +665,30 @@ def error_incidents(spark: SparkSession, folder: str) -> DataFrame:
 # Streams, run until the input is used up
 
 
+_SIGNED = "signature string, stream_id string, seq_no bigint, received_at timestamp"
+
+
+def _arriving(spark: SparkSession, folder: str, signature: str, files_at_once: int = 1, parts: int = 4) -> DataFrame:
+    """Signature events as a stream of ``parts`` files with the events in no order.
+
+    A last file holds one event without signature, a year later, which moves the clock of the stream past all others.
+    """
+    path = new_folder(spark, "signature-events")
+    events = I.signature_events(spark, folder, signature)
+    shuffled = events.withColumn("part", F.pmod(F.xxhash64("seq_no"), F.lit(parts)).cast("int"))
+    shuffled.repartition(parts, "part").write.partitionBy("part").parquet(f"{path}/events")
+    last = events.agg((F.max("received_at") + F.expr("interval 365 days")).alias("received_at"))
+    last = last.select(F.lit("").alias("signature"), F.lit("clock").alias("stream_id"), F.lit(0).cast("bigint").alias("seq_no"), "received_at")
+    last.coalesce(1).write.parquet(f"{path}/events/part={parts}")
+    return (
+        spark.readStream.schema(_SIGNED)
+        .option("maxFilesPerTrigger", files_at_once)
+        .option("recursiveFileLookup", "true")
+        .parquet(f"{path}/events")
+        .select(*[name.split()[0] for name in _SIGNED.split(", ")])
+    )
+
+
 def stream_dedup_events(spark: SparkSession, folder: str) -> DataFrame:
     columns = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string"
     events = (
@@ -682,6 +707,54 @@ def stream_dedup_events(spark: SparkSession, folder: str) -> DataFrame:
     return _dedup_columns(stored)
 
 
+def stream_dedup_ordered(spark: SparkSession, folder: str) -> DataFrame:
+    """Events in no order over several batches; held back by the clock of the stream, they give the windows of the batch form."""
+    events = _arriving(spark, folder, BY_USER)
+    deduped = stream_dedup.dedup_stream(events, 6 * HOUR, lateness_seconds=40 * 24 * HOUR, ordered=True)
+    stored = stream_ingest.run_to_table(deduped, new_folder(spark, "stream-ordered"))
+    return _dedup_columns(stored.filter("stream_id <> 'clock'"))
+
+
+def _stream_state(spark: SparkSession, folder: str) -> DataFrame:
+    """The records in the state of a stream over all signature events, read from its progress folder."""
+    path = new_folder(spark, "stream-state")
+    columns = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string"
+    events = spark.readStream.schema(columns).option("pathGlobFilter", "events.parquet").parquet(folder)
+    signed = events.select(
+        F.expr(BY_USER).alias("signature"), F.expr("'user-' || user_id").alias("stream_id"),
+        (F.col("event_id") + 1).alias("seq_no"), F.col("ts").cast("timestamp").alias("received_at"),
+    )
+    stream_ingest.run_to_table(stream_dedup.dedup_stream(signed, 6 * HOUR), path)
+    return stream_dedup.stream_records(spark, path + "-progress")
+
+
+def stream_current_records(spark: SparkSession, folder: str) -> DataFrame:
+    return _record_columns(_stream_state(spark, folder))
+
+
+def stream_tracked_count(spark: SparkSession, folder: str) -> DataFrame:
+    """Records less than one window old at the last event of all."""
+    last = I.signature_events(spark, folder, BY_USER).agg(F.max("received_at")).first()[0]
+    return stream_dedup.stream_tracked_count(_stream_state(spark, folder), F.lit(last), 6 * HOUR)
+
+
+def stream_stats(spark: SparkSession, folder: str) -> DataFrame:
+    """JSON lines arriving as five files, one a batch; a listener writes the counters of every batch."""
+    path, rows = new_folder(spark, "json-raw"), new_folder(spark, "counters")
+    I.json_raw(spark, folder).repartition(5, "seq_no").write.parquet(path)
+    raw = spark.readStream.schema(S.RAW_EVENT).option("maxFilesPerTrigger", 1).parquet(path)
+    listener = counters.BatchCounters(spark, rows)
+    spark.streams.addListener(listener)
+    try:
+        passed = counters.observed(N.normalize(raw)).filter("failed_step = ''").select("event_id")
+        query = stream_ingest.start_to_table(passed, new_folder(spark, "stream-stats"))
+        query.awaitTermination()
+        listener.wait(query)
+    finally:
+        spark.streams.removeListener(listener)
+    return counters.totals(counters.batch_counters(spark, rows))
+
+
 def stream_traces(spark: SparkSession, folder: str) -> DataFrame:
     """Trace files dropped into a folder, framed, parsed and signed as a stream.
 
@@ -703,7 +776,7 @@ def stream_traces(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def stream_dead_letters(spark: SparkSession, folder: str) -> DataFrame:
-    """JSON lines arriving as files: rejects go to the dead letters, counters are observed."""
+    """JSON lines arriving as files: rejects go to the dead letters."""
     path = new_folder(spark, "json-raw")
     I.json_raw(spark, folder).write.parquet(path)
     raw = spark.readStream.schema(S.RAW_EVENT).parquet(path)
@@ -806,6 +879,10 @@ QUERIES = {
         table_rule_diagnosis,
         missing_events,
         stream_dedup_events,
+        stream_dedup_ordered,
+        stream_current_records,
+        stream_tracked_count,
+        stream_stats,
         stream_traces,
         stream_dead_letters,
         stream_lines_over_files,

@@ -446,6 +446,11 @@ CAST(NULL AS INTEGER) AS confidence_percent, CAST(NULL AS INTEGER) AS tokens_use
 SELECT CASE WHEN has THEN '' ELSE 'llm: nil diagnosis request' END AS failure, count(*) AS requests,
 CAST(count_if(has) AS BIGINT) AS diagnoses FROM asked GROUP BY has""",
     "stream_dedup_events": f"{BY_USER} {DEDUP_COLUMNS}",
+    "stream_dedup_ordered": f"{BY_USER} {DEDUP_COLUMNS}",
+    "stream_current_records": f"{BY_USER} {CURRENT.format(also='')}",
+    "stream_tracked_count": f"{BY_USER} SELECT count(*) AS tracked FROM ({CURRENT.format(also='')}) WHERE (SELECT max(t) FROM deduped) - last_seen < {6 * HOUR_US}",
+    "stream_stats": f"""{JSON} SELECT CAST(5 AS BIGINT) AS batches, count(*) AS ingested, CAST(count_if(failed_step = '') AS BIGINT) AS parsed,
+CAST(count_if(failed_step <> '') AS BIGINT) AS errors FROM ev""",
     "stream_traces": f"""{TRACE_EVENTS} SELECT 'stacktrace' AS source, severity, count(*) AS events,
 CAST(sum(raw_size) AS BIGINT) AS bytes, CAST(sum(len(frames)) AS BIGINT) AS frames FROM ev GROUP BY severity""",
     "stream_dead_letters": f"""{JSON} SELECT source, reason, count(*) AS letters, max(seq_no) AS last_seq FROM ev

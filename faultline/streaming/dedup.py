@@ -1,64 +1,163 @@
-"""Deduplication of a stream of signatures, with the open window kept between batches."""
+"""Deduplication of a stream of signatures, with the open window kept between batches.
 
-from pyspark.sql import DataFrame
+Three steps make one query. The rows of each input task are packed by signature into chunks, in which the ordering columns (time,
+stream, number) stand apart from the rest. The keyed step sees only chunks: it merges the ordering columns of a signature,
+finds the windows by jumps over the sorted times and hands the rows on unopened. The chunks are then dealt out
+again and unpacked. So the one task that a signature has by definition does little work per event.
+"""
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from faultline.functions.text import or_empty
-from faultline.operators.dedup import DEFAULT_WINDOW_SECONDS, window_micros
+from faultline.operators.columns import fresh_name
+from faultline.operators.dedup import DEFAULT_WINDOW_SECONDS, RESULT, kept_columns, window_micros
+
+_PACKED = "signature string, place binary, rows binary"
+_COUNTED = "rows binary, windows binary, counts binary"
+#: State of a signature: its last window.
+RECORD = "first_seen bigint, last_seen bigint, count bigint"
+RECORD_STATE = "record"
+
+
+def _to_bytes(table) -> bytes:
+    import pyarrow as pa
+
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as writer:
+        writer.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def _from_bytes(data: bytes):
+    import pyarrow as pa
+
+    return pa.ipc.open_stream(data).read_all()
+
+
+def _ordered(table):
+    """Order of rows by time, stream and number; null first as in a sorted table."""
+    import pyarrow.compute as pc
 
+    keys = [(name, "ascending") for name in ("micros", "stream_id", "seq_no")]
+    return pc.sort_indices(table, sort_keys=keys, null_placement="at_start")
 
-def _window_processor(width: int, evict: bool):
-    """Processor class; defined here so that workers get it by value."""
+
+def windows_of(times, width: int, state):
+    """Window start and running count of each sorted time, and the state after them.
+
+    ``state`` is (first seen, last seen, count) of the open window or None. A time before the open window counts in it.
+    """
+    import numpy as np
+
+    total = len(times)
+    window, count = np.empty(total, np.int64), np.empty(total, np.int64)
+    first, last, seen = state or (int(times[0]), int(times[0]), 0)
+    at = 0
+    while at < total:
+        end = int(np.searchsorted(times, first + width, side="left"))
+        if end > at:
+            window[at:end] = first
+            count[at:end] = np.arange(seen + 1, seen + 1 + end - at)
+            seen += end - at
+            last = max(last, int(times[end - 1]))
+            at = end
+        if at < total:
+            first, last, seen = int(times[at]), int(times[at]), 0
+    return window, count, (first, last, seen)
+
+
+def _processor(width: int, ordered: bool, evict: bool, ttl_millis: int | None):
+    """Processor; defined here so that workers get it by value."""
     from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
     class Windows(StatefulProcessor):
         def init(self, handle):
             self.handle = handle
-            self.open = handle.getValueState(
-                "window", "first_seen bigint, last_seen bigint, count bigint"
-            )
+            self.record = handle.getValueState(RECORD_STATE, RECORD, ttl_millis)
+            # Chunks that wait for the watermark: earliest time in them, ordering columns, rows.
+            self.held = handle.getListState("held", "low bigint, place binary, rows binary") if ordered else None
 
         def handleInputRows(self, key, rows, timerValues):
+            chunks = [(place, data) for frame in rows for place, data in zip(frame["place"], frame["rows"], strict=True)]
+            if not ordered:
+                yield self._count([(_from_bytes(place), data) for place, data in chunks])
+                self._timer()
+                return
+            import pyarrow.compute as pc
+
+            waiting = [(pc.min(_from_bytes(place).column("micros")).as_py(), place, data) for place, data in chunks]
+            self.held.appendList(waiting)
+            self._timer(min(low for low, *_ in waiting))
+
+        def _count(self, chunks):
             import numpy as np
             import pandas as pd
+            import pyarrow as pa
 
-            events = pd.concat(list(rows), ignore_index=True)
-            events = events.sort_values(["event_micros", "stream_id", "seq_no"], ignore_index=True)
-            times = events["event_micros"].to_numpy()
-            total = len(times)
-            window = np.empty(total, dtype="int64")
-            count = np.empty(total, dtype="int64")
-            at = 0
-            if self.open.exists():
-                first, last, seen = self.open.get()
-            else:
-                first, last, seen = int(times[0]), int(times[0]), 0
-            while at < total:
-                # An event before the start of the window is late and counts as duplicate.
-                end = int(np.searchsorted(times, first + width, side="left"))
-                if end > at:
-                    window[at:end] = first
-                    count[at:end] = np.arange(seen + 1, seen + 1 + end - at)
-                    seen += end - at
-                    last = max(last, int(times[end - 1]))
-                    at = end
-                if at < total:
-                    first, last, seen = int(times[at]), int(times[at]), 0
-            self.open.update((first, last, seen))
-            if evict:
-                for timer in list(self.handle.listTimers()):
-                    self.handle.deleteTimer(timer)
-                # Milliseconds, rounded up: at that time the record is one window length old.
-                self.handle.registerTimer(-(-(last + width) // 1000))
-            events["window_start"] = pd.to_datetime(window, unit="us")
-            events["is_novel"] = count == 1
-            events["window_count"] = count
-            yield events.drop(columns="event_micros")
+            places = pa.concat_tables([place for place, _ in chunks])
+            order = _ordered(places).to_numpy()
+            times = places.column("micros").to_numpy()[order]
+            window, count, state = windows_of(times, width, self.record.get() if self.record.exists() else None)
+            self.record.update(state)
+            starts, counts = np.empty_like(window), np.empty_like(count)
+            starts[order], counts[order] = window, count
+            cuts = np.cumsum([0, *(len(place) for place, _ in chunks)]).tolist()
+            parts = list(zip(cuts[:-1], cuts[1:], strict=True))
+            return pd.DataFrame({
+                "rows": [data for _, data in chunks],
+                "windows": [starts[a:b].astype("<i8").tobytes() for a, b in parts],
+                "counts": [counts[a:b].astype("<i8").tobytes() for a, b in parts],
+            })
+
+        def _timer(self, low=None):
+            """One timer a signature: when its first waiting event is due, or else when its record is one window old."""
+            if not evict:
+                return
+            due = None if low is None else low // 1000 + 1
+            timers = list(self.handle.listTimers())
+            if due is not None and timers and self.waits and min(timers) <= due:
+                return
+            for timer in timers:
+                self.handle.deleteTimer(timer)
+            if due is None and self.record.exists():
+                due = -(-(self.record.get()[1] + width) // 1000)
+            if due is not None:
+                self.handle.registerTimer(due)
+
+        @property
+        def waits(self):
+            return self.held is not None and self.held.exists()
 
         def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-            self.open.clear()
-            return iter([])
+            import pyarrow.compute as pc
+
+            now = timerValues.getCurrentWatermarkInMs() * 1000
+            if not self.waits:
+                if self.record.exists() and self.record.get()[1] + width <= now:
+                    self.record.clear()
+                return
+            due, waiting = [], []
+            for low, place, data in self.held.get():
+                if low > now:
+                    waiting.append((low, place, data))
+                    continue
+                table, rows = _from_bytes(place), _from_bytes(data)
+                ripe = pc.less_equal(table.column("micros"), now)
+                due.append((table.filter(ripe), _to_bytes(rows.filter(ripe))))
+                rest = table.filter(pc.invert(ripe))
+                if len(rest):
+                    waiting.append((pc.min(rest.column("micros")).as_py(), _to_bytes(rest), _to_bytes(rows.filter(pc.invert(ripe)))))
+            if waiting:
+                self.held.put(waiting)
+            else:
+                self.held.clear()
+            if due:
+                yield self._count(due)
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            self._timer(min((low for low, *_ in waiting), default=None))
 
         def close(self):
             pass
@@ -71,43 +170,115 @@ def dedup_stream(
     window_seconds: float = DEFAULT_WINDOW_SECONDS,
     time: str = "received_at",
     lateness_seconds: float | None = None,
+    ordered: bool = False,
+    ttl_seconds: float | None = None,
 ) -> DataFrame:
-    """Streaming form of ``dedup``: same columns added, state per signature between batches.
+    """Streaming form of ``dedup``: same columns added, state per signature between batches. No event is ever dropped.
 
-    Within a batch the events of a signature go by time; an event older than the open window
-    counts as duplicate. Events without signature or time are novel and have no window.
+    Within a batch the events of a signature go by time; an event older than the open window counts as duplicate. Events
+    without signature or time are novel and have no window.
 
-    With ``lateness_seconds`` the stream gets a watermark, records are evicted one window length
-    after they were last seen, and events later than that are dropped by the watermark. Without
-    it nothing is dropped and every signature keeps its last record. Pass narrow rows: they
-    travel to the workers with the state.
+    ``lateness_seconds`` gives the stream a clock, the greatest time so far less the lateness: a record is evicted when it has not been
+    seen for one window of that clock. ``ordered`` also holds events back until the clock has passed them and then takes
+    them in order, so that results equal those of the batch form whatever the order of arrival, for events that are not later than
+    the lateness; later ones count as they arrive. Events of any signature move the clock.
+
+    ``ttl_seconds`` evicts records by the time of day instead, that long after they were last changed. While the stream keeps up,
+    a length of one window changes no result; after a longer stop an event may open a window it would have been in. Under
+    a trigger that ends (``availableNow``) run such a query with :func:`faultline.streaming.ingest.run_to_table`.
     """
+    if ordered and lateness_seconds is None:
+        raise ValueError("ordered needs lateness_seconds")
+    if ttl_seconds is not None and lateness_seconds is not None:
+        raise ValueError("evict by ttl_seconds or by lateness_seconds, not by both")
     width = window_micros(window_seconds)
-    keyed = events.withColumn("signature", or_empty(F.col("signature")))
+    columns = [F.col(f"`{name}`") for name in kept_columns(events)]
+    micros = fresh_name("micros")
+    keyed = events.select(*columns).withColumn("signature", or_empty(F.col("signature")))
+    if lateness_seconds is not None:
+        keyed = keyed.withWatermark(time, f"{int(lateness_seconds * 1000)} milliseconds")
     placed = (F.col("signature") != "") & F.col(time).isNotNull()
     unsigned = keyed.filter(~placed).select(
-        "*",
+        *columns,
         F.lit(None).cast("timestamp").alias("window_start"),
         F.lit(True).alias("is_novel"),
         F.lit(1).cast("bigint").alias("window_count"),
     )
-    signed = keyed.filter(placed)
+    signed = keyed.filter(placed).select(*columns, F.unix_micros(F.col(time).cast("timestamp")).alias(micros))
+
+    def pack(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch])
+            codes = table.column("signature").combine_chunks().dictionary_encode()
+            names, code = codes.dictionary.to_pylist(), codes.indices.to_numpy()
+            order = np.argsort(code, kind="stable")
+            cuts = np.searchsorted(code[order], np.arange(len(names) + 1)).tolist()
+            sorted_rows = table.take(pa.array(order))
+            place = pa.table({"micros": sorted_rows.column(micros), "stream_id": sorted_rows.column("stream_id"), "seq_no": sorted_rows.column("seq_no")})
+            rows = sorted_rows.drop_columns([micros])
+            yield pa.RecordBatch.from_pydict({
+                "signature": names,
+                "place": [_to_bytes(place.slice(a, b - a).combine_chunks()) for a, b in zip(cuts[:-1], cuts[1:], strict=True)],
+                "rows": [_to_bytes(rows.slice(a, b - a).combine_chunks()) for a, b in zip(cuts[:-1], cuts[1:], strict=True)],
+            })
+
+    output = T.StructType([
+        *keyed.select(*columns).schema.fields,
+        T.StructField("window_start", T.TimestampType()),
+        T.StructField("is_novel", T.BooleanType()),
+        T.StructField("window_count", T.LongType()),
+    ])
+
+    def unpack(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            for data, starts, counts in zip(*(column.to_pylist() for column in batch.columns), strict=True):
+                count = np.frombuffer(counts, "<i8")
+                added = [pa.array(np.frombuffer(starts, "<i8")).cast(pa.timestamp("us", "UTC")), pa.array(count == 1), pa.array(count)]
+                for rows in _from_bytes(data).combine_chunks().to_batches():
+                    yield pa.RecordBatch.from_arrays([*rows.columns, *added], names=output.names)
+
     evict = lateness_seconds is not None
-    if evict:
-        signed = signed.withWatermark(time, f"{int(lateness_seconds * 1000)} milliseconds")
-    output = T.StructType(
-        events.schema.fields
-        + [
-            T.StructField("window_start", T.TimestampType()),
-            T.StructField("is_novel", T.BooleanType()),
-            T.StructField("window_count", T.LongType()),
-        ]
-    )
+    ttl = None if ttl_seconds is None else int(max(ttl_seconds * 1000, 1))
     counted = (
-        signed.withColumn("event_micros", F.unix_micros(F.col(time)))
+        signed.mapInArrow(pack, _PACKED)
         .groupBy("signature")
         .transformWithStateInPandas(
-            _window_processor(width, evict), output, "Append", "EventTime" if evict else "None"
+            _processor(width, ordered, evict, ttl), _COUNTED, "Append", "EventTime" if evict else "ProcessingTime" if ttl else "None"
         )
     )
-    return counted.unionByName(unsigned)
+    spread = counted.repartition(F.xxhash64("rows")).mapInArrow(unpack, output)
+    return spread.unionByName(unsigned)
+
+
+def stream_records(spark: SparkSession, progress: str, operator: int = 0) -> DataFrame:
+    """The current record of each signature of a ``dedup_stream`` query, read from its state below the ``progress`` folder.
+
+    The state of the last finished batch is read as a table while the query goes on; nothing is kept twice.
+    """
+    state = (
+        spark.read.format("statestore")
+        .option("operatorId", operator)
+        .option("stateVarName", RECORD_STATE)
+        .load(progress)
+    )
+    value = "value.value" if "value" in state.schema["value"].dataType.names else "value"
+    return state.select(
+        F.col("key.signature").alias("signature"),
+        F.timestamp_micros(F.col(f"{value}.first_seen")).alias("first_seen"),
+        F.timestamp_micros(F.col(f"{value}.last_seen")).alias("last_seen"),
+        F.col(f"{value}.count").alias("count"),
+    )
+
+
+def stream_tracked_count(records: DataFrame, as_of: Column, window_seconds: float = DEFAULT_WINDOW_SECONDS) -> DataFrame:
+    """Number of signatures among ``stream_records`` that are less than one window old at ``as_of``."""
+    age = F.unix_micros(as_of.cast("timestamp")) - F.unix_micros("last_seen")
+    return records.filter(age < window_micros(window_seconds)).agg(F.count("*").alias("tracked"))

@@ -8,20 +8,32 @@ from faultline.operators.metrics import stats_columns
 from faultline.operators.normalize import accepted, normalize, rejected
 from faultline.sources.jsonl import write_json_lines
 
-STATS = "ingest_stats"
 
+def run_to_table(stream: DataFrame, path: str, by_clock: bool = False) -> DataFrame:
+    """Write what is available of ``stream`` to a table and read it back; progress and state are kept beside the table.
 
-def run_to_table(stream: DataFrame, path: str) -> DataFrame:
-    """Write what is available of ``stream`` to a table and read it back."""
-    query = (
+    A query that keeps time by the clock asks for another batch without end. With ``by_clock`` it gets only batches with data.
+    """
+    spark, option = stream.sparkSession, "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = spark.conf.get(option)
+    spark.conf.set(option, "false" if by_clock else before)
+    try:
+        query = start_to_table(stream, path)
+    finally:
+        spark.conf.set(option, before)
+    query.awaitTermination()
+    return spark.read.parquet(path)
+
+
+def start_to_table(stream: DataFrame, path: str):
+    """Start to write what is available of ``stream``."""
+    return (
         stream.writeStream.format("parquet")
         .option("checkpointLocation", path + "-progress")
         .outputMode("append")
         .trigger(availableNow=True)
         .start(path)
     )
-    query.awaitTermination()
-    return stream.sparkSession.read.parquet(path)
 
 
 def start_ingest(
@@ -69,21 +81,6 @@ def run_ingest(raw: DataFrame, table: str, letters: str, **options) -> None:
     start_ingest(raw, table, letters, trigger={"availableNow": True}, **options).awaitTermination()
 
 
-def observed(normalized: DataFrame) -> DataFrame:
-    """Attach the ingest counters; every batch reports them under ``STATS``."""
-    return normalized.observe(STATS, *stats_columns())
-
-
-def observed_totals(query) -> dict[str, int]:
-    """Sum of the counters over the batches the query remembers, the latest hundred as a rule."""
-    totals: dict[str, int] = {}
-    for progress in query.recentProgress:
-        row = progress.observedMetrics.get(STATS)
-        for name, value in (row.asDict() if row is not None else {}).items():
-            totals[name] = totals.get(name, 0) + value
-    return totals
-
-
 def counted_totals(spark: SparkSession, counters: str) -> dict[str, int]:
     """Sum of the counters over all batches that ``start_ingest`` has written, across restarts."""
     schema = "ingested bigint, parsed bigint, errors bigint"

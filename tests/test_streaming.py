@@ -3,7 +3,6 @@ from datetime import datetime, timedelta
 from pyspark.sql import functions as F
 
 from faultline import schemas as S
-from faultline.operators import normalize as N
 from faultline.sources import jsonl
 from faultline.streaming import dedup as stream_dedup
 from faultline.streaming import ingest
@@ -77,18 +76,3 @@ def test_ingest_files_events_and_letters(spark, tmp_path):
     found_letters = jsonl.read_dead_letters(spark, letters)
     assert found_letters.count() == 4
     assert {r.reason for r in found_letters.collect()} == {S.INVALID_JSON}
-
-
-def test_observed_counters(spark, tmp_path):
-    raw = raw_stream(spark, str(tmp_path / "raw"))
-    query = (
-        ingest.observed(N.normalize(raw))
-        .filter(F.col("failed_step") == "")
-        .select("event_id")
-        .writeStream.format("parquet")
-        .option("checkpointLocation", str(tmp_path / "progress"))
-        .trigger(availableNow=True)
-        .start(str(tmp_path / "out"))
-    )
-    query.awaitTermination()
-    assert ingest.observed_totals(query) == {"ingested": 20, "parsed": 16, "errors": 4}
