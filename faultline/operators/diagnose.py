@@ -1,5 +1,6 @@
 """Incidents to prompts, request bodies and diagnoses."""
 
+import re
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -10,12 +11,11 @@ from faultline.functions.json_log import STRICT
 from faultline.functions.severity import severity_name
 from faultline.functions.text import or_empty
 from faultline.operators.dedup import window_micros
+from faultline.operators.rules import filled, with_first_rule
 
 # Model and sampling temperature.
 DEFAULT_MODEL = "gemini-1.5-flash"
 TEMPERATURE = 0.1
-# A table of rules becomes one expression, so it may not grow with the data.
-MAX_RULES = 500
 
 
 class Rule(NamedTuple):
@@ -172,13 +172,8 @@ def requests(
 
 def _filled(text: str) -> Column:
     """Text with ``{service}`` and ``{message}`` replaced by the columns of the event."""
-    parts = [F.lit(text)]
-    for name in ("service", "message"):
-        mark = "{" + name + "}"
-        if mark in text:
-            before, after = text.split(mark, 1)
-            parts = [F.lit(before), F.col(name), F.lit(after)]
-    return F.concat(*parts)
+    parts = re.split(r"\{(service|message)\}", text)
+    return F.concat(*[F.col(part) if i % 2 else F.lit(part) for i, part in enumerate(parts)])
 
 
 def _outcome(rule: Rule) -> Column:
@@ -196,52 +191,38 @@ def _outcome(rule: Rule) -> Column:
     )
 
 
-def rules_of(table: DataFrame, most: int = MAX_RULES) -> tuple[Rule, ...]:
-    """Rules from a table: ``priority``, ``phrases`` and ``commands`` (arrays of text), ``root_cause``, ``severity``, ``component``.
-
-    The lowest priority comes first, null ones last and equal ones by cause and phrases. Absent
-    texts are '', absent arrays and their null entries are left out, phrases match without case;
-    a rule without phrases never matches. A table of more than ``most`` rules is refused.
-    """
-    rows = table.select("priority", *Rule._fields).limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"more than {most} rules")
-
-    def texts(values):
-        return tuple(value for value in values or () if value is not None)
-
-    found = [
-        (
-            (row.priority is None, row.priority or 0),
-            Rule(
-                tuple(phrase.lower() for phrase in texts(row.phrases)),
-                row.root_cause or "",
-                row.severity or "",
-                row.component or "",
-                texts(row.commands),
-            ),
-        )
-        for row in rows
-    ]
-    return tuple(
-        rule for _, rule in sorted(found, key=lambda x: (x[0], x[1].root_cause, x[1].phrases))
+def _table_outcome(rule: Column) -> Column:
+    """The outcome of a rule from a table, see ``rules.first_rules``."""
+    severity, component = rule["severity"], rule["component"]
+    return F.struct(
+        filled(rule["root_cause"]).alias("root_cause"),
+        F.when(severity != "", severity).otherwise(severity_name(F.col("severity"))).alias("severity"),
+        F.when(component != "", component).otherwise(F.col("service")).alias("affected_component"),
+        F.transform(rule["commands"], filled).alias("fix_commands"),
     )
 
 
 def diagnose(incidents: DataFrame, rules=RULES, otherwise: Rule = OTHERWISE) -> DataFrame:
     """Rule diagnosis (``DIAGNOSIS`` without raw response) and ``failure`` per incident.
 
-    The first rule that matches counts, see ``rules_of`` for rules in a table. Nothing measures
-    how sure a rule is, so confidence and tokens are null. A row without event id has no event to
-    diagnose and gets a failure instead.
+    ``rules`` are a few rules, the first that matches counts, or a table of any number of them: ``priority``, ``phrases`` and
+    ``commands`` (arrays of text), ``root_cause``, ``severity``, ``component``. In a table the lowest priority comes first, null
+    ones last and equal ones by cause and phrases; absent texts are '', absent arrays and their null entries are left out, phrases
+    match without case and a rule without phrases never matches. Nothing measures how sure a rule is, so confidence and tokens
+    are null. A row without event id has no event to diagnose and gets a failure instead. With a table ``incidents`` is read
+    more than once: store it first when it is costly to compute.
     """
-    message = F.lower("message")
     found = _outcome(otherwise)
-    for rule in reversed(rules):
-        hit = F.lit(False)
-        for phrase in rule.phrases:
-            hit = hit | F.contains(message, F.lit(phrase))
-        found = F.when(hit, _outcome(rule)).otherwise(found)
+    if isinstance(rules, DataFrame):
+        incidents, rule = with_first_rule(incidents, rules)
+        found = F.when(F.col(rule).isNotNull(), _table_outcome(F.col(rule))).otherwise(found)
+    else:
+        message = F.lower("message")
+        for rule in reversed(rules):
+            hit = F.lit(False)
+            for phrase in rule.phrases:
+                hit = hit | F.contains(message, F.lit(phrase))
+            found = F.when(hit, _outcome(rule)).otherwise(found)
     has_event = F.col("event_id").isNotNull()
     return incidents.select(
         "event_id",

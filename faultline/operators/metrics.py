@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from faultline.functions.text import or_empty
+from faultline.operators.quantiles import exact_quantile
 from faultline.operators.slices import previous_value, sliced_by_range
 
 # Streams with more events than this are compared slice by slice.
@@ -29,8 +30,9 @@ def stats(normalized: DataFrame, *by: str) -> DataFrame:
 def sequence_gaps(events: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Rows whose sequence number does not follow the one received before in its stream.
 
-    ``missing`` counts skipped numbers, ``reordered`` marks a number below the one before. Rows
-    without stream are one stream named ''.
+    This is the view in the order of arrival: ``missing`` counts the numbers skipped, which may still
+    come later, ``reordered`` marks a number not above the one before. For the numbers that never come see
+    ``missing_ranges``. Rows without stream are one stream named ''.
     """
     events = events.withColumn("stream_id", or_empty(F.col("stream_id")))
     largest = events.groupBy("stream_id").count().agg(F.max("count")).first()[0] or 0
@@ -51,16 +53,60 @@ def sequence_gaps(events: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     )
 
 
+def missing_ranges(events: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """The ranges of sequence numbers that a stream lacks between its least and greatest, whatever the order of arrival.
+
+    Columns: stream_id, missing_from, missing_to, missing (how many). Repeated numbers count once, null numbers do not count;
+    rows without stream are one stream named ''.
+    """
+    numbers = events.select(or_empty(F.col("stream_id")).alias("stream_id"), "seq_no").dropna().distinct()
+    largest = numbers.groupBy("stream_id").count().agg(F.max("count")).first()[0] or 0
+    if largest <= hot_rows:
+        by_number = Window.partitionBy("stream_id").orderBy("seq_no")
+        paired = numbers.withColumn("below", F.lag("seq_no").over(by_number))
+    else:
+        sliced = sliced_by_range(numbers, ["stream_id"], ["seq_no"])
+        paired = previous_value(sliced, ["stream_id"], ["seq_no"], "seq_no", "below")
+    return paired.filter(F.col("seq_no") > F.col("below") + 1).select(
+        "stream_id",
+        (F.col("below") + 1).alias("missing_from"),
+        (F.col("seq_no") - 1).alias("missing_to"),
+        (F.col("seq_no") - F.col("below") - 1).alias("missing"),
+    )
+
+
+def sequence_summary(events: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Per stream: events, first and last number, repeated (events beyond the first of a number), missing, and reordered
+    (arrivals that do not go beyond the one before)."""
+    named = events.withColumn("stream_id", or_empty(F.col("stream_id")))
+    numbers = named.groupBy("stream_id", "seq_no").agg(F.count("*").alias("times"))
+    last, first = F.max("seq_no"), F.min("seq_no")
+    counts = numbers.groupBy("stream_id").agg(
+        F.sum("times").alias("events"),
+        first.alias("first_seq"),
+        last.alias("last_seq"),
+        F.sum(F.when(F.col("seq_no").isNotNull(), F.col("times") - 1).otherwise(0)).alias("repeated"),
+        F.coalesce(last - first + 1 - F.count("seq_no"), F.lit(0)).alias("missing"),
+    )
+    back = sequence_gaps(named, hot_rows).groupBy("stream_id").agg(F.count_if("reordered").alias("reordered"))
+    return counts.join(back, "stream_id", "left").fillna(0, ["reordered"])
+
+
 def ingestion_lag(events: DataFrame) -> DataFrame:
-    """Delay between event time and reception per service, in microseconds."""
+    """Delay between event time and reception per service, in microseconds; the median is exact (the lower one of two).
+
+    ``events`` is read twice: store it first when it is costly to compute.
+    """
     lag = F.unix_micros("received_at") - F.unix_micros("timestamp")
-    return events.groupBy("service").agg(
+    lags = events.select("service", lag.alias("lag"))
+    median = exact_quantile(lags, "service", "lag", 0.5, "median_lag_us")
+    counts = lags.groupBy("service").agg(
         F.count("*").alias("events"),
-        F.min(lag).alias("min_lag_us"),
-        F.max(lag).alias("max_lag_us"),
-        F.sum(lag).alias("total_lag_us"),
-        F.percentile_approx(lag, 0.5).alias("median_lag_us"),
+        F.min("lag").alias("min_lag_us"),
+        F.max("lag").alias("max_lag_us"),
+        F.sum("lag").alias("total_lag_us"),
     )
+    return counts.join(median, "service", "left")
 
 
 def throughput(events: DataFrame, bucket: str = "1 hour") -> DataFrame:

@@ -508,11 +508,23 @@ def sequence_gaps_hot_stream(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("stream_id", "previous_seq", "seq_no", "missing", "reordered")
 
 
+def missing_ranges(spark: SparkSession, folder: str) -> DataFrame:
+    return M.missing_ranges(I.turns(spark, folder))
+
+
+def missing_ranges_hot_stream(spark: SparkSession, folder: str) -> DataFrame:
+    return M.missing_ranges(I.turns(spark, folder), hot_rows=0)
+
+
+def sequence_summary(spark: SparkSession, folder: str) -> DataFrame:
+    return M.sequence_summary(I.turns(spark, folder))
+
+
 def ingestion_lag(spark: SparkSession, folder: str) -> DataFrame:
     events = N.accepted(_json_events(spark, folder)).withColumn(
         "received_at", F.col("received_at") + F.expr("make_dt_interval(0, 0, 0, seq_no % 90)")
     )
-    return M.ingestion_lag(events).drop("median_lag_us")
+    return M.ingestion_lag(materialize(events.select("service", "received_at", "timestamp")))
 
 
 def throughput(spark: SparkSession, folder: str) -> DataFrame:
@@ -608,7 +620,20 @@ def table_rule_diagnosis(spark: SparkSession, folder: str) -> DataFrame:
         F.lit(None).cast("string").alias("component"),
         F.array(F.concat(F.lit("page {service} of "), nation)).alias("commands"),
     )
-    return _diagnosis_columns(P.diagnose(_incidents(spark, folder), P.rules_of(by_nation)))
+    return _diagnosis_columns(P.diagnose(materialize(_incidents(spark, folder)), by_nation))
+
+
+def many_rule_diagnosis(spark: SparkSession, folder: str) -> DataFrame:
+    """One rule for each order: messages with its key or from the address of its customer."""
+    by_order = spark.read.parquet(f"{folder}/orders.parquet").select(
+        F.expr("o_orderkey % 1009").alias("priority"),
+        F.expr("array('AFTER ' || o_orderkey || ' MS', ' at 10.0.0.' || (o_custkey % 997) || ':')").alias("phrases"),
+        F.expr("'order ' || o_orderkey || ' of {service}: {message}'").alias("root_cause"),
+        F.expr("CASE WHEN o_orderkey % 2 = 0 THEN 'warn' END").alias("severity"),
+        F.lit("orders").alias("component"),
+        F.expr("array('hold ' || o_orderkey, null)").alias("commands"),
+    )
+    return _diagnosis_columns(P.diagnose(materialize(_incidents(spark, folder)), by_order))
 
 
 def missing_events(spark: SparkSession, folder: str) -> DataFrame:
@@ -866,6 +891,9 @@ QUERIES = {
         ingest_totals,
         sequence_gaps,
         sequence_gaps_hot_stream,
+        missing_ranges,
+        missing_ranges_hot_stream,
+        sequence_summary,
         ingestion_lag,
         throughput,
         template_catalogue,
@@ -877,6 +905,7 @@ QUERIES = {
         rule_diagnosis,
         diagnosis_texts,
         table_rule_diagnosis,
+        many_rule_diagnosis,
         missing_events,
         stream_dedup_events,
         stream_dedup_ordered,

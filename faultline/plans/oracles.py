@@ -320,6 +320,9 @@ GAPS = f"""WITH turns AS ({I.TURNS}),
 paired AS (SELECT *, lag(seq_no) OVER (PARTITION BY stream_id ORDER BY t, seq_no) AS previous_seq FROM turns)
 SELECT stream_id, previous_seq, seq_no, greatest(seq_no - previous_seq - 1, 0) AS missing,
   seq_no <= previous_seq AS reordered FROM paired WHERE seq_no <> previous_seq + 1"""
+RANGES = f"""WITH turns AS ({I.TURNS}), numbers AS (SELECT DISTINCT stream_id, seq_no FROM turns),
+paired AS (SELECT *, lag(seq_no) OVER (PARTITION BY stream_id ORDER BY seq_no) AS below FROM numbers)
+SELECT stream_id, below + 1 AS missing_from, seq_no - 1 AS missing_to, seq_no - below - 1 AS missing FROM paired WHERE seq_no > below + 1"""
 FRAME_LIST = "[" + ", ".join(C.FRAME_SHAPES) + "]"
 DEPTH_FRAMES = f"({FRAME_LIST} || ['tail.' || event_type])"
 ANSWERS = C.ANSWER_BODY.format(id="event_id").replace("{{", "{").replace("}}", "}")
@@ -413,9 +416,15 @@ CAST(count_if(failed_step <> '') AS BIGINT) AS errors FROM mixed GROUP BY source
 CAST(count_if(failed_step <> '') AS BIGINT) AS errors FROM ev""",
     "sequence_gaps": GAPS,
     "sequence_gaps_hot_stream": GAPS,
+    "missing_ranges": RANGES,
+    "missing_ranges_hot_stream": RANGES,
+    "sequence_summary": f"""WITH turns AS ({I.TURNS}),
+paired AS (SELECT *, lag(seq_no) OVER (PARTITION BY stream_id ORDER BY t, seq_no) AS previous_seq FROM turns)
+SELECT stream_id, count(*) AS events, min(seq_no) AS first_seq, max(seq_no) AS last_seq, count(*) - count(DISTINCT seq_no) AS repeated,
+max(seq_no) - min(seq_no) + 1 - count(DISTINCT seq_no) AS missing, count_if(seq_no <= previous_seq)::BIGINT AS reordered FROM paired GROUP BY stream_id""",
     "ingestion_lag": f"""{JSON}, lag AS (SELECT service, epoch_us(received_at) + (seq_no % 90) * 1000000 - t AS lag FROM ok)
-SELECT service, count(*) AS events, min(lag) AS min_lag_us, max(lag) AS max_lag_us, CAST(sum(lag) AS BIGINT) AS total_lag_us
-FROM lag GROUP BY service""",
+SELECT service, count(*) AS events, min(lag) AS min_lag_us, max(lag) AS max_lag_us, CAST(sum(lag) AS BIGINT) AS total_lag_us,
+quantile_disc(lag, 0.5) AS median_lag_us FROM lag GROUP BY service""",
     "throughput": f"""{JSON} SELECT epoch_us(date_trunc('hour', received_at)) AS bucket_start, stream_id, count(*) AS events,
 CAST(sum(strlen(payload)) AS BIGINT) AS bytes FROM ok GROUP BY ALL""",
     "template_catalogue": f"{JSON} {CATALOGUE}",
@@ -442,6 +451,16 @@ SELECT event_id, signature, CASE WHEN rule IS NULL THEN 'Unhandled application e
 CASE WHEN rule IS NULL THEN {NAME.format(s='severity')} ELSE 'warn' END AS severity, service AS affected_component,
 CASE WHEN rule IS NULL THEN 'kubectl logs -l app=' || service || ' --tail=100' ELSE 'page ' || service || ' of ' || lower(n_name) END AS fix_commands,
 CAST(NULL AS INTEGER) AS confidence_percent, CAST(NULL AS INTEGER) AS tokens_used, '' AS failure FROM ruled LEFT JOIN nation ON rule = n_nationkey""",
+    "many_rule_diagnosis": f"""{INCIDENTS}, phrases AS (
+  SELECT 'after ' || o_orderkey || ' ms' AS phrase, o_orderkey % 1009 AS p, o_orderkey AS k FROM orders
+  UNION ALL SELECT ' at 10.0.0.' || (o_custkey % 997) || ':', o_orderkey % 1009, o_orderkey FROM orders),
+firsts AS (SELECT phrase, min([lpad(p::VARCHAR, 9, '0'), 'order ' || k || ' of', k::VARCHAR]) AS best FROM phrases GROUP BY phrase),
+ruled AS (SELECT i.*, (SELECT min(best) FROM firsts WHERE contains(lower(message), phrase)) AS best FROM incident i)
+SELECT event_id, signature, CASE WHEN best IS NULL THEN 'Unhandled application error: ' || message ELSE best[2] || ' ' || service || ': ' || message END AS root_cause,
+CASE WHEN best[3]::BIGINT % 2 = 0 THEN 'warn' ELSE {NAME.format(s='severity')} END AS severity,
+CASE WHEN best IS NULL THEN service ELSE 'orders' END AS affected_component,
+CASE WHEN best IS NULL THEN 'kubectl logs -l app=' || service || ' --tail=100' ELSE 'hold ' || best[3] END AS fix_commands,
+CAST(NULL AS INTEGER) AS confidence_percent, CAST(NULL AS INTEGER) AS tokens_used, '' AS failure FROM ruled""",
     "missing_events": f"""WITH {INCIDENT}, asked AS (SELECT seq_no % 4 <> 0 AS has FROM ok WHERE severity >= 4)
 SELECT CASE WHEN has THEN '' ELSE 'llm: nil diagnosis request' END AS failure, count(*) AS requests,
 CAST(count_if(has) AS BIGINT) AS diagnoses FROM asked GROUP BY has""",
