@@ -269,13 +269,11 @@ def _best_answers(answers: DataFrame) -> DataFrame:
     return best.select("event_id", *[F.col("_best")[name].alias(name) for name in rest])
 
 
-def responses(requested: DataFrame, answers: DataFrame) -> DataFrame:
-    """Answers (``event_id``, HTTP ``status``, ``body``) to diagnoses, one per request.
+def decoded_answers(answers: DataFrame, *kept: str) -> DataFrame:
+    """Answers (``event_id``, HTTP ``status``, ``body``) with the parts of their diagnosis and ``failure``.
 
-    Event id and signature come from the request, whatever the answer says. ``failure`` is ''
-    for a usable answer; a missing answer or another status than 200 is a provider failure. Keys
-    are matched without case, the last of equal ones counts. Of several answers to a request a
-    usable one is taken, and among equally usable ones the largest by value.
+    ``failure`` is '' for a usable answer; another status than 200 is a provider failure, and a body that is no
+    object with values of the right types is an invalid response. Keys are matched without case, the last of equal ones counts.
     """
     decoded = answers.withColumn(
         "_values",
@@ -298,28 +296,35 @@ def responses(requested: DataFrame, answers: DataFrame) -> DataFrame:
     def value(name: str, type_name: str) -> Column:
         return F.when(F.col("_fits"), held(name).try_cast(type_name))
 
-    joined = requested.join(
-        _best_answers(decoded.select(
-            "event_id",
-            F.when(F.col("status") != 200, F.format_string(
-                S.PROVIDER_FAILED + ": http status %d: %s", "status", or_empty(F.col("body"))
-            ))
-            .when(~F.col("_fits"), S.INVALID_RESPONSE)
-            .otherwise("")
-            .alias("failure"),
-            or_empty(value("root_cause", "string")).alias("root_cause"),
-            or_empty(value("severity", "string")).alias("severity"),
-            or_empty(value("affected_component", "string")).alias("affected_component"),
-            F.coalesce(
-                value("fix_commands", "array<string>"), F.array().cast("array<string>")
-            ).alias("fix_commands"),
-            F.coalesce(value("confidence_score", "double"), F.lit(0.0)).alias("confidence_score"),
-            or_empty(value("raw_response", "string")).alias("raw_response"),
-            F.coalesce(value("tokens_used", "int"), F.lit(0)).alias("tokens_used"),
-        )),
+    return decoded.select(
         "event_id",
-        "left",
+        *kept,
+        F.when(F.col("status") != 200, F.format_string(
+            S.PROVIDER_FAILED + ": http status %d: %s", "status", or_empty(F.col("body"))
+        ))
+        .when(~F.col("_fits"), S.INVALID_RESPONSE)
+        .otherwise("")
+        .alias("failure"),
+        or_empty(value("root_cause", "string")).alias("root_cause"),
+        or_empty(value("severity", "string")).alias("severity"),
+        or_empty(value("affected_component", "string")).alias("affected_component"),
+        F.coalesce(
+            value("fix_commands", "array<string>"), F.array().cast("array<string>")
+        ).alias("fix_commands"),
+        F.coalesce(value("confidence_score", "double"), F.lit(0.0)).alias("confidence_score"),
+        or_empty(value("raw_response", "string")).alias("raw_response"),
+        F.coalesce(value("tokens_used", "int"), F.lit(0)).alias("tokens_used"),
     )
+
+
+def responses(requested: DataFrame, answers: DataFrame) -> DataFrame:
+    """Answers (``event_id``, HTTP ``status``, ``body``) to diagnoses, one per request.
+
+    Event id and signature come from the request, whatever the answer says. For ``failure`` see
+    ``decoded_answers``; a missing answer is a provider failure. Of several answers to a request a
+    usable one is taken, and among equally usable ones the largest by value.
+    """
+    joined = requested.join(_best_answers(decoded_answers(answers)), "event_id", "left")
     return joined.select(
         "event_id",
         "signature",

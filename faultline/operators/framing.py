@@ -92,60 +92,80 @@ def frame_text(
 
 
 def long_lines_of_text(
-    streams: DataFrame, text: str = "text", max_line_bytes: int = DEFAULT_MAX_LINE_BYTES
+    streams: DataFrame,
+    text: str = "text",
+    max_line_bytes: int = DEFAULT_MAX_LINE_BYTES,
+    stop_at_long_line: bool = False,
 ) -> DataFrame:
-    """Raw events of the long lines, numbered by line, for the dead letters."""
-    return (
+    """Raw events of the lines that ``frame_text`` leaves out, for the dead letters: see ``long_lines``."""
+    found = (
         streams.filter(too_long(F.col(text), max_line_bytes))
-        .select(
-            "source",
-            "stream_id",
-            "received_at",
-            F.posexplode(X.lines(F.col(text))).alias("_pos", "payload"),
-        )
-        .filter(too_long(F.col("payload"), max_line_bytes))
-        .select(
-            "source",
-            "payload",
-            "stream_id",
-            "received_at",
-            (F.col("_pos") + 1).cast("bigint").alias("seq_no"),
-            F.lit(S.LINE_TOO_LONG).alias("reason"),
+        .withColumn("_lines", X.lines(F.col(text)))
+        .withColumn(
+            "_first",
+            F.array_position(F.transform("_lines", lambda x: too_long(x, max_line_bytes)), True),
         )
+        .select("source", "stream_id", "received_at", "_first", F.posexplode("_lines").alias("_pos", "payload"))
+    )
+    long = too_long(F.col("payload"), max_line_bytes)
+    behind = (F.col("_first") > 0) & (F.col("_pos") >= F.col("_first")) & (X.chomp(F.col("payload")) != "")
+    return found.filter(long | behind if stop_at_long_line else long).select(
+        "source",
+        "payload",
+        "stream_id",
+        "received_at",
+        (-F.col("_pos") - 1).cast("bigint").alias("seq_no"),
+        F.when(long, S.LINE_TOO_LONG).otherwise(S.STREAM_STOPPED).alias("reason"),
     )
 
 
-def _bounded_lines(lines: DataFrame, max_line_bytes: int, stop: bool) -> DataFrame:
-    """Line rows with slices, without long lines or with their streams cut.
-
-    Rows without stream or source belong to the stream or source ''.
-    """
+def _named(lines: DataFrame) -> DataFrame:
+    """Line rows with slices; rows without stream or source belong to the stream or source ''."""
     lines = lines.withColumns({name: X.or_empty(F.col(name)) for name in ("stream_id", "source")})
-    if SLICE not in lines.columns:
-        lines = sliced_by_position(lines, "line_no")
-    long = too_long(F.col("line"), max_line_bytes)
-    if not stop:
-        return lines.filter(~F.coalesce(long, F.lit(False)))
+    return lines if SLICE in lines.columns else sliced_by_position(lines, "line_no")
+
+
+def _stops(lines: DataFrame, max_line_bytes: int) -> DataFrame:
+    """Line rows with ``_end``, the place of the first long line of their stream, or null."""
     place = F.struct(SLICE, "line_no")
-    ends = lines.filter(long).groupBy("stream_id").agg(F.min(place).alias("_end"))
-    return (
-        lines.join(ends, "stream_id", "left")
-        .filter(F.col("_end").isNull() | (place < F.col("_end")))
-        .drop("_end")
-    )
+    ends = lines.filter(too_long(F.col("line"), max_line_bytes)).groupBy("stream_id").agg(F.min(place).alias("_end"))
+    return lines.join(ends, "stream_id", "left")
+
+
+def _bounded_lines(lines: DataFrame, max_line_bytes: int, stop: bool) -> DataFrame:
+    """Line rows with slices, without long lines or with their streams cut."""
+    lines = _named(lines)
+    if not stop:
+        return lines.filter(~F.coalesce(too_long(F.col("line"), max_line_bytes), F.lit(False)))
+    before = F.col("_end").isNull() | (F.struct(SLICE, "line_no") < F.col("_end"))
+    return _stops(lines, max_line_bytes).filter(before).drop("_end")
 
 
 def long_lines(
-    lines: DataFrame, max_line_bytes: int = DEFAULT_MAX_LINE_BYTES
+    lines: DataFrame,
+    max_line_bytes: int = DEFAULT_MAX_LINE_BYTES,
+    stop_at_long_line: bool = False,
 ) -> DataFrame:
-    """Raw events of the long lines among line rows, numbered by line, for the dead letters."""
-    return lines.filter(too_long(F.col("line"), max_line_bytes)).select(
-        X.or_empty(F.col("source")).alias("source"),
+    """Raw events of the lines that framing leaves out, for the dead letters.
+
+    Numbers of records count records, so these have numbers of their own: the place of the line in its stream, from one,
+    negative. No id of a record is the id of a letter. With ``stop_at_long_line`` the lines with text behind the first
+    long one are given too, with a reason of their own, so that records and letters together hold the whole stream.
+    """
+    named = _named(lines)
+    long = F.coalesce(too_long(F.col("line"), max_line_bytes), F.lit(False))
+    if stop_at_long_line:
+        behind = F.struct(SLICE, "line_no") > F.col("_end")
+        named = _stops(named, max_line_bytes).filter(long | (behind & (X.chomp(F.col("line")) != "")))
+    else:
+        named = named.filter(long)
+    return named.select(
+        "source",
         F.col("line").alias("payload"),
-        X.or_empty(F.col("stream_id")).alias("stream_id"),
+        "stream_id",
         "received_at",
-        (F.col("line_no") + 1).cast("bigint").alias("seq_no"),
-        F.lit(S.LINE_TOO_LONG).alias("reason"),
+        (-F.col("line_no") - 1).cast("bigint").alias("seq_no"),
+        F.when(long, S.LINE_TOO_LONG).otherwise(S.STREAM_STOPPED).alias("reason"),
     )
 
 
@@ -270,8 +290,13 @@ def number_file_lines(
         lines.filter(~F.coalesce(too_long(F.col("line"), max_line_bytes), F.lit(False)))
         .withColumn("payload", F.regexp_replace("line", r"\r\z", ""))
         .filter(F.col("payload") != "")
-        .withColumn("_id", F.monotonically_increasing_id())
     )
+    return _numbered_in_place(kept).select("source", "payload", "stream_id", "received_at", F.col("_place").alias("seq_no"))
+
+
+def _numbered_in_place(kept: DataFrame) -> DataFrame:
+    """Rows of file splits with ``_place``, their number in the stream from one."""
+    kept = kept.withColumn("_id", F.monotonically_increasing_id())
     per_split = kept.groupBy("stream_id", SLICE).agg(
         F.min("_id").alias("_first"), F.count("*").alias("_rows")
     )
@@ -283,24 +308,24 @@ def number_file_lines(
         SLICE,
         (F.coalesce(F.sum("_rows").over(before), F.lit(0)) - F.col("_first")).alias("_shift"),
     )
-    return kept.join(offsets, ["stream_id", SLICE]).select(
-        "source",
-        "payload",
-        "stream_id",
-        "received_at",
-        (F.col("_id") + F.col("_shift") + 1).alias("seq_no"),
-    )
+    placed = kept.join(offsets, ["stream_id", SLICE])
+    return placed.withColumn("_place", F.col("_id") + F.col("_shift") + 1)
 
 
 def long_file_lines(
-    lines: DataFrame, max_line_bytes: int = DEFAULT_MAX_LINE_BYTES
+    lines: DataFrame, max_line_bytes: int = DEFAULT_MAX_LINE_BYTES, before: int = 0
 ) -> DataFrame:
-    """Raw events of the long lines of files; they have no number as files are not counted twice."""
-    return lines.filter(too_long(F.col("line"), max_line_bytes)).select(
+    """Raw events of the long lines of files, for the dead letters.
+
+    Only they are counted, not all lines: their number is minus their place among the long lines of the stream (and
+    minus ``before``), so that no record has it. Numbers and lines come from one reading of the files.
+    """
+    long = lines.filter(too_long(F.col("line"), max_line_bytes))
+    return _numbered_in_place(long).select(
         "source",
         F.col("line").alias("payload"),
         "stream_id",
         "received_at",
-        F.lit(None).cast("bigint").alias("seq_no"),
+        (-F.col("_place") - F.lit(before)).cast("bigint").alias("seq_no"),
         F.lit(S.LINE_TOO_LONG).alias("reason"),
     )

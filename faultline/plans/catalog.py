@@ -18,7 +18,7 @@ from faultline.operators import normalize as N
 from faultline.plans import inputs as I
 from faultline.session import materialize, new_folder
 from faultline.sources import jsonl, text as files
-from faultline.streaming import counters
+from faultline.streaming import answers, counters
 from faultline.streaming import dedup as stream_dedup
 from faultline.streaming import frames as stream_frames
 from faultline.streaming import ingest as stream_ingest
@@ -99,6 +99,32 @@ def long_lines_dead_letters(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _letter_rows(found: DataFrame) -> DataFrame:
+    return D.dead_letters(found, attempts=1).select(
+        "event_id", "stream_id", "seq_no", "reason", F.octet_length("raw_payload").alias("bytes")
+    )
+
+
+def long_line_letters_of_rows(spark: SparkSession, folder: str) -> DataFrame:
+    return _letter_rows(R.long_lines(_language_lines(spark, folder), LINE_BYTES))
+
+
+def long_line_letters_of_stop(spark: SparkSession, folder: str) -> DataFrame:
+    """All that ``long_lines_stop`` leaves out: the long line and what follows it."""
+    return _letter_rows(R.long_lines(_language_lines(spark, folder), LINE_BYTES, stop_at_long_line=True))
+
+
+def long_line_letters_of_files(spark: SparkSession, folder: str) -> DataFrame:
+    """The language streams as one file each, read in place."""
+    path = new_folder(spark, "log-files")
+    lines = _language_lines(spark, folder).withColumn("log", F.regexp_replace("stream_id", "[^a-z0-9]", "-"))
+    ordered = lines.repartition("log").sortWithinPartitions("log", "line_no")
+    ordered.select("log", "line").write.partitionBy("log").text(path)
+    found = R.long_file_lines(files.read_lines(spark, path, "json"), LINE_BYTES)
+    named = found.withColumn("stream_id", F.regexp_extract("stream_id", "log=([^/]*)", 1))
+    return _letter_rows(named)
+
+
 def file_lines(spark: SparkSession, folder: str) -> DataFrame:
     """Documents written as log files and read back in place."""
     path = new_folder(spark, "log-files")
@@ -660,14 +686,12 @@ ANSWER_BODY = (
 
 def diagnosis_responses(spark: SparkSession, folder: str) -> DataFrame:
     asked = materialize(N.error_events(_json_events(spark, folder, I.INCIDENT)))
-    answers = asked.select(
+    told = asked.select(
         F.expr("CASE WHEN seq_no % 8 <> 0 THEN event_id END").alias("event_id"),
         F.expr(ANSWER_STATUS).alias("status"),
         F.expr(ANSWER_BODY.format(id="event_id")).alias("body"),
     )
-    return _diagnosis_columns(
-        P.responses(asked.select("event_id", "signature"), answers)
-    )
+    return _diagnosis_columns(P.responses(asked.select("event_id", "signature"), told))
 
 
 def error_incidents(spark: SparkSession, folder: str) -> DataFrame:
@@ -763,6 +787,37 @@ def stream_tracked_count(spark: SparkSession, folder: str) -> DataFrame:
     return stream_dedup.stream_tracked_count(_stream_state(spark, folder), F.lit(last), 6 * HOUR)
 
 
+def stream_responses(spark: SparkSession, folder: str) -> DataFrame:
+    """Requests and answers arriving as files, answers up to six minutes later; those after four minutes come too late.
+
+    A last request and a last answer, a year later, move both clocks past all others; the request waits at the end.
+    """
+    path = new_folder(spark, "responses")
+    asked = materialize(N.error_events(_json_events(spark, folder, I.INCIDENT)))
+    sent = asked.select("event_id", "signature", F.col("received_at").alias("sent_at"))
+    told = asked.select(
+        F.expr("CASE WHEN seq_no % 8 <> 0 THEN event_id END").alias("event_id"),
+        F.expr(ANSWER_STATUS).alias("status"),
+        F.expr(ANSWER_BODY.format(id="event_id")).alias("body"),
+        (F.col("received_at") + F.expr("make_dt_interval(0, 0, seq_no % 7, 0)")).alias("answered_at"),
+    )
+    last = asked.agg((F.max("received_at") + F.expr("interval 365 days")).alias("at"))
+    for name, rows, end in (
+        ("sent", sent, last.select(F.lit("clock").alias("event_id"), F.lit("").alias("signature"), F.col("at").alias("sent_at"))),
+        ("told", told, last.select(F.lit("clock").alias("event_id"), F.lit(500).alias("status"), F.lit("").alias("body"), F.col("at").alias("answered_at"))),
+    ):
+        rows.repartition(2).write.parquet(f"{path}/{name}/1")
+        end.coalesce(1).write.parquet(f"{path}/{name}/2")
+
+    def arriving(name: str, rows: DataFrame) -> DataFrame:
+        reader = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true")
+        return reader.parquet(f"{path}/{name}")
+
+    found = answers.match_answers(arriving("sent", sent), arriving("told", told), 240, lateness_seconds=40 * 24 * HOUR)
+    stored = stream_ingest.run_to_table(found, new_folder(spark, "stream-responses"))
+    return _diagnosis_columns(stored)
+
+
 def stream_stats(spark: SparkSession, folder: str) -> DataFrame:
     """JSON lines arriving as five files, one a batch; a listener writes the counters of every batch."""
     path, rows = new_folder(spark, "json-raw"), new_folder(spark, "counters")
@@ -850,6 +905,9 @@ QUERIES = {
         long_lines_stop,
         long_lines_left_out,
         long_lines_dead_letters,
+        long_line_letters_of_rows,
+        long_line_letters_of_stop,
+        long_line_letters_of_files,
         file_lines,
         event_ids,
         dead_letters,
@@ -912,6 +970,7 @@ QUERIES = {
         stream_current_records,
         stream_tracked_count,
         stream_stats,
+        stream_responses,
         stream_traces,
         stream_dead_letters,
         stream_lines_over_files,

@@ -327,6 +327,19 @@ FRAME_LIST = "[" + ", ".join(C.FRAME_SHAPES) + "]"
 DEPTH_FRAMES = f"({FRAME_LIST} || ['tail.' || event_type])"
 ANSWERS = C.ANSWER_BODY.format(id="event_id").replace("{{", "{").replace("}}", "}")
 
+def _responses(k: str) -> str:
+    """Diagnoses of all requests; ``k`` says what their answer is like, 0 for none."""
+    return f"""WITH {INCIDENT}, asked AS (SELECT event_id, signature, seq_no, {k} AS k FROM ok WHERE severity >= 4)
+SELECT event_id, signature, CASE WHEN k > 3 THEN 'cause ' || event_id WHEN k = 0 THEN NULL ELSE '' END AS root_cause,
+CASE WHEN k > 3 THEN 'error' WHEN k = 0 THEN NULL ELSE '' END AS severity,
+CASE WHEN k > 3 THEN 'db' WHEN k = 0 THEN NULL ELSE '' END AS affected_component,
+CASE WHEN k > 3 THEN 'restart ' || seq_no || '|check' WHEN k = 0 THEN NULL ELSE '' END AS fix_commands,
+CASE WHEN k > 3 THEN 50 WHEN k = 0 THEN NULL ELSE 0 END AS confidence_percent,
+CAST(CASE WHEN k > 3 THEN seq_no WHEN k = 0 THEN NULL ELSE 0 END AS INTEGER) AS tokens_used,
+CASE WHEN k > 3 THEN '' WHEN k = 0 THEN 'llm: provider request failed' WHEN k = 1 THEN 'llm: provider request failed: http status 503: busy'
+ELSE 'llm: invalid json response from provider' END AS failure FROM asked"""
+
+
 ORACLES = {
     "error_incidents": _error_windows(_json(I.JSON_RAW))
     + " SELECT service, signature, template, count_if(is_novel)::BIGINT AS incidents, count(*) AS events,"
@@ -350,8 +363,18 @@ FROM lines LEFT JOIN ends USING (stream_id) WHERE line <> '' AND (stop IS NULL O
     "long_lines_left_out": f"""WITH {LANGUAGE_LINES}
 SELECT stream_id, row_number() OVER (PARTITION BY stream_id ORDER BY line_no) AS seq_no, line AS payload
 FROM lines WHERE line <> '' AND NOT long""",
-    "long_lines_dead_letters": f"""WITH {LINES} SELECT stream_id || '-' || (line_no + 1) AS event_id,
+    "long_lines_dead_letters": f"""WITH {LINES} SELECT stream_id || '--' || (line_no + 1) AS event_id,
 'ingest: line too long' AS reason, CAST(strlen(line) AS INTEGER) AS bytes FROM lines WHERE strlen(line) >= {C.LINE_BYTES}""",
+    "long_line_letters_of_rows": f"""WITH {LANGUAGE_LINES} SELECT stream_id || '--' || (line_no + 1) AS event_id, stream_id, -line_no - 1 AS seq_no,
+'ingest: line too long' AS reason, CAST(strlen(line) AS INTEGER) AS bytes FROM lines WHERE long""",
+    "long_line_letters_of_stop": f"""WITH {LANGUAGE_LINES}, ends AS (SELECT stream_id, min(line_no) AS stop FROM lines WHERE long GROUP BY stream_id)
+SELECT stream_id || '--' || (line_no + 1) AS event_id, stream_id, -line_no - 1 AS seq_no,
+CASE WHEN long THEN 'ingest: line too long' ELSE 'ingest: stream stopped at a long line' END AS reason, CAST(strlen(line) AS INTEGER) AS bytes
+FROM lines JOIN ends USING (stream_id) WHERE line_no >= stop AND rtrim(line, chr(13)) <> ''""",
+    "long_line_letters_of_files": f"""WITH {LANGUAGE_LINES}, placed AS (
+  SELECT *, regexp_replace(stream_id, '[^a-z0-9]', '-', 'g') AS log, row_number() OVER (PARTITION BY regexp_replace(stream_id, '[^a-z0-9]', '-', 'g') ORDER BY line_no) AS k
+  FROM lines WHERE long)
+SELECT log || '--' || k AS event_id, log AS stream_id, -k AS seq_no, 'ingest: line too long' AS reason, CAST(strlen(line) AS INTEGER) AS bytes FROM placed""",
     "file_lines": """WITH lines AS (SELECT unnest(string_split(text, chr(10))) AS line FROM documents)
 SELECT count(*) AS records, count(*) AS numbers, CAST(count(*) AS BIGINT) AS last_numbers,
 CAST(sum(strlen(line)) AS BIGINT) AS bytes FROM lines WHERE line <> ''""",
@@ -433,15 +456,7 @@ CAST(sum(strlen(payload)) AS BIGINT) AS bytes FROM ok GROUP BY ALL""",
     "prompts": f"{INCIDENTS} SELECT event_id, {PROMPT} AS prompt FROM incident",
     "diagnosis_requests": f"""{INCIDENTS} SELECT event_id, signature, 'gemini-1.5-flash' AS model, 1 AS messages, 'user' AS role,
 {PROMPT} AS content, 1 AS temperature_tenths FROM incident""",
-    "diagnosis_responses": f"""WITH {INCIDENT}, asked AS (SELECT event_id, signature, seq_no, seq_no % 8 AS k FROM ok WHERE severity >= 4)
-SELECT event_id, signature, CASE WHEN k > 3 THEN 'cause ' || event_id WHEN k = 0 THEN NULL ELSE '' END AS root_cause,
-CASE WHEN k > 3 THEN 'error' WHEN k = 0 THEN NULL ELSE '' END AS severity,
-CASE WHEN k > 3 THEN 'db' WHEN k = 0 THEN NULL ELSE '' END AS affected_component,
-CASE WHEN k > 3 THEN 'restart ' || seq_no || '|check' WHEN k = 0 THEN NULL ELSE '' END AS fix_commands,
-CASE WHEN k > 3 THEN 50 WHEN k = 0 THEN NULL ELSE 0 END AS confidence_percent,
-CAST(CASE WHEN k > 3 THEN seq_no WHEN k = 0 THEN NULL ELSE 0 END AS INTEGER) AS tokens_used,
-CASE WHEN k > 3 THEN '' WHEN k = 0 THEN 'llm: provider request failed' WHEN k = 1 THEN 'llm: provider request failed: http status 503: busy'
-ELSE 'llm: invalid json response from provider' END AS failure FROM asked""",
+    "diagnosis_responses": _responses("seq_no % 8"),
     "rule_diagnosis": f"""{DIAGNOSED} SELECT event_id, signature, root_cause, severity, affected_component, array_to_string(commands, '|') AS fix_commands,
 CAST(NULL AS INTEGER) AS confidence_percent, CAST(NULL AS INTEGER) AS tokens_used, '' AS failure FROM diagnosed""",
     "diagnosis_texts": f"""{DIAGNOSED} SELECT event_id, root_cause || chr(10) || 'Fixes: ' || array_to_string(commands, '; ') AS text FROM diagnosed""",
@@ -470,6 +485,7 @@ CAST(count_if(has) AS BIGINT) AS diagnoses FROM asked GROUP BY has""",
     "stream_tracked_count": f"{BY_USER} SELECT count(*) AS tracked FROM ({CURRENT.format(also='')}) WHERE (SELECT max(t) FROM deduped) - last_seen < {6 * HOUR_US}",
     "stream_stats": f"""{JSON} SELECT CAST(5 AS BIGINT) AS batches, count(*) AS ingested, CAST(count_if(failed_step = '') AS BIGINT) AS parsed,
 CAST(count_if(failed_step <> '') AS BIGINT) AS errors FROM ev""",
+    "stream_responses": _responses("CASE WHEN seq_no % 7 > 4 THEN 0 ELSE seq_no % 8 END"),
     "stream_traces": f"""{TRACE_EVENTS} SELECT 'stacktrace' AS source, severity, count(*) AS events,
 CAST(sum(raw_size) AS BIGINT) AS bytes, CAST(sum(len(frames)) AS BIGINT) AS frames FROM ev GROUP BY severity""",
     "stream_dead_letters": f"""{JSON} SELECT source, reason, count(*) AS letters, max(seq_no) AS last_seq FROM ev

@@ -69,7 +69,10 @@ UNHANDLED_SOURCE = "ingest: unhandled source type"
 INVALID_JSON = "ingest: invalid json payload"
 EMPTY_STACK_TRACE = "ingest: empty stack trace payload"
 VALIDATION_FAILED = "domain: validation failed"
-LINE_TOO_LONG = "ingest: line too long"
 NIL_REQUEST = "llm: nil diagnosis request"
 PROVIDER_FAILED = "llm: provider request failed"
 INVALID_RESPONSE = "llm: invalid json response from provider"
+
+# Reasons of our own: lines that framing leaves out.
+LINE_TOO_LONG = "ingest: line too long"
+STREAM_STOPPED = "ingest: stream stopped at a long line"

@@ -69,7 +69,7 @@ def start_framing(
     """Start a query that frames line rows (``stream_lines``) into raw events below ``records``.
 
     The last block of a stack-trace stream stays in the state until a line ends it, see ``open_blocks``. Long lines
-    are left out and go to ``letters`` as raw events with their reason, where given. Rows without source or stream
+    are left out and go to ``letters`` as raw events with their reason, where given, numbered apart from the records and by batch. Rows without source or stream
     belong to the source or stream ''.
     """
 
@@ -111,7 +111,7 @@ def start_framing(
             untouched = before.join(streams, _STREAM, "left_anti")
             untouched.unionByName(touched).write.mode("overwrite").parquet(f"{state}/batch={number}")
             if letters:
-                long_file_lines(arrived, max_line_bytes).write.mode("overwrite").parquet(f"{letters}/batch={number}")
+                long_file_lines(arrived, max_line_bytes, number << 32).write.mode("overwrite").parquet(f"{letters}/batch={number}")
         finally:
             framed.unpersist()
             arrived.unpersist()

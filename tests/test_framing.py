@@ -73,7 +73,7 @@ def test_long_lines(spark):
     left = R.long_lines_of_text(streams(spark, texts, "json"), max_line_bytes=0)
     assert left.count() == 0
     left = R.long_lines_of_text(streams(spark, texts, "json"), max_line_bytes=4096)
-    assert sorted((r.stream_id, r.seq_no) for r in left.collect()) == [("s0", 2), ("s2", 1), ("s3", 3)]
+    assert sorted((r.stream_id, r.seq_no) for r in left.collect()) == [("s0", -2), ("s2", -1), ("s3", -3)]
 
 
 def test_files_are_read_in_splits(spark, tmp_path):

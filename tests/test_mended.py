@@ -13,6 +13,7 @@ from faultline.operators import framing as R
 from faultline.operators import metrics as M
 from faultline.operators import normalize as N
 from faultline.operators.slices import sliced_by_position
+from faultline.sources import text as text_files
 from faultline.session import materialize
 from faultline.streaming import ingest
 
@@ -54,11 +55,36 @@ def test_a_long_line_does_not_split_its_block(spark):
     for framed in (R.frame_text(streams, max_line_bytes=4096), R.frame(lines, 4096)):
         assert [r.payload for r in framed.orderBy("seq_no").collect()] == ["t\n\tat a\n\tat b", "end"]
     letters = R.long_lines(lines, 4096).collect()
-    assert [(r.stream_id, r.seq_no, r.reason) for r in letters] == [("s", 3, S.LINE_TOO_LONG)]
+    assert [(r.stream_id, r.seq_no, r.reason) for r in letters] == [("s", -3, S.LINE_TOO_LONG)]
     files = lines.withColumn("_slice", F.lit(0))
     assert R.number_file_lines(files, 4096).count() == 4 and R.long_file_lines(files, 4096).count() == 1
 
 
+def test_left_out_lines_have_ids_that_no_record_has(spark, tmp_path):
+    """Records and letters together are all lines with text, and no two of them share an id, in every form of framing."""
+    long = "x" * 5000
+    texts = {"a": f"a\n\n{long}\nb\n\r\nc\n{long}1", "b": "\n\none\ntwo", "c": long}
+    streams = spark.createDataFrame([("json", k, v) for k, v in texts.items()], "source string, stream_id string, text string").withColumn("received_at", F.lit(AT))
+    lines = streams.select("source", "stream_id", "received_at", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    for name, text in texts.items():
+        (tmp_path / name).write_text(text)
+    files = text_files.read_lines(spark, str(tmp_path), "json")
+    for framed, left in (
+        (R.frame_text(streams, max_line_bytes=4096), R.long_lines_of_text(streams, max_line_bytes=4096)),
+        (R.frame(lines, 4096), R.long_lines(lines, 4096)),
+        (R.number_file_lines(files, 4096), R.long_file_lines(files, 4096)),
+        (R.frame_text(streams, "text", 4096, True), R.long_lines_of_text(streams, "text", 4096, True)),
+        (R.frame(lines, 4096, True), R.long_lines(lines, 4096, True)),
+    ):
+        rows = [*framed.select("stream_id", "seq_no", "payload").collect(), *left.select("stream_id", "seq_no", "payload").collect()]
+        assert len({(r.stream_id, r.seq_no) for r in rows}) == len(rows) == 8
+        wanted = sorted(x for t in texts.values() for x in t.replace("\r", "").split("\n") if x)
+        assert sorted(r.payload for r in rows) == wanted
+        assert len({r.event_id for r in D.dead_letters(left, attempts=1).collect()}) == left.count()
+    reasons = {(r.stream_id, r.seq_no): r.reason for r in left.collect()}
+    assert reasons == {("a", -3): S.LINE_TOO_LONG, ("a", -4): S.STREAM_STOPPED, ("a", -6): S.STREAM_STOPPED, ("a", -7): S.LINE_TOO_LONG, ("c", -1): S.LINE_TOO_LONG}
+
+
 def trace_lines(spark, count=400, seed=5):
     rng = random.Random(seed)
     kinds = ["error x", "\tat a", "", "    more", "plain", "at b", "\r", None, " at c"]
