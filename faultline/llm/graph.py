@@ -12,7 +12,7 @@ def components(edges: DataFrame) -> DataFrame:
     Alternates two steps until nothing changes: every node links its larger neighbours to its smallest one, and every node
     links its smaller neighbours to the smallest of them. The number of edges never grows, no task sees a whole
     component, and the number of rounds grows with the logarithm of the longest path. Each round is written to the shared
-    folder. Edges with a null end and loops are left out.
+    folder, and so are the smallest neighbours before they are joined: a node with very many edges is then split among tasks. Edges with a null end and loops are left out.
     """
     u, v = F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")
     now = stored(edges.dropna(subset=["a", "b"]).select(u, v).filter("u > v").distinct(), "edges")
@@ -23,9 +23,9 @@ def components(edges: DataFrame) -> DataFrame:
             break
         mark = new_mark
         both = now.union(now.select("v", "u"))
-        low = both.groupBy("u").agg(F.min("v").alias("least")).withColumn("low", F.least("u", "least"))
-        star = both.filter("v > u").join(low.select("u", "low"), "u").select(F.col("v").alias("u"), F.col("low").alias("v"))
-        low = star.groupBy("u").agg(F.min("v").alias("low"))
+        low = stored(both.groupBy("u").agg(F.min("v").alias("least")).select("u", F.least("u", "least").alias("low")), "least")
+        star = stored(both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("low").alias("v")), "stars")
+        low = stored(star.groupBy("u").agg(F.min("v").alias("low")), "least")
         near = star.join(low, "u").filter("v > low").select(F.col("v").alias("u"), F.col("low").alias("v"))
         now = stored(near.union(low.select("u", F.col("low").alias("v"))).distinct(), "edges")
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()

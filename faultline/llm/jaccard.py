@@ -62,7 +62,7 @@ def ngram_sets(column: pa.Array, n: int):
             value = np.zeros(len(keys), np.uint64)
             for i in range(n):
                 shifted = np.zeros(len(keys), np.uint64)
-                shifted[: len(keys) - i] = keys[i:]
+                shifted[: max(len(keys) - i, 0)] = keys[i:]
                 if i:  # words of the next text do not count
                     shifted[np.minimum(np.arange(len(keys)) + i, len(keys)) >= bounds[row + 1]] = 0
                 value = (value << np.uint64(9) | value >> np.uint64(55)) + mixed(shifted + np.uint64(i))
@@ -147,7 +147,9 @@ def similarity_classes(
     and kept (one row of each class)."""
     bands, rows = bands_for(threshold, recall, most_hashes)
     docs = docs.drop("class_id", "n_links", "kept")
-    held = stored(signatures(docs, n, bands, rows), "signatures")
+    # All columns of the user travel in one struct, so that none can have the name of one of ours.
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    held = stored(signatures(docs.select(row, "doc_id", "text"), n, bands, rows), "signatures")
     key = ["_k1", "_k2", "_n"]
     # Null ids count as the largest.
     place = F.struct(F.col("doc_id").isNull().alias("null_id"), F.col("doc_id").cast("long").alias("doc_id"), F.col("_uid").alias("uid"))
@@ -189,13 +191,14 @@ def similarity_classes(
     roots = components(found.select("a", "b")).withColumnsRenamed({"node": "rep"})
     joined = classes.select("rep", *key, "copies", "first").join(links, "rep", "left").join(roots, "rep", "left")
     joined = joined.withColumn("root", F.coalesce("root", "rep"))
-    first = joined.groupBy("root").agg(F.min("first").alias("keeper"))
+    # Written, so that the join is a stage of its own and splits a root that very many texts have.
+    first = stored(joined.groupBy("root").agg(F.min("first").alias("keeper")), "roots")
     joined = joined.join(first, "root").select(
         *key, (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "keeper", F.lit(True).alias("worded")
     ).filter("n_links > 0")
     placed = held.drop("_bands").join(joined, key, "left")
     return placed.select(
-        *[F.col(f"`{c}`") for c in docs.columns],
+        *[F.col(f"row.`{c}`").alias(c) for c in docs.columns],
         F.when(F.col("worded"), F.col("keeper.doc_id")).otherwise(F.col("doc_id").cast("long")).alias("class_id"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         F.coalesce(F.col("keeper.uid") == F.col("_uid"), F.lit(True)).alias("kept"),

@@ -120,32 +120,55 @@ def learn(docs: DataFrame, orders: tuple[int, ...] = (2, 3), buckets: int = 1 <<
 
 
 def predict(docs: DataFrame, model) -> DataFrame:
-    """``docs`` with lang_pred and score (the posterior of the predicted language)."""
+    """``docs`` with lang_pred, score (the posterior of the predicted language), n_grams and typicality.
+
+    The posterior only compares the learned languages and nears 1 for any text of some length. Typicality says how the text fits the
+    one predicted, whatever its length: the mean log-probability of its n-grams less the mean for texts of that language, in
+    standard deviations of a single n-gram. Columns of these four names are replaced.
+    """
     names, priors, logs, orders = model
-    shared = docs.sparkSession.sparkContext.broadcast((priors, logs))
+    shares = np.exp(logs)
+    usual = (shares * logs).sum(axis=0)
+    spread = np.sqrt(np.maximum((shares * logs**2).sum(axis=0) - usual**2, 1e-12))
+    shared = docs.sparkSession.sparkContext.broadcast((priors, logs, usual, spread))
     column = fresh_name("prediction")
-    schema = T.StructType([*docs.schema.fields, T.StructField(column, T.IntegerType()), T.StructField(f"{column}_score", T.DoubleType())])
+    schema = T.StructType([
+        *docs.schema.fields, T.StructField(column, T.IntegerType()), T.StructField(f"{column}_score", T.DoubleType()),
+        T.StructField(f"{column}_n", T.LongType()), T.StructField(f"{column}_fit", T.DoubleType()),
+    ])
     text_at = docs.columns.index("text")
 
     def score(batches):
-        prior, matrix = shared.value
+        prior, matrix, usual, spread = shared.value
         for batch in batches:
-            sums = np.zeros((batch.num_rows, len(names)))
+            sums, n = np.zeros((batch.num_rows, len(names))), np.zeros(batch.num_rows, np.int64)
             for first, last, row, bucket in ngrams(batch.column(text_at), orders, len(matrix)):
                 found = matrix[bucket]
+                n[first:last] += np.bincount(row, minlength=last - first)[: last - first]
                 for k in range(len(names)):
                     sums[first:last, k] += np.bincount(row, found[:, k], minlength=last - first)[: last - first]
+            each = sums / np.maximum(n, 1)[:, None]
             sums += prior
             best = sums.argmax(axis=1)
+            fit = (each[np.arange(len(best)), best] - usual[best]) / spread[best]
             top = 1 / np.exp(sums - sums[np.arange(len(sums)), best][:, None]).sum(axis=1)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(best.astype(np.int32)), pa.array(top)], schema=None, names=schema.names)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(best.astype(np.int32)), pa.array(top), pa.array(n), pa.array(fit)], names=schema.names)
 
     lettered = has_letter("text")
-    kept = [F.col(f"`{c}`") for c in docs.columns if c not in ("lang_pred", "score")]
+    kept = [F.col(f"`{c}`") for c in docs.columns if c not in ("lang_pred", "score", "n_grams", "typicality")]
     if not names:
-        return docs.select(*kept, F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
+        none = [F.lit(0).cast("long").alias("n_grams"), F.lit(None).cast("double").alias("typicality")]
+        return docs.select(*kept, F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"), *none)
     scored = docs.mapInArrow(score, schema)
     known = F.array(*[F.lit(x) for x in names])
     return scored.select(
-        *kept, F.when(lettered, known[F.col(column)]).otherwise(UNKNOWN).alias("lang_pred"), F.when(lettered, F.col(f"{column}_score")).otherwise(0.0).alias("score")
-    )
+        *kept, F.when(lettered, known[F.col(column)]).otherwise(UNKNOWN).alias("lang_pred"), F.when(lettered, F.col(f"{column}_score")).otherwise(0.0).alias("score"),
+        F.col(f"{column}_n").alias("n_grams"), F.when(lettered, F.col(f"{column}_fit")).alias("typicality"),
+    )
+
+
+def in_language(least: float = -2.0, margin: float = 6.0) -> F.Column:
+    """Whether a row of :func:`predict` is a text of its language: typicality of at least ``least`` less ``margin`` standard errors, so that
+    few n-grams, whose mean says little, are not held against a text."""
+    error = F.lit(margin) / F.sqrt(F.greatest(F.col("n_grams"), F.lit(1)))
+    return (F.col("lang_pred") != UNKNOWN) & (F.col("typicality") >= F.lit(least) - error)

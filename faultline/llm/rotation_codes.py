@@ -148,7 +148,7 @@ def near_vectors(
     roots = components(links.select("a", "b")).withColumnRenamed("node", "rep")
     sums = links.groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
     joined = classes.join(sums, "rep", "left").join(roots, "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-    first = joined.groupBy("root").agg(F.min("first").alias("least"))
+    first = stored(joined.groupBy("root").agg(F.min("first").alias("least")), "roots")
     joined = joined.join(first, "root").select(
         "dim", "vec", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.col("least.id").alias("least")
     )

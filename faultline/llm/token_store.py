@@ -41,12 +41,23 @@ def _encoded(column: pa.Array, path: str, end_id: int) -> Iterator[np.ndarray]:
 
 
 def train_dictionary(
-    docs: DataFrame, vocabulary: str, end_id: int, width: int, sample_docs: int, size: int, piece: int
+    docs: DataFrame, vocabulary: str, end_id: int, width: int, sample_bytes: int, size: int, piece: int, most_docs: int = 1 << 16
 ) -> bytes:
-    """A dictionary from a bounded sample: the ``sample_docs`` documents with the smallest id hashes, and of each up
-    to four pieces of ``piece`` bytes spread over its whole length. Empty if the sample is too small for one."""
-    ids = docs.select("doc_id").dropna().distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
-    chosen = docs.join(F.broadcast(ids), "doc_id", "left_semi").select("doc_id", "text")
+    """A dictionary from a bounded sample, drawn by the hashes of the ids until it has ``sample_bytes`` bytes of text.
+
+    Of each document up to four pieces of ``piece`` bytes are taken, spread over its whole length; a document counts with what it can
+    give at most, so short documents are many. Small tables give a smaller dictionary: an eighth of the sample. It is empty only
+    where the sample has less than 2 KB or is too uniform for the trainer to find anything to share.
+    """
+    docs = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("uid"))
+    rows = docs.select("uid", "doc_id", F.xxhash64("doc_id").alias("h"), F.octet_length("text").alias("size")).filter("size > 0")
+    uids, total = [], 0
+    for row in rows.orderBy("h", "doc_id", "uid").limit(most_docs).select("uid", "size").collect():
+        uids.append((row.uid,))
+        total += min(row.size, 4 * piece)
+        if total >= sample_bytes:
+            break
+    chosen = docs.join(F.broadcast(docs.sparkSession.createDataFrame(uids, "uid long")), "uid", "left_semi")
 
     def pieces(batches):
         for batch in batches:
@@ -56,12 +67,13 @@ def train_dictionary(
                 yield pa.RecordBatch.from_pydict({"piece": [raw[a : a + piece] for a in starts]})
 
     samples = [bytes(r.piece) for r in chosen.mapInArrow(pieces, "piece binary").orderBy("piece").collect()]
-    if sum(map(len, samples)) < 8 * size:
-        return b""
-    try:
-        return zstandard.train_dictionary(size, samples, k=512, d=8).as_bytes()
-    except zstandard.ZstdError:  # samples too few or too alike
-        return b""
+    size = min(size, sum(map(len, samples)) // 8)
+    while size >= 256:
+        try:
+            return zstandard.train_dictionary(size, samples, k=512, d=8).as_bytes()
+        except zstandard.ZstdError:  # too few or too alike for a dictionary of this size
+            size //= 2
+    return b""
 
 
 def write_store(
@@ -69,7 +81,7 @@ def write_store(
     path: str,
     vocabulary: str | None = None,
     end_id: int = 1,
-    sample_docs: int = 1000,
+    sample_bytes: int = 1 << 22,
     dictionary_bytes: int = 1 << 15,
     piece_bytes: int = 1024,
     block_bytes: int = 1 << 18,
@@ -80,7 +92,7 @@ def write_store(
     vocabulary = vocabulary or vocabulary_path()
     width = 2 if max(encoder(vocabulary).vocabulary_size, end_id + 1) <= 1 << 16 else 4
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    dictionary = train_dictionary(docs, vocabulary, end_id, width, sample_docs, dictionary_bytes, piece_bytes)
+    dictionary = train_dictionary(docs, vocabulary, end_id, width, sample_bytes, dictionary_bytes, piece_bytes)
     digest = hashlib.sha256(dictionary).hexdigest()
     meta = spark.createDataFrame(
         [(digest, bytearray(dictionary), width, end_id)], "dictionary_hash string, dictionary binary, width int, end_id int"
@@ -90,7 +102,7 @@ def write_store(
     def blocks(batches):
         shard, number, before = TaskContext.get().partitionId(), 0, 0
         shared = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
-        packer = zstandard.ZstdCompressor(level=level, dict_data=shared, write_content_size=True)
+        packer = zstandard.ZstdCompressor(level=level, dict_data=shared, write_content_size=True, write_dict_id=False)
         doc_ids, frames, counts, held = [], [], [], 0
 
         def block():

@@ -9,8 +9,8 @@ and where the second term is below zero a step is taken that raises it (it can o
 are sets of hashed words and word beginnings, so neither length nor repetition counts. Features that are no more (or less)
 frequent in toxic texts than chance allows are left out, which keeps noise out of long texts.
 
-The classifier is fitted on a bounded sample (``most_toxic`` and ``most_unlabelled`` rows, those with the smallest hashes of
-their text); scoring reads every whole text.
+The classifier is fitted on a bounded sample (``most_toxic`` and ``most_unlabelled`` rows and 128 MB of text each, those with the
+smallest hashes of their ids); scoring reads every whole text.
 
 Rules. Null and empty texts have no feature and get the score of the intercept. Without a toxic training text every score
 is 0. Labels are 0 or 1; null or repeated labels of a document: toxic if any row says so. Other columns are carried along.
@@ -58,10 +58,19 @@ def _rows(df: DataFrame, buckets: int) -> list[np.ndarray]:
     return [np.frombuffer(r.f, "<u4") for r in df.select("text").mapInArrow(sets, "f binary").collect()]
 
 
-def _first(df: DataFrame, n: int, key: str) -> DataFrame:
-    """The rows of ``n`` keys with the smallest hashes; only keys are sorted."""
-    keys = df.select(key).distinct().orderBy(F.xxhash64(key), key).limit(n)
-    return df.join(F.broadcast(keys), key, "left_semi")
+def _first(df: DataFrame, n: int, key: str, most_bytes: int = 1 << 27) -> DataFrame:
+    """At most ``n`` rows, of at most ``most_bytes`` bytes of text together: those with the smallest hashes of ``key``.
+
+    ``df`` has key, text and ``uid``, a number given to every row where it is read; only numbers and lengths are sorted.
+    """
+    rows = df.select("uid", F.xxhash64(key).alias("h"), key, F.coalesce(F.octet_length("text"), F.lit(0)).alias("size"))
+    uids, total = [], 0
+    for row in rows.orderBy("h", key, "uid").limit(n).select("uid", "size").collect():
+        total += row.size
+        if uids and total > most_bytes:
+            break
+        uids.append((row.uid,))
+    return df.join(F.broadcast(df.sparkSession.createDataFrame(uids, "uid long")), "uid", "left_semi")
 
 
 def fit(toxic: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, buckets: int, steps: int = 200, rate: float = 0.1, penalty: float = 1e-4):
@@ -110,7 +119,8 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", prior: float
     """The classifier from the rows of ``docs`` (training rows only) and ``labels`` (``key``, toxic). The class prior is
     the share of toxic rows among the labelled ones unless given (0.1 if all labelled rows are toxic)."""
     said = labels.filter(F.col("toxic").isNotNull() & F.col(key).isNotNull()).groupBy(key).agg(F.max("toxic").alias("toxic"))
-    marked = docs.select(key, "text").join(said, key)
+    docs = docs.select(key, "text", F.monotonically_increasing_id().alias("uid"))
+    marked = docs.join(said, key)
     confirmed = marked.filter("toxic = 1")
     toxic = _rows(_first(confirmed, most_toxic, key), buckets)
     if not toxic:
@@ -118,7 +128,7 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", prior: float
     if prior is None:
         ones, rows = said.join(docs.select(key).distinct(), key, "left_semi").agg(F.sum("toxic"), F.count("*")).first()
         prior = ones / rows if ones < rows else 0.1
-    unlabelled = _rows(_first(docs.select(key, "text").dropna(subset=[key]), most_unlabelled, key), buckets)
+    unlabelled = _rows(_first(docs.dropna(subset=[key]), most_unlabelled, key), buckets)
     return fit(toxic, unlabelled, min(max(prior, 1e-4), 0.9), buckets)
 
 
