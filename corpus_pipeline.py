@@ -11,22 +11,36 @@ from faultline.llm.common import fold, table
 from faultline.session import new_folder
 
 
+def _held(docs: DataFrame) -> DataFrame:
+    """Texts beside their whole rows: operators replace columns that are named as their results, but none of a row."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")
+
+
+def _rows(found: DataFrame, docs: DataFrame) -> DataFrame:
+    return found.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+
+
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, learned from four of five folds, does not call toxic."""
     model = toxicity.learn(docs.filter(fold("doc_id", 5) != 0), table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model).filter("predicted = 0").select(*docs.columns)
+    return _rows(toxicity.score(_held(docs), model).filter("predicted = 0"), docs)
 
 
 def in_a_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in one of the learned languages: neither without letters nor undecided between languages."""
+    """Documents that are texts of one of the learned languages; all of them where no language could be learned.
+
+    Documents without letters go, and those whose n-grams fit no learned language: noise and languages and scripts not learned.
+    """
     model = language.learn(docs.filter(fold("doc_id", 4) != 2))
-    found = language.predict(docs, model)
-    return found.filter((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= 0.5)).select(*docs.columns)
+    if not model[0]:
+        return docs
+    return _rows(language.predict(_held(docs), model).filter(language.in_language()), docs)
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of documents with similar sets of five words."""
-    return jaccard.similarity_classes(docs).filter("kept").select(*docs.columns)
+    held = _held(docs).withColumn("doc_id", F.col("row.doc_id"))
+    return _rows(jaccard.similarity_classes(held).filter("kept"), docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
