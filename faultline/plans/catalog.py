@@ -870,7 +870,7 @@ def stream_dead_letters(spark: SparkSession, folder: str) -> DataFrame:
 
 def _over_files(spark: SparkSession, folder: str, source: str) -> DataFrame:
     """Documents as files of three log streams, a hundred documents a file, framed in two runs of one query."""
-    path, records, state = (new_folder(spark, name) for name in ("log-files", "records", "framing"))
+    path, records = new_folder(spark, "log-files"), new_folder(spark, "records")
     lines = I.trace_lines(spark, folder).select(
         "line", "line_no", F.expr("CAST(substring(stream_id, 5) AS BIGINT)").alias("doc")
     )
@@ -880,9 +880,11 @@ def _over_files(spark: SparkSession, folder: str, source: str) -> DataFrame:
         ordered = placed.filter(part).repartition("log", "chunk").sortWithinPartitions("log", "chunk", "doc", "line_no")
         ordered.select("log", "chunk", "line").write.mode("append").partitionBy("log", "chunk").text(path)
         stream = F.concat(F.lit("log-"), F.regexp_extract("_metadata.file_path", "log=([0-9]+)", 1))
-        stream_frames.run_framing(stream_frames.stream_lines(spark, path, source, stream), records, state)
+        framed = stream_frames.frame_stream(stream_frames.stream_lines(spark, path, source, stream))
+        stored = stream_ingest.run_to_table(framed, records)
     columns = ["stream_id", "seq_no", "payload"]
-    return spark.read.parquet(records).select(columns).union(stream_frames.open_blocks(spark, state).select(columns))
+    waiting = stream_frames.open_blocks(spark, records + "-progress")
+    return stored.filter("reason = ''").select(columns).union(waiting.select(columns))
 
 
 def stream_lines_over_files(spark: SparkSession, folder: str) -> DataFrame:

@@ -12,7 +12,8 @@ from pyspark.sql import types as T
 
 from faultline.functions.text import or_empty
 from faultline.operators.columns import fresh_name
-from faultline.operators.dedup import DEFAULT_WINDOW_SECONDS, RESULT, kept_columns, window_micros
+from faultline.operators.dedup import DEFAULT_WINDOW_SECONDS, kept_columns, window_micros
+from faultline.streaming.packing import from_bytes, to_bytes
 
 _PACKED = "signature string, place binary, rows binary"
 _COUNTED = "rows binary, windows binary, counts binary"
@@ -21,21 +22,6 @@ RECORD = "first_seen bigint, last_seen bigint, count bigint"
 RECORD_STATE = "record"
 
 
-def _to_bytes(table) -> bytes:
-    import pyarrow as pa
-
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, table.schema) as writer:
-        writer.write_table(table)
-    return sink.getvalue().to_pybytes()
-
-
-def _from_bytes(data: bytes):
-    import pyarrow as pa
-
-    return pa.ipc.open_stream(data).read_all()
-
-
 def _ordered(table):
     """Order of rows by time, stream and number; null first as in a sorted table."""
     import pyarrow.compute as pc
@@ -82,12 +68,12 @@ def _processor(width: int, ordered: bool, evict: bool, ttl_millis: int | None):
         def handleInputRows(self, key, rows, timerValues):
             chunks = [(place, data) for frame in rows for place, data in zip(frame["place"], frame["rows"], strict=True)]
             if not ordered:
-                yield self._count([(_from_bytes(place), data) for place, data in chunks])
+                yield self._count([(from_bytes(place), data) for place, data in chunks])
                 self._timer()
                 return
             import pyarrow.compute as pc
 
-            waiting = [(pc.min(_from_bytes(place).column("micros")).as_py(), place, data) for place, data in chunks]
+            waiting = [(pc.min(from_bytes(place).column("micros")).as_py(), place, data) for place, data in chunks]
             self.held.appendList(waiting)
             self._timer(min(low for low, *_ in waiting))
 
@@ -143,12 +129,12 @@ def _processor(width: int, ordered: bool, evict: bool, ttl_millis: int | None):
                 if low > now:
                     waiting.append((low, place, data))
                     continue
-                table, rows = _from_bytes(place), _from_bytes(data)
+                table, rows = from_bytes(place), from_bytes(data)
                 ripe = pc.less_equal(table.column("micros"), now)
-                due.append((table.filter(ripe), _to_bytes(rows.filter(ripe))))
+                due.append((table.filter(ripe), to_bytes(rows.filter(ripe))))
                 rest = table.filter(pc.invert(ripe))
                 if len(rest):
-                    waiting.append((pc.min(rest.column("micros")).as_py(), _to_bytes(rest), _to_bytes(rows.filter(pc.invert(ripe)))))
+                    waiting.append((pc.min(rest.column("micros")).as_py(), to_bytes(rest), to_bytes(rows.filter(pc.invert(ripe)))))
             if waiting:
                 self.held.put(waiting)
             else:
@@ -223,8 +209,8 @@ def dedup_stream(
             rows = sorted_rows.drop_columns([micros])
             yield pa.RecordBatch.from_pydict({
                 "signature": names,
-                "place": [_to_bytes(place.slice(a, b - a).combine_chunks()) for a, b in zip(cuts[:-1], cuts[1:], strict=True)],
-                "rows": [_to_bytes(rows.slice(a, b - a).combine_chunks()) for a, b in zip(cuts[:-1], cuts[1:], strict=True)],
+                "place": [to_bytes(place.slice(a, b - a).combine_chunks()) for a, b in zip(cuts[:-1], cuts[1:], strict=True)],
+                "rows": [to_bytes(rows.slice(a, b - a).combine_chunks()) for a, b in zip(cuts[:-1], cuts[1:], strict=True)],
             })
 
     output = T.StructType([
@@ -242,7 +228,7 @@ def dedup_stream(
             for data, starts, counts in zip(*(column.to_pylist() for column in batch.columns), strict=True):
                 count = np.frombuffer(counts, "<i8")
                 added = [pa.array(np.frombuffer(starts, "<i8")).cast(pa.timestamp("us", "UTC")), pa.array(count == 1), pa.array(count)]
-                for rows in _from_bytes(data).combine_chunks().to_batches():
+                for rows in from_bytes(data).combine_chunks().to_batches():
                     yield pa.RecordBatch.from_arrays([*rows.columns, *added], names=output.names)
 
     evict = lateness_seconds is not None

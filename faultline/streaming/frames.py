@@ -1,20 +1,32 @@
 """Framing of streams that go on over many files: numbers continue and a block may cross files.
 
-Every batch is framed by the batch operators, with the lines of the blocks left open before put in front. What is carried
-is one small row per stream: its last number and its open block. The state of a batch is a table of its own, so a batch
-that runs again starts from the state before it and overwrites what it wrote.
+Three steps make one query. Every input task frames what it has of a stream on its own: the lines of a file split in one batch are a
+chunk, and its records are right but for its first block, which may go on from the chunk before, and its last one,
+which may go on in the next. The keyed step stitches chunks: it keeps the last number and the open block of each stream
+as state, joins a block that was cut and gives every chunk its first number, without looking at other records. The chunks are then
+dealt out again and unpacked. So a large stream is framed by many tasks, and its one task only handles chunks.
 """
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from faultline import schemas as S
 from faultline.functions.text import chomp, or_empty
-from faultline.operators.framing import DEFAULT_MAX_LINE_BYTES, frame, long_file_lines, too_long
+from faultline.operators.framing import CONTINUATION, DEFAULT_MAX_LINE_BYTES, too_long
 from faultline.operators.slices import SLICE
 from faultline.sources.text import LINE_END
 
-STATE = "source string, stream_id string, last_seq bigint, open string, received_at timestamp"
-_STREAM = ["source", "stream_id"]
+_PACKED = (
+    "source string, stream_id string, file string, start bigint, pos bigint, lines boolean, hangs boolean, ends_open boolean,"
+    " records binary, letters binary"
+)
+_PLACED = "source string, stream_id string, records binary, low bigint, high bigint, seq_no bigint, letters binary, letter_no bigint"
+#: State of a stream: numbers given so far and the block its last line left open.
+STREAM = "last_seq bigint, last_letter bigint, is_open boolean, payload string, received_micros bigint"
+STREAM_STATE = "stream"
+#: Records and letters of :func:`frame_stream`.
+FRAMED = T.StructType([*S.RAW_EVENT.fields, T.StructField("reason", T.StringType())])
 
 
 def stream_lines(
@@ -42,97 +54,184 @@ def stream_lines(
     )
 
 
-def _state_before(spark: SparkSession, state: str, number: int) -> DataFrame:
-    if number == 0:
-        return spark.createDataFrame([], STATE)
-    return spark.read.schema(STATE).parquet(f"{state}/batch={number - 1}")
+def _table(payloads: list, received: list):
+    import pyarrow as pa
 
+    return pa.table({"payload": pa.array(payloads, pa.string()), "received": pa.array(received, pa.int64())})
 
-def _carried_lines(before: DataFrame) -> DataFrame:
-    """The lines of open blocks, placed before all lines of files."""
-    return before.filter("open is not null").select(
-        *_STREAM,
-        F.struct(F.lit("").alias("file"), F.lit(-1).cast("bigint").alias("start")).alias(SLICE),
-        F.posexplode(F.split("open", "\n", -1)).alias("at", "line"),
-        "received_at",
-    ).select(*_STREAM, SLICE, F.col("at").cast("bigint").alias("line_no"), "line", "received_at")
 
+def _latest(received: list):
+    """The greatest of some times, null if there is none."""
+    return max((t for t in received if t is not None), default=None)
 
-def start_framing(
-    lines: DataFrame,
-    records: str,
-    state: str,
-    letters: str | None = None,
-    max_line_bytes: int = DEFAULT_MAX_LINE_BYTES,
-    trigger: dict | None = None,
-):
-    """Start a query that frames line rows (``stream_lines``) into raw events below ``records``.
 
-    The last block of a stack-trace stream stays in the state until a line ends it, see ``open_blocks``. Long lines
-    are left out and go to ``letters`` as raw events with their reason, where given, numbered apart from the records and by batch. Rows without source or stream
-    belong to the source or stream ''.
-    """
+def chunk_of(trace: bool, texts: list, has_text, continues, received: list):
+    """The records of some lines in a row: (payloads, times, first one continues, last one is open)."""
+    import numpy as np
 
-    def one_batch(batch: DataFrame, number: int) -> None:
-        before = _state_before(batch.sparkSession, state, number)
-        arrived = batch.select(
-            *[or_empty(F.col(name)).alias(name) for name in _STREAM],
-            SLICE,
-            F.monotonically_increasing_id().alias("line_no"),
-            "line",
-            "received_at",
-        ).persist()
-        rows = arrived.unionByName(_carried_lines(before))
-        framed = frame(rows, max_line_bytes).persist()
-        try:
-            place = F.struct(SLICE, "line_no")
-            kept = rows.filter(~F.coalesce(too_long(F.col("line"), max_line_bytes), F.lit(False)))
-            ends = kept.groupBy(*_STREAM).agg(F.max_by(chomp(F.col("line")) != "", place).alias("in_block"))
-            counts = framed.groupBy(*_STREAM).agg(F.count("*").alias("n"))
-            streams = (
-                counts.join(ends, _STREAM)
-                .join(before.select(*_STREAM, "last_seq"), _STREAM, "left")
-                .select(
-                    *_STREAM,
-                    F.coalesce("last_seq", F.lit(0)).alias("last_seq"),
-                    "n",
-                    F.coalesce((F.col("source") == "stacktrace") & F.col("in_block"), F.lit(False)).alias("in_block"),
-                )
-            )
-            placed = framed.join(streams, _STREAM)
-            is_open = F.col("in_block") & (F.col("seq_no") == F.col("n"))
-            placed.filter(~is_open).select(
-                "source", "payload", "stream_id", "received_at", (F.col("seq_no") + F.col("last_seq")).alias("seq_no")
-            ).write.mode("overwrite").parquet(f"{records}/batch={number}")
-            left_open = placed.filter(is_open).select(*_STREAM, F.col("payload").alias("open"), "received_at")
-            touched = streams.join(left_open, _STREAM, "left").select(
-                *_STREAM, (F.col("last_seq") + F.col("n") - F.col("in_block").cast("int")).alias("last_seq"), "open", "received_at"
-            )
-            untouched = before.join(streams, _STREAM, "left_anti")
-            untouched.unionByName(touched).write.mode("overwrite").parquet(f"{state}/batch={number}")
-            if letters:
-                long_file_lines(arrived, max_line_bytes, number << 32).write.mode("overwrite").parquet(f"{letters}/batch={number}")
-        finally:
-            framed.unpersist()
-            arrived.unpersist()
-
-    return (
-        lines.writeStream.foreachBatch(one_batch)
-        .option("checkpointLocation", state + "-progress")
-        .trigger(**(trigger or {"processingTime": "10 seconds"}))
-        .start()
-    )
+    if not trace:
+        at = np.flatnonzero(has_text).tolist()
+        return [texts[i] for i in at], [received[i] for i in at], False, False
+    before = np.concatenate(([False], has_text[:-1]))
+    starts = np.flatnonzero(has_text & ~(continues & before))
+    bounds = np.append(np.flatnonzero((has_text & ~(continues & before)) | ~has_text), len(texts))
+    ends = bounds[np.searchsorted(bounds, starts, side="right")]
+    spans = list(zip(starts.tolist(), ends.tolist(), strict=True))
+    payloads = ["\n".join(texts[a:b]) for a, b in spans]
+    hangs = len(texts) > 0 and bool(has_text[0] and continues[0])
+    return payloads, [_latest(received[a:b]) for a, b in spans], hangs, len(texts) > 0 and bool(has_text[-1])
+
+
+def _stitcher():
+    """Processor of the chunks of a stream; defined here so that workers get it by value."""
+    from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
+    from faultline.streaming.packing import from_bytes, to_bytes
 
-def run_framing(lines: DataFrame, records: str, state: str, **options) -> None:
-    """Frame what is available, then return."""
-    start_framing(lines, records, state, trigger={"availableNow": True}, **options).awaitTermination()
+    class Stitch(StatefulProcessor):
+        def init(self, handle):
+            self.stream = handle.getValueState(STREAM_STATE, STREAM)
 
+        def handleInputRows(self, key, rows, timerValues):
+            import pandas as pd
 
-def open_blocks(spark: SparkSession, state: str) -> DataFrame:
-    """The blocks still open after the last batch, as raw events: for streams that will not go on."""
-    stored = spark.read.schema(STATE + ", batch bigint").option("basePath", state).parquet(state)
-    last = stored.agg(F.max("batch")).first()[0]
-    return stored.filter((F.col("batch") == last) & F.col("open").isNotNull()).select(
-        "source", F.col("open").alias("payload"), "stream_id", "received_at", (F.col("last_seq") + 1).alias("seq_no")
+            chunks = sorted(
+                ((r.file, r.start, r.pos, r.lines, r.hangs, r.ends_open, r.records, r.letters) for frame in rows for r in frame.itertuples()),
+                key=lambda chunk: chunk[:3],
+            )
+            seq, letter, is_open, payload, received = self.stream.get() if self.stream.exists() else (0, 0, False, None, None)
+            out = []
+
+            def put(records, low, high, letters=None):
+                nonlocal seq
+                out.append((*key, records, low, high, seq + 1, letters, letter + 1))
+                seq += high - low
+
+            for *_, lines, hangs, ends_open, data, letters in chunks:
+                records = from_bytes(data)
+                low, high = 0, len(records)
+                if is_open and lines:
+                    if hangs:
+                        payload = f"{payload}\n{records.column('payload')[0].as_py()}"
+                        received = _latest([received, records.column("received")[0].as_py()])
+                        low = 1
+                    if not (hangs and high == 1 and ends_open):
+                        put(to_bytes(_table([payload], [received])), 0, 1)
+                        is_open, payload, received = False, None, None
+                if ends_open and high > low:
+                    high -= 1
+                    is_open, payload, received = True, records.column("payload")[high].as_py(), records.column("received")[high].as_py()
+                left = len(from_bytes(letters)) if letters else 0
+                if high > low or left:
+                    put(data, low, high, letters if left else None)
+                    letter += left
+            self.stream.update((seq, letter, is_open, payload, received))
+            names = [part.split()[0] for part in _PLACED.split(", ")]
+            yield pd.DataFrame(out, columns=names)
+
+        def close(self):
+            pass
+
+    return Stitch()
+
+
+def frame_stream(lines: DataFrame, max_line_bytes: int = DEFAULT_MAX_LINE_BYTES) -> DataFrame:
+    """Line rows (``stream_lines``) as a stream of raw events with ``reason``: '' for records, else why a line was left out.
+
+    Records are numbered from one, on and on; left-out lines have numbers of their own, negative. The last block of a
+    stack-trace stream stays in the state until a line ends it, see ``open_blocks``. Rows without source or stream
+    belong to the source or stream ''. A line cut in two by the end of its file stays two lines.
+    """
+    trace = F.col("source") == "stacktrace"
+    bare = F.when(trace, chomp(F.col("line"))).otherwise(F.regexp_replace("line", r"\r\z", ""))
+    marked = lines.select(
+        or_empty(F.col("source")).alias("source"),
+        or_empty(F.col("stream_id")).alias("stream_id"),
+        F.col(SLICE)["file"].alias("file"),
+        F.col(SLICE)["start"].alias("start"),
+        "line",
+        F.unix_micros("received_at").alias("received"),
+    ).select(
+        "*",
+        or_empty(bare).alias("bare"),
+        F.coalesce(F.rlike("line", F.lit(rf"\A{CONTINUATION}")), F.lit(False)).alias("continues"),
+        F.coalesce(too_long(F.col("line"), max_line_bytes), F.lit(False)).alias("long"),
+    )
+
+    def pack(batches):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        from faultline.streaming.packing import to_bytes
+
+        pos = 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            change = np.ones(batch.num_rows, bool)
+            change[1:] = False
+            for name in ("source", "stream_id", "file", "start"):
+                column = batch.column(name)
+                other = pc.not_equal(column.slice(1), column.slice(0, len(column) - 1))
+                change[1:] |= other.to_numpy(zero_copy_only=False).astype(bool)
+            cuts = [*np.flatnonzero(change).tolist(), batch.num_rows]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                part = batch.slice(a, b - a)
+                long = part.column("long").to_numpy(zero_copy_only=False)
+                kept = part.filter(pc.invert(part.column("long")))
+                texts, received = kept.column("bare").to_pylist(), kept.column("received").to_pylist()
+                has_text = np.array([text != "" for text in texts], bool)
+                continues = kept.column("continues").to_numpy(zero_copy_only=False).astype(bool)
+                source = part.column("source")[0].as_py()
+                payloads, times, hangs, ends_open = chunk_of(source == "stacktrace", texts, has_text, continues, received)
+                left = part.filter(part.column("long")) if long.any() else None
+                yield pa.RecordBatch.from_pydict({
+                    "source": [source], "stream_id": [part.column("stream_id")[0].as_py()],
+                    "file": [part.column("file")[0].as_py()], "start": [part.column("start")[0].as_py()], "pos": [pos],
+                    "lines": [len(texts) > 0], "hangs": [hangs], "ends_open": [ends_open], "records": [to_bytes(_table(payloads, times))],
+                    "letters": pa.array([left and to_bytes(_table(left.column("line").to_pylist(), left.column("received").to_pylist()))], pa.binary()),
+                })
+                pos += 1
+
+    def unpack(batches):
+        import pyarrow as pa
+
+        from faultline.streaming.packing import from_bytes
+
+        def rows(source, stream, table, numbers, reason):
+            n = len(table)
+            return pa.RecordBatch.from_arrays([
+                pa.array([source] * n, pa.string()), table.column("payload").combine_chunks(), pa.array([stream] * n, pa.string()),
+                table.column("received").combine_chunks().cast(pa.timestamp("us", "UTC")), pa.array(numbers, pa.int64()), pa.array([reason] * n, pa.string()),
+            ], names=FRAMED.names)
+
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["high"] > row["low"]:
+                    table = from_bytes(row["records"]).slice(row["low"], row["high"] - row["low"])
+                    yield rows(row["source"], row["stream_id"], table, range(row["seq_no"], row["seq_no"] + len(table)), "")
+                if row["letters"]:
+                    table = from_bytes(row["letters"])
+                    numbers = range(-row["letter_no"], -row["letter_no"] - len(table), -1)
+                    yield rows(row["source"], row["stream_id"], table, numbers, S.LINE_TOO_LONG)
+
+    stitched = (
+        marked.mapInArrow(pack, _PACKED)
+        .groupBy("source", "stream_id")
+        .transformWithStateInPandas(_stitcher(), _PLACED, "Append", "None")
+    )
+    return stitched.repartition(F.xxhash64("records", "seq_no")).mapInArrow(unpack, FRAMED)
+
+
+def open_blocks(spark: SparkSession, progress: str) -> DataFrame:
+    """The blocks still open after the last batch, as raw events, read from the state below the ``progress`` folder: for
+    streams that will not go on."""
+    state = spark.read.format("statestore").option("stateVarName", STREAM_STATE).load(progress)
+    return state.filter("value.is_open").select(
+        F.col("key.source").alias("source"),
+        F.col("value.payload").alias("payload"),
+        F.col("key.stream_id").alias("stream_id"),
+        F.timestamp_micros("value.received_micros").alias("received_at"),
+        (F.col("value.last_seq") + 1).alias("seq_no"),
     )
