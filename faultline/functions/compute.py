@@ -1,9 +1,31 @@
 """Columns that are computed once, whatever is built on top of them."""
 
+from collections.abc import Callable
+from functools import wraps
+
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def built_once(build: Callable) -> Callable:
+    """Keep the columns that ``build`` makes for the same plain arguments.
+
+    Columns that only name columns do not depend on a DataFrame, but putting a deep one together takes hundreds of calls
+    into the JVM. A stream that is normalized batch by batch, or a second query, then takes them as they are.
+    """
+    held: dict = {}
+
+    @wraps(build)
+    def columns(*args):
+        jvm = SparkContext._jvm
+        if args not in held or held[args][0] is not jvm:
+            held[args] = (jvm, build(*args))
+        return held[args][1]
+
+    return columns
+
+
 def compute_once(df: DataFrame, **columns: Column) -> DataFrame:
     """Add columns that later projections and filters only refer to.
 

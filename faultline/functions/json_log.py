@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from faultline import schemas as S
 from faultline.functions import text as X
-from faultline.functions.compute import compute_once
+from faultline.functions.compute import built_once, compute_once
 from faultline.functions.parsed import parse_failure
 from faultline.functions.severity import parse_severity
 from faultline.functions.timestamps import number_time, text_time
@@ -145,35 +145,29 @@ def _extra_fields_by_type(payload: Column) -> Column:
     return F.map_from_entries(F.transform(typed, with_text))
 
 
-def parse_json(df: DataFrame, rows: Column, out: str) -> DataFrame:
-    """Add ``out`` (struct ``PARSED``) for the rows where ``rows`` holds, null elsewhere.
-
-    The object is decoded once per row. A ``null`` document counts as an empty object. The extra fields are a
-    column of their own, ``<out>_fields``, so that they cost nothing where nobody selects them.
-    """
+@built_once
+def _steps(rows: str, out: str) -> tuple[Column, dict, dict, dict]:
+    """The columns of ``parse_json``, step by step."""
     payload = F.col("payload")
     null_document = F.rlike(payload, F.lit(r"^[ \t\r\n]*null(?![A-Za-z0-9_])"))
     document = F.when(null_document, F.lit("{}")).otherwise(payload)
-    decoded = F.when(rows, F.from_json(document, "map<string,variant>", STRICT))
-    df = df.withColumn("_object", decoded)
-    df = compute_once(
-        df,
-        _keys=F.reverse(F.map_keys("_object")),
-        _names=F.reverse(F.transform(F.map_keys("_object"), F.lower)),
-        _values=F.reverse(F.map_values("_object")),
-    ).drop("_object")
+    decoded = F.when(F.col(rows), F.from_json(document, "map<string,variant>", STRICT))
+    entries = {
+        "_keys": F.reverse(F.map_keys("_object")),
+        "_names": F.reverse(F.transform(F.map_keys("_object"), F.lower)),
+        "_values": F.reverse(F.map_values("_object")),
+    }
     time = F.expr(f"coalesce({', '.join(map(_value_sql, TIME_KEYS))})")
     time_names = [f"WHEN array_contains(_names, '{name}') THEN '{name}'" for name in TIME_KEYS]
     time_key = F.expr(f"CASE {' '.join(time_names)} END")
-    df = compute_once(
-        df,
-        _level=F.lower(_first_text(LEVEL_KEYS)),
-        _service=F.nullif(_first_text(SERVICE_KEYS), F.lit("")),
-        _time_kind=_kind(time),
-        _time_text=F.when(
+    texts = {
+        "_level": F.lower(_first_text(LEVEL_KEYS)),
+        "_service": F.nullif(_first_text(SERVICE_KEYS), F.lit("")),
+        "_time_kind": _kind(time),
+        "_time_text": F.when(
             _kind(time).isin(*REAL_KINDS), _number_literal(payload, time_key, time)
         ).otherwise(time.try_cast("string")),
-    )
+    }
     kind, text = F.col("_time_kind"), F.col("_time_text")
     instant = F.when(kind == "STRING", text_time(text)).when(
         kind.isin("BIGINT", *REAL_KINDS), number_time(text)
@@ -195,6 +189,18 @@ def parse_json(df: DataFrame, rows: Column, out: str) -> DataFrame:
     is_object = F.col("_keys").isNotNull()
     parsed = F.when(is_object, event).otherwise(failure)
     fields = F.when(is_object, _extra_fields(document, payload)).cast("map<string,string>")
-    return df.withColumns({out: F.when(rows, parsed), f"{out}_fields": fields}).drop(
-        "_keys", "_names", "_values", "_level", "_service", "_time_kind", "_time_text"
-    )
+    return decoded, entries, texts, {out: F.when(F.col(rows), parsed), f"{out}_fields": fields}
+
+
+def parse_json(df: DataFrame, rows: Column, out: str) -> DataFrame:
+    """Add ``out`` (struct ``PARSED``) for the rows where ``rows`` holds, null elsewhere.
+
+    The object is decoded once per row. A ``null`` document counts as an empty object. The extra fields are a
+    column of their own, ``<out>_fields``, so that they cost nothing where nobody selects them.
+    """
+    flag = f"{out}_rows"
+    decoded, entries, texts, outs = _steps(flag, out)
+    df = df.withColumn(flag, rows).withColumn("_object", decoded)
+    df = compute_once(df, **entries).drop("_object")
+    df = compute_once(df, **texts)
+    return df.withColumns(outs).drop(flag, *entries, *texts)

@@ -5,18 +5,19 @@ from pyspark.sql import functions as F
 
 from faultline import schemas as S
 from faultline.functions import text as X
+from faultline.functions.compute import built_once
 from faultline.functions.parsed import fallback_service, parse_failure
 
 # Words in the first line that make a trace fatal.
 FATAL_WORDS = ("panic", "fatal", "critical")
 
 
-def parse_stacktrace(df: DataFrame, rows: Column, out: str) -> DataFrame:
-    """Add ``out`` (struct ``PARSED``): first line is the message, the others are frames."""
+@built_once
+def _steps(rows: str, out: str) -> list[dict[str, Column]]:
+    """The columns of ``parse_stacktrace``, step by step."""
     clean = F.filter(
         F.transform(X.lines(F.col("payload")), X.chomp), lambda line: line != ""
     )
-    df = df.withColumn("_lines", F.when(rows, clean))
     kept = F.col("_lines")
     message = F.get(kept, F.lit(0))
     lowered = F.lower(message)
@@ -39,4 +40,13 @@ def parse_stacktrace(df: DataFrame, rows: Column, out: str) -> DataFrame:
         .when(F.size(kept) == 0, parse_failure(F.lit(S.EMPTY_STACK_TRACE)))
         .otherwise(event)
     )
-    return df.withColumn(out, F.when(rows, parsed)).drop("_lines")
+    return [{"_lines": F.when(F.col(rows), clean)}, {out: F.when(F.col(rows), parsed)}]
+
+
+def parse_stacktrace(df: DataFrame, rows: Column, out: str) -> DataFrame:
+    """Add ``out`` (struct ``PARSED``): first line is the message, the others are frames."""
+    flag = f"{out}_rows"
+    df = df.withColumn(flag, rows)
+    for step in _steps(flag, out):
+        df = df.withColumns(step)
+    return df.drop(flag, "_lines")

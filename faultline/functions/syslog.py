@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from faultline import schemas as S
 from faultline.functions import text as X
+from faultline.functions.compute import built_once
 from faultline.functions.parsed import fallback_service, parse_failure
 from faultline.functions.timestamps import syslog_time
 
@@ -34,32 +35,21 @@ def tag_pid(tag: Column) -> Column:
     return F.regexp_extract(tag, r"^[^\[]*\[([^\]]*)\]", 1)
 
 
-def parse_syslog(df: DataFrame, rows: Column, out: str) -> DataFrame:
-    """Add ``out`` (struct ``PARSED``) for the rows where ``rows`` holds, null elsewhere.
-
-    A line without a usable priority is kept whole as an info message.
-    """
+@built_once
+def _steps(rows: str, out: str) -> list[dict[str, Column]]:
+    """The columns of ``parse_syslog``, step by step."""
     received_at = F.col("received_at")
     fallback = fallback_service(F.col("stream_id"))
-    df = df.withColumn("_line", F.when(rows, X.strip(F.col("payload"))))
-    df = df.withColumn("_pri", priority(F.col("_line")))
-    pri = F.col("_pri")
-    df = df.withColumn("_rest", X.strip(F.regexp_replace("_line", r"^<[+-]?[0-9]+>", "")))
+    pri, header, tag = F.col("_pri"), F.col("_header"), F.col("_tag")
     stamp = F.substring("_rest", 1, STAMP_LENGTH)
     long_enough = F.octet_length("_rest") >= STAMP_LENGTH
     whole_stamp = (F.length(stamp) == STAMP_LENGTH) & long_enough
-    df = df.withColumn("_time", F.when(whole_stamp, syslog_time(stamp, received_at)))
     rest = F.when(
         F.col("_time").isNotNull(),
         X.strip(F.expr(f"substring(_rest, {STAMP_LENGTH + 1})")),
     ).otherwise(F.col("_rest"))
-    df = df.withColumn("_rest", rest)
     colon = F.locate(":", F.col("_rest"))
-    df = df.withColumn("_header", F.when(colon > 0, X.words(F.substring_index("_rest", ":", 1))))
-    header = F.col("_header")
-    tag = F.when(F.size(header) >= 2, F.get(header, F.lit(1))).otherwise(F.get(header, F.lit(0)))
-    df = df.withColumn("_tag", tag)
-    tag = F.col("_tag")
+    first_tag = F.when(F.size(header) >= 2, F.get(header, F.lit(1))).otherwise(F.get(header, F.lit(0)))
     message = F.when(colon > 0, X.strip(F.col("_rest").substr(colon + 1, F.length("_rest"))))
     pri_fields = F.create_map(
         F.lit("syslog_facility"),
@@ -95,6 +85,24 @@ def parse_syslog(df: DataFrame, rows: Column, out: str) -> DataFrame:
         .when(pri.isNull(), whole_line)
         .otherwise(event)
     )
-    return df.withColumn(out, F.when(rows, parsed)).drop(
-        "_line", "_pri", "_rest", "_time", "_header", "_tag"
-    )
+    return [
+        {"_line": F.when(F.col(rows), X.strip(F.col("payload")))},
+        {"_pri": priority(F.col("_line")), "_rest": X.strip(F.regexp_replace("_line", r"^<[+-]?[0-9]+>", ""))},
+        {"_time": F.when(whole_stamp, syslog_time(stamp, received_at))},
+        {"_rest": rest},
+        {"_header": F.when(colon > 0, X.words(F.substring_index("_rest", ":", 1)))},
+        {"_tag": first_tag},
+        {out: F.when(F.col(rows), parsed)},
+    ]
+
+
+def parse_syslog(df: DataFrame, rows: Column, out: str) -> DataFrame:
+    """Add ``out`` (struct ``PARSED``) for the rows where ``rows`` holds, null elsewhere.
+
+    A line without a usable priority is kept whole as an info message.
+    """
+    flag = f"{out}_rows"
+    df = df.withColumn(flag, rows)
+    for step in _steps(flag, out):
+        df = df.withColumns(step)
+    return df.drop(flag, "_line", "_pri", "_rest", "_time", "_header", "_tag")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from faultline import schemas as S
 from faultline.functions import signature as G
 from faultline.functions import validate as V
-from faultline.functions.compute import compute_once
+from faultline.functions.compute import built_once, compute_once
 from faultline.functions.event_id import event_id
 from faultline.functions.json_log import parse_json
 from faultline.functions.parsed import parse_failure
@@ -35,29 +35,25 @@ def parse(raw: DataFrame, parsers=None, rows: Column | None = None) -> DataFrame
         out = f"_parsed_{source}"
         df = parser(df, wanted & (F.col("source") == source), out)
         outs.append(out)
-    unhandled = parse_failure(
-        F.format_string(S.UNHANDLED_SOURCE + ': "%s"', or_empty(F.col("source")))
-    )
-    parsed = F.coalesce(*outs, unhandled)
+    parsed = F.coalesce(*outs, _unhandled())
     apart = [name for name in (f"{out}_fields" for out in outs) if name in df.columns]
     df = compute_once(df, parsed=F.when(wanted, parsed)).drop(*outs)
     return df.withColumn("fields", F.coalesce(F.col("parsed")["fields"], *apart)).drop(*apart)
 
 
-def normalize(
-    raw: DataFrame, parsers=None, max_frames: int = G.DEFAULT_MAX_FRAMES
-) -> DataFrame:
-    """Raw event table (``RAW_EVENT``) to one row per raw event with its outcome.
+@built_once
+def _unhandled() -> Column:
+    return parse_failure(F.format_string(S.UNHANDLED_SOURCE + ': "%s"', or_empty(F.col("source"))))
 
-    Validation, parsing, id, validation of the result and the signature, in this order; a row
-    stops at its first failed step. ``failed_step`` is '' for accepted rows and names the step
-    otherwise, ``reason`` says why, ``errors`` lists the validation findings. The raw columns
-    stay on the row so that a reject can be written as dead letter.
-    """
-    df = compute_once(
-        raw, _raw_errors=V.raw_errors(F.col("source"), F.col("payload"), F.col("received_at"))
-    )
-    df = parse(df, parsers, rows=~V.has_errors(F.col("_raw_errors")))
+
+@built_once
+def _raw_errors() -> Column:
+    return V.raw_errors(F.col("source"), F.col("payload"), F.col("received_at"))
+
+
+@built_once
+def _outcome(max_frames: int, carried: tuple[str, ...]) -> tuple[Column, Column, Column, list]:
+    """Validation findings, failed step, template and the columns of the result of ``normalize``."""
     parsed = F.col("parsed")
     readable = or_empty(parsed["error"]) == ""
     event_errors = F.when(
@@ -75,11 +71,8 @@ def normalize(
         parsed["stack_frames"],
         max_frames,
     )
-    df = compute_once(df, _event_errors=event_errors).withColumn("failed_step", step)
-    df = compute_once(
-        df, template=F.when(F.col("failed_step") == "", template).otherwise("")
-    )
-    return df.select(
+    template = F.when(F.col("failed_step") == "", template).otherwise("")
+    result = [
         event_id(F.col("stream_id"), F.col("seq_no")).alias("event_id"),
         "source",
         F.coalesce(parsed["severity"], F.lit(0)).alias("severity"),
@@ -97,14 +90,33 @@ def normalize(
         "seq_no",
         "received_at",
         "payload",
-        *[name for name in ("attempt_count",) if name in raw.columns],
+        *carried,
         "failed_step",
         F.when(raw_bad, F.col("_raw_errors")).otherwise(F.col("_event_errors")).alias("errors"),
         F.when(raw_bad, V.error_text(F.col("_raw_errors")))
         .when(~readable, parsed["error"])
         .otherwise(V.error_text(F.col("_event_errors")))
         .alias("reason"),
-    )
+    ]
+    return event_errors, step, template, result
+
+
+def normalize(
+    raw: DataFrame, parsers=None, max_frames: int = G.DEFAULT_MAX_FRAMES
+) -> DataFrame:
+    """Raw event table (``RAW_EVENT``) to one row per raw event with its outcome.
+
+    Validation, parsing, id, validation of the result and the signature, in this order; a row
+    stops at its first failed step. ``failed_step`` is '' for accepted rows and names the step
+    otherwise, ``reason`` says why, ``errors`` lists the validation findings. The raw columns
+    stay on the row so that a reject can be written as dead letter.
+    """
+    df = compute_once(raw, _raw_errors=_raw_errors())
+    df = parse(df, parsers, rows=~V.has_errors(F.col("_raw_errors")))
+    carried = tuple(name for name in ("attempt_count",) if name in raw.columns)
+    event_errors, step, template, result = _outcome(max_frames, carried)
+    df = compute_once(df, _event_errors=event_errors).withColumn("failed_step", step)
+    return compute_once(df, template=template).select(*result)
 
 
 def accepted(normalized: DataFrame) -> DataFrame:
