@@ -1,13 +1,10 @@
 """What the review of round 2 found missing."""
 
-import datetime
-
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from faultline.llm import chat, cross_polytope
-from faultline.operators import dedup
 
 
 @pytest.mark.parametrize("sent", [4096, 3])
@@ -59,13 +56,3 @@ def test_every_query_finds_k_rows_if_there_are(spark):
         assert sorted(found[q]) == list(range(1, min(10, len(rest)) + 1))
         if q >= 3000:
             assert np.allclose([found[q][k] for k in sorted(found[q])], rest[:10])
-
-
-def test_events_without_time_are_incidents_of_their_own(spark):
-    at = datetime.datetime(2024, 1, 1)
-    rows = [("s", None, 1), ("s", None, 2), ("s", at, 3), ("s", at, 4), ("t", None, 5), ("", None, 6)]
-    events = spark.createDataFrame(rows, "signature string, received_at timestamp, seq_no bigint")
-    found = dedup.dedup(events.withColumn("stream_id", F.lit("x")))
-    got = {r.seq_no: r.dedup_count for r in dedup.incidents(found).collect()}
-    assert got == {1: 1, 2: 1, 3: 2, 5: 1, 6: 1}
-    assert [(r.signature, r["count"]) for r in dedup.window_records(found).collect()] == [("s", 2)]
