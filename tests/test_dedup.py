@@ -101,3 +101,13 @@ def test_incidents_carry_the_full_count(spark):
 def test_one_signature_with_many_hits(spark):
     rows = [("k", i % 900, f"st-{i % 50}", i) for i in range(5000)]
     assert U.dedup(frame(spark, rows), 60).agg(F.max("window_count")).first()[0] == 5000
+
+
+def test_events_without_time_are_incidents_of_their_own(spark):
+    at = START
+    rows = [("s", None, 1), ("s", None, 2), ("s", at, 3), ("s", at, 4), ("t", None, 5), ("", None, 6)]
+    events = spark.createDataFrame(rows, "signature string, received_at timestamp, seq_no bigint")
+    found = U.dedup(events.withColumn("stream_id", F.lit("x")))
+    got = {r.seq_no: r.dedup_count for r in U.incidents(found).collect()}
+    assert got == {1: 1, 2: 1, 3: 2, 5: 1, 6: 1}
+    assert [(r.signature, r["count"]) for r in U.window_records(found).collect()] == [("s", 2)]
