@@ -156,3 +156,23 @@ def test_zero_time_is_invalid(spark):
     raw = spark.createDataFrame([("json", "{}", "st", None, 1)], S.RAW_EVENT)
     row = N.normalize(raw).first()
     assert [tuple(e) for e in row.errors] == [("received_at", S.INVALID_TIMESTAMP)]
+
+
+def test_unselected_fields_are_not_decoded(spark):
+    """Fields that nobody selects leave the plan, and with them the second decode and the numbers as written."""
+    raw = spark.createDataFrame([("json", '{"message": "m", "a": 1.50}', "s", None, 1)], S.RAW_EVENT)
+
+    def plan(columns):
+        frame = N.normalize(raw, {"json": N.PARSERS["json"]}).select(*columns)
+        return frame._jdf.queryExecution().optimizedPlan().toString()
+
+    without, fields = plan(["event_id", "signature", "failed_step"]), plan(["event_id", "fields"])
+    assert "transform_values" not in without and without.count("MapType(StringType,StringType") == 0
+    assert "transform_values" in fields
+
+
+def test_columns_are_built_once(spark):
+    """A second plan takes the columns of the first; results are the same and do not depend on which came first."""
+    raw = spark.createDataFrame([("json", '{"message": "m", "level": "error"}', "s", None, 1)], S.RAW_EVENT).withColumn("received_at", F.lit("2024-01-01").cast("timestamp"))
+    first, second = N.normalize(raw), N.normalize(raw.withColumn("attempt_count", F.lit(3)))
+    assert first.collect() == second.drop("attempt_count").collect() and second.first().attempt_count == 3
