@@ -61,9 +61,9 @@ def _rows(df: DataFrame, buckets: int) -> list[np.ndarray]:
 def _first(df: DataFrame, n: int, key: str, most_bytes: int = 1 << 27) -> DataFrame:
     """At most ``n`` rows, of at most ``most_bytes`` bytes of text together: those with the smallest hashes of ``key``.
 
-    ``df`` has key, text and ``uid``, a number given to every row where it is read; only numbers and lengths are sorted.
+    ``df`` has key, text, and from where it is read a number (``uid``) and the length (``size``) of every row; only these are sorted.
     """
-    rows = df.select("uid", F.xxhash64(key).alias("h"), key, F.coalesce(F.octet_length("text"), F.lit(0)).alias("size"))
+    rows = df.select("uid", F.xxhash64(key).alias("h"), key, "size")
     uids, total = [], 0
     for row in rows.orderBy("h", key, "uid").limit(n).select("uid", "size").collect():
         total += row.size
@@ -119,7 +119,8 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", prior: float
     """The classifier from the rows of ``docs`` (training rows only) and ``labels`` (``key``, toxic). The class prior is
     the share of toxic rows among the labelled ones unless given (0.1 if all labelled rows are toxic)."""
     said = labels.filter(F.col("toxic").isNotNull() & F.col(key).isNotNull()).groupBy(key).agg(F.max("toxic").alias("toxic"))
-    docs = docs.select(key, "text", F.monotonically_increasing_id().alias("uid"))
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).alias("size")
+    docs = docs.select(key, "text", F.monotonically_increasing_id().alias("uid"), size)
     marked = docs.join(said, key)
     confirmed = marked.filter("toxic = 1")
     toxic = _rows(_first(confirmed, most_toxic, key), buckets)

@@ -24,11 +24,11 @@ def test_jaccard_keeps_columns_of_any_name(spark):
 
 def test_toxicity_sample_is_bounded(spark):
     """One id on very many rows, and long texts, stay within rows and bytes."""
-    rows = spark.range(5000).select(F.lit(7).alias("doc_id"), F.concat(F.lit("words "), F.col("id")).alias("text"), F.col("id").alias("uid"))
+    rows = spark.range(5000).select(F.lit(7).alias("doc_id"), F.concat(F.lit("words "), F.col("id")).alias("text"), F.col("id").alias("uid"), F.lit(8).alias("size"))
     assert toxicity._first(rows, 400, "doc_id").count() == 400
     assert toxicity._first(rows, 400, "doc_id", most_bytes=100).count() < 15
     labels = spark.createDataFrame([(7, 1)], "doc_id long, toxic int")
-    docs = rows.drop("uid").withColumn("uid", F.lit("mine"))
+    docs = rows.drop("uid", "size").withColumn("uid", F.lit("mine"))
     scored = toxicity.score(docs, toxicity.learn(docs, labels, most_toxic=50, most_unlabelled=50))
     assert scored.count() == 5000 and scored.first().uid == "mine"
 
