@@ -11,13 +11,17 @@ from faultline.llm.common import fold, table
 from faultline.session import new_folder
 
 
+_OWN = ("doc_id", "text")
+
+
 def _held(docs: DataFrame) -> DataFrame:
-    """Texts beside their whole rows: operators replace columns that are named as their results, but none of a row."""
-    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")
+    """Ids and texts beside the rest of their rows in one struct: operators replace columns that are named as their results."""
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in _OWN]
+    return docs.select(*_OWN, *([F.struct(*rest).alias("row")] if rest else []))
 
 
 def _rows(found: DataFrame, docs: DataFrame) -> DataFrame:
-    return found.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+    return found.select(*[F.col(c if c in _OWN else f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,8 +43,7 @@ def in_a_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of documents with similar sets of five words."""
-    held = _held(docs).withColumn("doc_id", F.col("row.doc_id"))
-    return _rows(jaccard.similarity_classes(held).filter("kept"), docs)
+    return _rows(jaccard.similarity_classes(_held(docs)).filter("kept"), docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
