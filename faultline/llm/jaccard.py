@@ -147,9 +147,10 @@ def similarity_classes(
     and kept (one row of each class)."""
     bands, rows = bands_for(threshold, recall, most_hashes)
     docs = docs.drop("class_id", "n_links", "kept")
-    # All columns of the user travel in one struct, so that none can have the name of one of ours.
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    held = stored(signatures(docs.select(row, "doc_id", "text"), n, bands, rows), "signatures")
+    # Other columns travel in one struct, so that none can have the name of one of ours.
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    row = [F.struct(*[F.col(f"`{c}`") for c in rest]).alias("row")] if rest else []
+    held = stored(signatures(docs.select("doc_id", "text", *row), n, bands, rows), "signatures")
     key = ["_k1", "_k2", "_n"]
     # Null ids count as the largest.
     place = F.struct(F.col("doc_id").isNull().alias("null_id"), F.col("doc_id").cast("long").alias("doc_id"), F.col("_uid").alias("uid"))
@@ -198,7 +199,7 @@ def similarity_classes(
     ).filter("n_links > 0")
     placed = held.drop("_bands").join(joined, key, "left")
     return placed.select(
-        *[F.col(f"row.`{c}`").alias(c) for c in docs.columns],
+        *[F.col(f"row.`{c}`" if c in rest else c).alias(c) for c in docs.columns],
         F.when(F.col("worded"), F.col("keeper.doc_id")).otherwise(F.col("doc_id").cast("long")).alias("class_id"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         F.coalesce(F.col("keeper.uid") == F.col("_uid"), F.lit(True)).alias("kept"),
