@@ -339,8 +339,12 @@ def fit(samples: list[str], layouts: int = 1200, seed: int = 13) -> Model:
 def learn(pages: DataFrame, html: str = "html", most_pages: int = 300, most_characters: int = 1 << 16, layouts: int = 1200) -> Model:
     """The classifier from a bounded sample: ``most_pages`` pages of at most ``most_characters`` characters."""
     text = F.col(f"`{html}`").cast("string")
-    sample = pages.select(text.alias("text")).filter(F.length("text") <= most_characters)
-    return fit([r.text for r in sample.orderBy(F.xxhash64("text"), "text").limit(most_pages).collect()], layouts)
+    rows = pages.select(text.alias("text"), F.monotonically_increasing_id().alias("uid"))
+    # Only hashes are sorted; the texts of the chosen rows are then read.
+    first = rows.filter(F.length("text") <= most_characters).select(F.xxhash64("text").alias("h"), "uid")
+    uids = [(r.uid,) for r in first.orderBy("h", "uid").limit(most_pages).collect()]
+    chosen = rows.join(F.broadcast(pages.sparkSession.createDataFrame(uids, "uid long")), "uid", "left_semi")
+    return fit(sorted(r.text for r in chosen.collect()), layouts)
 
 
 def extract(pages: DataFrame, model: Model, html: str = "html") -> DataFrame:
