@@ -87,7 +87,9 @@ def hash_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bo
         at -= np.repeat(begin.astype(np.int32), np.diff(begin, append=high - low))
         values = _TABLE.take(((at & (_POSITIONS - 1)) << 8) | chars)
         if size.max() > _POSITIONS:
-            values = mixed(values * (2 * (at // _POSITIONS) + 1).astype(np.uint64))
+            # Only the bytes behind: a word's hash must not depend on the words beside it.
+            far = np.flatnonzero(at >= _POSITIONS)
+            values[far] = mixed(values[far] * (2 * (at[far] // _POSITIONS) + 1).astype(np.uint64))
         running = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values)])
         sums = running[begin + size] - running[begin]
         out[first:last] = mixed(sums + size.astype(np.uint64))
