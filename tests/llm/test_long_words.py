@@ -8,8 +8,9 @@ import re
 import numpy as np
 import pytest
 
-from faultline.llm import loglinear
+from faultline.llm import impact_lists, loglinear
 from faultline.llm.textbatch import hash_words, words
+from tests.llm import test_impact_lists as plain_search
 
 LONG = ["x" * 65, "x" * 129, "ab" * 40, "http://" + "path/" * 60, "é" * 33, "Q" * 64]
 
@@ -33,6 +34,12 @@ def test_hashes_do_not_depend_on_neighbours():
     assert len(set(alone)) == len(alone)
 
 
+def test_ranked_search_with_long_words(spark, docs):
+    items = [(1, "the w1"), (2, LONG[0]), (3, f"of {LONG[3]} {LONG[4]}"), (4, f"w1 {'ab' * 40}"), (5, "q" * 64)]
+    got = impact_lists.search(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame(items, "item_id long, text string"))
+    assert sorted(map(tuple, got.collect()), key=repr) == plain_search.plain(docs, items, 10)
+
+
 def test_language_model_counts_long_words(spark, docs):
     def tokens(text):
         return re.findall(r"[^\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")) + [None]
