@@ -4,6 +4,7 @@ A message meets a rule if it holds one of the rule's phrases, without case. Phra
 search for each: every phrase is filed under one of its runs of ``ANCHOR`` characters (shorter phrases under themselves), the one that
 fewest phrases have, and meets only the messages that have this run. The whole phrase is then looked for in
 those, and of all rules a message meets the first one is kept by an aggregate. Equal messages and equal phrases are looked at once.
+Both sides of every join may be large, so all joins are shuffled and sorted: nothing is sent through the driver.
 """
 
 from pyspark.sql import Column, DataFrame
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from faultline.operators.columns import fresh_name
 from faultline.session import materialize
 
-ANCHOR = 4
+ANCHOR = 8
 #: What is kept of a rule, in the order in which rules go: null priorities last, equal ones by cause, phrases and the rest.
 _ORDER = ["late", "priority", "root_cause", "phrases", "severity", "component", "commands"]
 
@@ -34,6 +35,11 @@ def _runs(text: Column, size: int) -> Column:
     return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1)))
 
 
+def _joined(left: DataFrame, right: DataFrame, on: str, how: str = "inner") -> DataFrame:
+    """A join that never broadcasts a side: sizes of stored rows tell little about what they take in memory."""
+    return left.join(right.hint("merge"), on, how)
+
+
 def phrases_of(rules: DataFrame) -> DataFrame:
     """One row per distinct phrase: ``phrase``, its ``run`` and ``size``, and the first ``rule`` that has it."""
     ruled = rules.select(
@@ -53,8 +59,8 @@ def phrases_of(rules: DataFrame) -> DataFrame:
         runs = F.when(size == n, _runs(F.col("phrase"), n)).otherwise(runs)
     held = first.select("phrase", size.alias("size"), F.explode(runs).alias("run"))
     many = materialize(held.groupBy("run").agg(F.count("*").alias("many")))
-    rarest = held.join(many, "run").groupBy("phrase").agg(F.min(F.struct("many", "run")).alias("best"), F.first("size").alias("size"))
-    return materialize(rarest.select("phrase", F.col("best.run").alias("run"), "size").join(first, "phrase"))
+    rarest = _joined(held, many, "run").groupBy("phrase").agg(F.min(F.struct("many", "run")).alias("best"), F.first("size").alias("size"))
+    return materialize(_joined(rarest.select("phrase", F.col("best.run").alias("run"), "size"), first, "phrase"))
 
 
 def first_rules(messages: DataFrame, rules: DataFrame) -> DataFrame:
@@ -65,9 +71,9 @@ def first_rules(messages: DataFrame, rules: DataFrame) -> DataFrame:
     texts = materialize(messages.select("text").dropna().distinct().withColumn("id", F.monotonically_increasing_id()))
     runs = [_runs(F.col("text"), size) for size in sorted(sizes)] or [F.array().cast("array<string>")]
     shown = texts.select("id", F.explode(F.concat(*runs)).alias("run"))
-    met = shown.join(phrases.select("run", "phrase"), "run").select("id", "phrase").join(texts, "id")
+    met = _joined(_joined(shown, phrases.select("run", "phrase"), "run").select("id", "phrase"), texts, "id")
     met = met.filter(F.contains("text", "phrase")).select("text", "phrase")
-    found = met.join(phrases.select("phrase", "rule"), "phrase").groupBy("text").agg(F.min("rule").alias("rule"))
+    found = _joined(met, phrases.select("phrase", "rule"), "phrase").groupBy("text").agg(F.min("rule").alias("rule"))
     return materialize(found)
 
 
@@ -84,4 +90,4 @@ def with_first_rule(incidents: DataFrame, rules: DataFrame) -> tuple[DataFrame,
     text, rule = fresh_name("text"), fresh_name("rule")
     asked = incidents.withColumn(text, F.lower("message"))
     found = first_rules(asked.select(F.col(text).alias("text")), rules)
-    return asked.join(found.toDF(text, rule), text, "left").drop(text), rule
+    return _joined(asked, found.toDF(text, rule), text, "left").drop(text), rule
