@@ -1,6 +1,7 @@
 """Work that grows with the input is shuffled over tasks, not sent through the driver or left to one task."""
 
 from faultline.operators import rules as U
+from faultline.plans import inputs
 
 
 def test_joins_with_rules_never_broadcast(spark):
@@ -16,3 +17,12 @@ def test_joins_with_rules_never_broadcast(spark):
     got = sorted(((r.message or "", r[rule] and r[rule].root_cause) for r in found.collect()), key=repr)
     wanted = ["a", "b", "b", "b", None, "c", None, "a"]
     assert got == sorted(((m or "", c) for m, c in zip(messages, wanted, strict=True)), key=repr)
+
+
+def test_events_of_one_file_are_parsed_by_many_tasks(spark, tmp_path):
+    spark.range(500).selectExpr(
+        "id AS event_id", "timestamp_ntz '2024-01-01 00:00:00' AS ts", "id % 7 AS user_id", "'error' AS event_type", "1.0D AS value", "'{\"k\": 1}' AS props"
+    ).coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    for raw in (inputs.json_raw, inputs.syslog_raw):
+        sizes = [len(part) for part in raw(spark, str(tmp_path)).rdd.glom().collect()]
+        assert sum(sizes) == 500 and sum(n > 0 for n in sizes) >= 8 and max(sizes) < 100
