@@ -1,7 +1,7 @@
 """Work that grows with the input is shuffled over tasks, not sent through the driver or left to one task."""
 
 from faultline.operators import rules as U
-from faultline.plans import inputs
+from faultline.plans import catalog, inputs
 
 
 def test_joins_with_rules_never_broadcast(spark):
@@ -26,3 +26,4 @@ def test_events_of_one_file_are_parsed_by_many_tasks(spark, tmp_path):
     for raw in (inputs.json_raw, inputs.syslog_raw):
         sizes = [len(part) for part in raw(spark, str(tmp_path)).rdd.glom().collect()]
         assert sum(sizes) == 500 and sum(n > 0 for n in sizes) >= 8 and max(sizes) < 100
+    assert tuple(catalog.stream_stats(spark, str(tmp_path)).first())[1:2] == (500,)
