@@ -27,3 +27,20 @@ def test_events_of_one_file_are_parsed_by_many_tasks(spark, tmp_path):
         sizes = [len(part) for part in raw(spark, str(tmp_path)).rdd.glom().collect()]
         assert sum(sizes) == 500 and sum(n > 0 for n in sizes) >= 8 and max(sizes) < 100
     assert tuple(catalog.stream_stats(spark, str(tmp_path)).first())[1:2] == (500,)
+
+
+def test_trace_files_stay_small(spark, tmp_path, monkeypatch):
+    texts = [(i, f"boom {i}\n\tat x.y({i})\n\nnext\nmore") for i in range(30)] + [(30, None), (31, "")]
+    spark.createDataFrame(texts, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    paths = []
+
+    def held(spark, name):
+        paths.append(f"{tmp_path}/{name}")
+        return paths[-1]
+
+    monkeypatch.setattr(catalog, "new_folder", held)
+    monkeypatch.setattr(catalog, "TRACES_PER_FILE", 7)
+    small = catalog.stream_traces(spark, str(tmp_path)).collect()
+    files = list((tmp_path / "trace-files").glob("part-*"))
+    assert len(files) == 5 and all(f.read_text().count("boom") <= 7 for f in files)
+    assert sum(r.events for r in small) == sum(r.events for r in catalog.stacktrace_events(spark, str(tmp_path)).groupBy("severity").count().withColumnRenamed("count", "events").collect())
