@@ -3,13 +3,17 @@
 Three steps make one query. Every input task frames what it has of a stream on its own: the lines of a file split in one batch are a
 chunk, and its records are right but for its first block, which may go on from the chunk before, and its last one,
 which may go on in the next. The keyed step stitches chunks: it keeps the last number and the open block of each stream
-as state, joins a block that was cut and gives every chunk its first number, without looking at other records. The chunks are then
-dealt out again and unpacked. So a large stream is framed by many tasks, and its one task only handles chunks.
+as state, joins a block that was cut and gives every chunk its first number. It is shown only how many records a chunk has and the
+first and the last of them. The chunks themselves go past it, at the price of framing the lines twice, and meet their numbers in
+tasks of their own. So a large stream is framed by many tasks, and its one task handles a row of bounded size per chunk.
 """
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from faultline import schemas as S
 from faultline.functions.text import chomp, or_empty
@@ -17,11 +21,16 @@ from faultline.operators.framing import CONTINUATION, DEFAULT_MAX_LINE_BYTES, to
 from faultline.operators.slices import SLICE
 from faultline.sources.text import LINE_END
 
-_PACKED = (
+_EDGES = (
     "source string, stream_id string, file string, start bigint, pos bigint, lines boolean, hangs boolean, ends_open boolean,"
-    " records binary, letters binary"
+    " size bigint, left bigint, first string, first_received bigint, last string, last_received bigint"
+)
+_PACKED = "source string, stream_id string, file string, start bigint, pos bigint, records binary, letters binary"
+#: Of a chunk (``file``, ``start`` and ``pos``), or of a stitched block, which has no file and comes with its ``records``.
+_PLACED = (
+    "source string, stream_id string, file string, start bigint, pos bigint, low bigint, high bigint, seq_no bigint,"
+    " letter_no bigint, records binary"
 )
-_PLACED = "source string, stream_id string, records binary, low bigint, high bigint, seq_no bigint, letters binary, letter_no bigint"
 #: State of a stream: numbers given so far and the block its last line left open.
 STREAM = "last_seq bigint, last_letter bigint, is_open boolean, payload string, received_micros bigint"
 STREAM_STATE = "stream"
@@ -65,6 +74,11 @@ def _latest(received: list):
     return max((t for t in received if t is not None), default=None)
 
 
+def _time(micros):
+    """A time as it comes from pandas, where null may be a NaN."""
+    return None if micros is None or micros != micros else int(micros)
+
+
 def chunk_of(trace: bool, texts: list, has_text, continues, received: list):
     """The records of some lines in a row: (payloads, times, first one continues, last one is open)."""
     import numpy as np
@@ -86,7 +100,7 @@ def _stitcher():
     """Processor of the chunks of a stream; defined here so that workers get it by value."""
     from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
-    from faultline.streaming.packing import from_bytes, to_bytes
+    from faultline.streaming.packing import to_bytes
 
     class Stitch(StatefulProcessor):
         def init(self, handle):
@@ -95,35 +109,30 @@ def _stitcher():
         def handleInputRows(self, key, rows, timerValues):
             import pandas as pd
 
-            chunks = sorted(
-                ((r.file, r.start, r.pos, r.lines, r.hangs, r.ends_open, r.records, r.letters) for frame in rows for r in frame.itertuples()),
-                key=lambda chunk: chunk[:3],
-            )
+            chunks = sorted((tuple(r)[1 + len(key) :] for frame in rows for r in frame.itertuples()), key=lambda chunk: chunk[:3])
             seq, letter, is_open, payload, received = self.stream.get() if self.stream.exists() else (0, 0, False, None, None)
             out = []
 
-            def put(records, low, high, letters=None):
+            def put(place, low, high, records=None):
                 nonlocal seq
-                out.append((*key, records, low, high, seq + 1, letters, letter + 1))
+                out.append((*key, *place, low, high, seq + 1, letter + 1, records))
                 seq += high - low
 
-            for *_, lines, hangs, ends_open, data, letters in chunks:
-                records = from_bytes(data)
-                low, high = 0, len(records)
+            for *place, lines, hangs, ends_open, size, left, first, first_received, last, last_received in chunks:
+                low, high = 0, size
                 if is_open and lines:
                     if hangs:
-                        payload = f"{payload}\n{records.column('payload')[0].as_py()}"
-                        received = _latest([received, records.column("received")[0].as_py()])
+                        payload = f"{payload}\n{first}"
+                        received = _latest([received, _time(first_received)])
                         low = 1
                     if not (hangs and high == 1 and ends_open):
-                        put(to_bytes(_table([payload], [received])), 0, 1)
+                        put((None, 0, 0), 0, 1, to_bytes(_table([payload], [received])))
                         is_open, payload, received = False, None, None
                 if ends_open and high > low:
                     high -= 1
-                    is_open, payload, received = True, records.column("payload")[high].as_py(), records.column("received")[high].as_py()
-                left = len(from_bytes(letters)) if letters else 0
+                    is_open, payload, received = True, last, _time(last_received)
                 if high > low or left:
-                    put(data, low, high, letters if left else None)
+                    put(place, low, high)
                     letter += left
             self.stream.update((seq, letter, is_open, payload, received))
             names = [part.split()[0] for part in _PLACED.split(", ")]
@@ -158,13 +167,11 @@ def frame_stream(lines: DataFrame, max_line_bytes: int = DEFAULT_MAX_LINE_BYTES)
         F.coalesce(too_long(F.col("line"), max_line_bytes), F.lit(False)).alias("long"),
     )
 
-    def pack(batches):
+    def chunks(batches):
+        """(source, stream, file, start, pos), lines with text or not, chunk and left-out lines of each chunk of a task."""
         import numpy as np
-        import pyarrow as pa
         import pyarrow.compute as pc
 
-        from faultline.streaming.packing import to_bytes
-
         pos = 0
         for batch in batches:
             if not batch.num_rows:
@@ -183,18 +190,32 @@ def frame_stream(lines: DataFrame, max_line_bytes: int = DEFAULT_MAX_LINE_BYTES)
                 texts, received = kept.column("bare").to_pylist(), kept.column("received").to_pylist()
                 has_text = np.array([text != "" for text in texts], bool)
                 continues = kept.column("continues").to_numpy(zero_copy_only=False).astype(bool)
-                source = part.column("source")[0].as_py()
-                payloads, times, hangs, ends_open = chunk_of(source == "stacktrace", texts, has_text, continues, received)
+                place = {name: [part.column(name)[0].as_py()] for name in ("source", "stream_id", "file", "start")} | {"pos": [pos]}
                 left = part.filter(part.column("long")) if long.any() else None
-                yield pa.RecordBatch.from_pydict({
-                    "source": [source], "stream_id": [part.column("stream_id")[0].as_py()],
-                    "file": [part.column("file")[0].as_py()], "start": [part.column("start")[0].as_py()], "pos": [pos],
-                    "lines": [len(texts) > 0], "hangs": [hangs], "ends_open": [ends_open], "records": [to_bytes(_table(payloads, times))],
-                    "letters": pa.array([left and to_bytes(_table(left.column("line").to_pylist(), left.column("received").to_pylist()))], pa.binary()),
-                })
+                yield place, len(texts) > 0, chunk_of(place["source"] == ["stacktrace"], texts, has_text, continues, received), left
                 pos += 1
 
+    schema = to_arrow_schema(T._parse_datatype_string(_EDGES))
+
+    def edges(batches):
+        import pyarrow as pa
+
+        for place, lines, (payloads, times, hangs, ends_open), left in chunks(batches):
+            ends = [payloads[0], times[0], payloads[-1], times[-1]] if payloads else [None] * 4
+            values = [*place.values(), [lines], [hangs], [ends_open], [len(payloads)], [len(left) if left else 0], *([x] for x in ends)]
+            yield pa.RecordBatch.from_pydict(dict(zip(schema.names, values, strict=True)), schema=schema)
+
+    def pack(batches):
+        import pyarrow as pa
+
+        from faultline.streaming.packing import to_bytes
+
+        for place, _, (payloads, times, *_), left in chunks(batches):
+            letters = left and to_bytes(_table(left.column("line").to_pylist(), left.column("received").to_pylist()))
+            yield pa.RecordBatch.from_pydict({**place, "records": [to_bytes(_table(payloads, times))], "letters": pa.array([letters], pa.binary())})
+
     def unpack(batches):
+        """Chunks and their places come in any order: what comes too early waits on disk."""
         import pyarrow as pa
 
         from faultline.streaming.packing import from_bytes
@@ -206,22 +227,46 @@ def frame_stream(lines: DataFrame, max_line_bytes: int = DEFAULT_MAX_LINE_BYTES)
                 table.column("received").combine_chunks().cast(pa.timestamp("us", "UTC")), pa.array(numbers, pa.int64()), pa.array([reason] * n, pa.string()),
             ], names=FRAMED.names)
 
-        for batch in batches:
-            for row in batch.to_pylist():
-                if row["high"] > row["low"]:
-                    table = from_bytes(row["records"]).slice(row["low"], row["high"] - row["low"])
-                    yield rows(row["source"], row["stream_id"], table, range(row["seq_no"], row["seq_no"] + len(table)), "")
-                if row["letters"]:
-                    table = from_bytes(row["letters"])
-                    numbers = range(-row["letter_no"], -row["letter_no"] - len(table), -1)
-                    yield rows(row["source"], row["stream_id"], table, numbers, S.LINE_TOO_LONG)
+        def numbered(source, stream, low, high, seq_no, letter_no, records, letters):
+            if high > low:
+                table = from_bytes(records).slice(low, high - low)
+                yield rows(source, stream, table, range(seq_no, seq_no + len(table)), "")
+            if letters:
+                table = from_bytes(letters)
+                yield rows(source, stream, table, range(-letter_no, -letter_no - len(table), -1), S.LINE_TOO_LONG)
+
+        places, waiting = {}, {}
+        with tempfile.TemporaryFile() as held:
+            for batch in batches:
+                columns = [batch.column(name) for name in batch.schema.names]
+                for i in range(batch.num_rows):
+                    source, stream, *chunk, low, high, seq_no, letter_no, records, letters = (column[i].as_py() for column in columns)
+                    chunk = (source, stream, *chunk)
+                    if chunk[2] is None:
+                        yield from numbered(source, stream, low, high, seq_no, letter_no, records, None)
+                    elif seq_no is not None:
+                        places[chunk] = (low, high, seq_no, letter_no)
+                    elif chunk in places:
+                        yield from numbered(source, stream, *places.pop(chunk), records, letters)
+                    else:
+                        waiting[chunk] = (held.tell(), len(records), len(letters or b""))
+                        held.write(records + (letters or b""))
+            for chunk, place in places.items():
+                at, *sizes = waiting[chunk]
+                held.seek(at)
+                yield from numbered(*chunk[:2], *place, *(held.read(n) for n in sizes))
 
     stitched = (
-        marked.mapInArrow(pack, _PACKED)
+        marked.mapInArrow(edges, _EDGES)
         .groupBy("source", "stream_id")
         .transformWithStateInPandas(_stitcher(), _PLACED, "Append", "None")
+        .withColumn("letters", F.lit(None).cast("binary"))
     )
-    return stitched.repartition(F.xxhash64("records", "seq_no")).mapInArrow(unpack, FRAMED)
+    packed = marked.mapInArrow(pack, _PACKED)
+    unplaced = [F.lit(None).cast("bigint").alias(name) for name in ("low", "high", "seq_no", "letter_no")]
+    packed = packed.select("source", "stream_id", "file", "start", "pos", *unplaced, "records", "letters")
+    chunk = F.xxhash64("source", "stream_id", "file", "start", "pos")
+    return stitched.union(packed).repartition(chunk).mapInArrow(unpack, FRAMED)
 
 
 def open_blocks(spark: SparkSession, progress: str) -> DataFrame:

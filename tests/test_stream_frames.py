@@ -85,3 +85,19 @@ def test_state_is_one_row_a_stream(spark, tmp_path):
     ingest.run_to_table(frames.frame_stream(arriving(spark, tmp_path, "stacktrace"), 4096), out)
     state = spark.read.format("statestore").option("stateVarName", frames.STREAM_STATE).load(out + "-progress")
     assert sorted((r.key.stream_id, r.value.last_seq, r.value.payload) for r in state.collect()) == [("a", 0, "x failed\n\tat one"), ("b", 1, "next\n    deep")]
+
+
+def test_the_keyed_step_sees_no_records(spark, tmp_path):
+    """Only rows of bounded size per chunk meet in the one task of a stream."""
+    write_part(tmp_path, 0, PARTS[0], {})
+    plan = frames.frame_stream(arriving(spark, tmp_path, "json"))._jdf.queryExecution().analyzed()
+
+    def nodes(node):
+        yield node
+        children = node.children().iterator()
+        while children.hasNext():
+            yield from nodes(children.next())
+
+    keyed = [node for node in nodes(plan) if node.nodeName().startswith("TransformWithState")]
+    assert len(keyed) == 1
+    assert "binary" not in keyed[0].children().head().schema().simpleString()
