@@ -1,9 +1,10 @@
 """Deduplication of a stream of signatures, with the open window kept between batches.
 
-Three steps make one query. The rows of each input task are packed by signature into chunks, in which the ordering columns (time,
-stream, number) stand apart from the rest. The keyed step sees only chunks: it merges the ordering columns of a signature,
-finds the windows by jumps over the sorted times and hands the rows on unopened. The chunks are then dealt out
-again and unpacked. So the one task that a signature has by definition does little work per event.
+Signatures are dealt into buckets by their hash, and three steps make one query. The rows of each input task are packed by bucket into
+chunks, in which signature and ordering columns (time, stream, number) stand apart from the rest. The keyed step sees only chunks: it
+merges the ordering columns of a bucket, finds the windows of each signature by jumps over the sorted times and hands the rows on
+unopened. The chunks are then dealt out again and unpacked. So the one task that a signature has by definition does little work per
+event, and chunks, calls to the state store and timers go by buckets, however many signatures there are.
 """
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,18 +16,21 @@ from faultline.operators.columns import fresh_name
 from faultline.operators.dedup import DEFAULT_WINDOW_SECONDS, kept_columns, window_micros
 from faultline.streaming.packing import from_bytes, to_bytes
 
-_PACKED = "signature string, place binary, rows binary"
+_PACKED = "bucket int, place binary, rows binary"
 _COUNTED = "rows binary, windows binary, counts binary"
-#: State of a signature: its last window.
-RECORD = "first_seen bigint, last_seen bigint, count bigint"
+#: State of a bucket: the last window of each of its signatures, as one packed table.
+RECORDS = "records binary"
 RECORD_STATE = "record"
+_RECORD = ("signature", "first_seen", "last_seen", "count", "changed")
+#: An input task packs this many rows or bytes at once.
+_PACK_ROWS, _PACK_BYTES = 1 << 18, 1 << 25
 
 
 def _ordered(table):
-    """Order of rows by time, stream and number; null first as in a sorted table."""
+    """Order of rows by signature, time, stream and number; null first as in a sorted table."""
     import pyarrow.compute as pc
 
-    keys = [(name, "ascending") for name in ("micros", "stream_id", "seq_no")]
+    keys = [(name, "ascending") for name in ("code", "micros", "stream_id", "seq_no")]
     return pc.sort_indices(table, sort_keys=keys, null_placement="at_start")
 
 
@@ -61,34 +65,61 @@ def _processor(width: int, ordered: bool, evict: bool, ttl_millis: int | None):
     class Windows(StatefulProcessor):
         def init(self, handle):
             self.handle = handle
-            self.record = handle.getValueState(RECORD_STATE, RECORD, ttl_millis)
+            self.record = handle.getValueState(RECORD_STATE, RECORDS)
             # Chunks that wait for the watermark: earliest time in them, ordering columns, rows.
             self.held = handle.getListState("held", "low bigint, place binary, rows binary") if ordered else None
 
         def handleInputRows(self, key, rows, timerValues):
             chunks = [(place, data) for frame in rows for place, data in zip(frame["place"], frame["rows"], strict=True)]
             if not ordered:
-                yield self._count([(from_bytes(place), data) for place, data in chunks])
-                self._timer()
+                now = timerValues.getCurrentProcessingTimeInMs() if ttl_millis else 0
+                records = self._records()
+                if ttl_millis:
+                    records = {name: r for name, r in records.items() if r[3] + ttl_millis > now}
+                yield self._count([(from_bytes(place), data) for place, data in chunks], records, now)
+                self._keep(records)
+                self._timer(self._due(records))
                 return
             import pyarrow.compute as pc
 
             waiting = [(pc.min(from_bytes(place).column("micros")).as_py(), place, data) for place, data in chunks]
             self.held.appendList(waiting)
-            self._timer(min(low for low, *_ in waiting))
+            self._timer(min(low for low, *_ in waiting) // 1000 + 1, later=False)
 
-        def _count(self, chunks):
+        def _records(self) -> dict:
+            """(first seen, last seen, count, time of day of the last change) of the last window of each signature."""
+            if not self.record.exists():
+                return {}
+            names, *values = (column.to_pylist() for column in from_bytes(self.record.get()[0]).columns)
+            return dict(zip(names, zip(*values, strict=True), strict=True))
+
+        def _keep(self, records: dict) -> None:
+            import pyarrow as pa
+
+            if not records:
+                self.record.clear()
+                return
+            columns = [list(records), *([int(v) for v in column] for column in zip(*records.values(), strict=True))]
+            types = [pa.string(), *[pa.int64()] * 4]
+            self.record.update((to_bytes(pa.table([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=_RECORD)),))
+
+        def _count(self, chunks, records, now=0):
+            """Windows and counts of the rows of ``chunks``; ``records`` get the last windows."""
             import numpy as np
             import pandas as pd
             import pyarrow as pa
 
             places = pa.concat_tables([place for place, _ in chunks])
-            order = _ordered(places).to_numpy()
-            times = places.column("micros").to_numpy()[order]
-            window, count, state = windows_of(times, width, self.record.get() if self.record.exists() else None)
-            self.record.update(state)
-            starts, counts = np.empty_like(window), np.empty_like(count)
-            starts[order], counts[order] = window, count
+            codes = places.column("signature").combine_chunks().dictionary_encode()
+            order = _ordered(places.append_column("code", codes.indices)).to_numpy()
+            times, names = places.column("micros").to_numpy()[order], codes.dictionary.to_pylist()
+            ends = np.searchsorted(codes.indices.to_numpy()[order], np.arange(len(names) + 1)).tolist()
+            starts, counts = np.empty(len(times), np.int64), np.empty(len(times), np.int64)
+            for name, a, b in zip(names, ends[:-1], ends[1:], strict=True):
+                last = records.get(name)
+                window, count, state = windows_of(times[a:b], width, last and last[:3])
+                starts[order[a:b]], counts[order[a:b]] = window, count
+                records[name] = (*state, now)
             cuts = np.cumsum([0, *(len(place) for place, _ in chunks)]).tolist()
             parts = list(zip(cuts[:-1], cuts[1:], strict=True))
             return pd.DataFrame({
@@ -97,53 +128,63 @@ def _processor(width: int, ordered: bool, evict: bool, ttl_millis: int | None):
                 "counts": [counts[a:b].astype("<i8").tobytes() for a, b in parts],
             })
 
-        def _timer(self, low=None):
-            """One timer a signature: when its first waiting event is due, or else when its record is one window old."""
-            if not evict:
+        def _due(self, records, waits=()):
+            """When the first record goes: one window old by the clock of the stream, or unchanged for the time to live."""
+            if ttl_millis:
+                times = [r[3] + ttl_millis - 1 for r in records.values()]
+            else:
+                times = [-(-(r[1] + width) // 1000) for name, r in records.items() if name not in waits]
+            return min(times, default=None)
+
+        def _timer(self, due, later=True):
+            """One timer a bucket. Unless ``later``, an earlier one stays."""
+            if not (evict or ttl_millis):
                 return
-            due = None if low is None else low // 1000 + 1
             timers = list(self.handle.listTimers())
-            if due is not None and timers and self.waits and min(timers) <= due:
+            if timers == [due] or (timers and not later and min(timers) <= due):
                 return
             for timer in timers:
                 self.handle.deleteTimer(timer)
-            if due is None and self.record.exists():
-                due = -(-(self.record.get()[1] + width) // 1000)
             if due is not None:
                 self.handle.registerTimer(due)
 
-        @property
-        def waits(self):
-            return self.held is not None and self.held.exists()
-
         def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
             import pyarrow.compute as pc
 
-            now = timerValues.getCurrentWatermarkInMs() * 1000
-            if not self.waits:
-                if self.record.exists() and self.record.get()[1] + width <= now:
-                    self.record.clear()
+            records = self._records()
+            if ttl_millis:
+                now = timerValues.getCurrentProcessingTimeInMs()
+                records = {name: r for name, r in records.items() if r[3] + ttl_millis > now}
+                self._keep(records)
+                self._timer(self._due(records))
                 return
-            due, waiting = [], []
-            for low, place, data in self.held.get():
+            now = timerValues.getCurrentWatermarkInMs() * 1000
+            held = [(low, from_bytes(place), place, data) for low, place, data in self.held.get()] if self.held is not None and self.held.exists() else []
+            # The record of a signature with waiting events stays until they are counted.
+            waited = {name for _, table, *_ in held for name in pc.unique(table.column("signature")).to_pylist()}
+            records = {name: r for name, r in records.items() if name in waited or r[1] + width > now}
+            due, waiting, waits = [], [], set()
+            for low, table, place, data in held:
                 if low > now:
                     waiting.append((low, place, data))
+                    waits.update(pc.unique(table.column("signature")).to_pylist())
                     continue
-                table, rows = from_bytes(place), from_bytes(data)
+                rows = from_bytes(data)
                 ripe = pc.less_equal(table.column("micros"), now)
                 due.append((table.filter(ripe), to_bytes(rows.filter(ripe))))
                 rest = table.filter(pc.invert(ripe))
                 if len(rest):
                     waiting.append((pc.min(rest.column("micros")).as_py(), to_bytes(rest), to_bytes(rows.filter(pc.invert(ripe)))))
-            if waiting:
-                self.held.put(waiting)
-            else:
-                self.held.clear()
+                    waits.update(pc.unique(rest.column("signature")).to_pylist())
             if due:
-                yield self._count(due)
-            for timer in list(self.handle.listTimers()):
-                self.handle.deleteTimer(timer)
-            self._timer(min((low for low, *_ in waiting), default=None))
+                if waiting:
+                    self.held.put(waiting)
+                else:
+                    self.held.clear()
+                yield self._count(due, records)
+            self._keep(records)
+            dues = [low // 1000 + 1 for low, *_ in waiting] + [self._due(records, waits)]
+            self._timer(min((x for x in dues if x is not None), default=None))
 
         def close(self):
             pass
@@ -158,6 +199,7 @@ def dedup_stream(
     lateness_seconds: float | None = None,
     ordered: bool = False,
     ttl_seconds: float | None = None,
+    buckets: int = 1024,
 ) -> DataFrame:
     """Streaming form of ``dedup``: same columns added, state per signature between batches. No event is ever dropped.
 
@@ -172,6 +214,9 @@ def dedup_stream(
     ``ttl_seconds`` evicts records by the time of day instead, that long after they were last changed. While the stream keeps up,
     a length of one window changes no result; after a longer stop an event may open a window it would have been in. Under
     a trigger that ends (``availableNow``) run such a query with :func:`faultline.streaming.ingest.run_to_table`.
+
+    The state is kept in ``buckets`` of signatures, fixed for a checkpoint. A bucket's events of one batch, its waiting events and its records
+    are in one task's memory at a time, and its records are written anew in each batch that has events of it.
     """
     if ordered and lateness_seconds is None:
         raise ValueError("ordered needs lateness_seconds")
@@ -179,7 +224,7 @@ def dedup_stream(
         raise ValueError("evict by ttl_seconds or by lateness_seconds, not by both")
     width = window_micros(window_seconds)
     columns = [F.col(f"`{name}`") for name in kept_columns(events)]
-    micros = fresh_name("micros")
+    micros, bucket = fresh_name("micros"), fresh_name("bucket")
     keyed = events.select(*columns).withColumn("signature", or_empty(F.col("signature")))
     if lateness_seconds is not None:
         keyed = keyed.withWatermark(time, f"{int(lateness_seconds * 1000)} milliseconds")
@@ -190,28 +235,43 @@ def dedup_stream(
         F.lit(True).alias("is_novel"),
         F.lit(1).cast("bigint").alias("window_count"),
     )
-    signed = keyed.filter(placed).select(*columns, F.unix_micros(F.col(time).cast("timestamp")).alias(micros))
+    signed = keyed.filter(placed).select(
+        *columns,
+        F.unix_micros(F.col(time).cast("timestamp")).alias(micros),
+        F.pmod(F.xxhash64("signature"), F.lit(buckets)).cast("int").alias(bucket),
+    )
 
     def pack(batches):
         import numpy as np
         import pyarrow as pa
 
+        def packed(held):
+            table = pa.Table.from_batches(held)
+            code = table.column(bucket).to_numpy()
+            order = np.argsort(code, kind="stable")
+            found, firsts = np.unique(code[order], return_index=True)
+            cuts = [*firsts.tolist(), len(code)]
+            parts = list(zip(cuts[:-1], cuts[1:], strict=True))
+            sorted_rows = table.take(pa.array(order)).combine_chunks()
+            place = sorted_rows.select(["signature", micros, "stream_id", "seq_no"]).rename_columns(["signature", "micros", "stream_id", "seq_no"])
+            rows = sorted_rows.drop_columns([micros, bucket])
+            return pa.RecordBatch.from_arrays([
+                pa.array(found, pa.int32()),
+                pa.array([to_bytes(place.slice(a, b - a)) for a, b in parts], pa.binary()),
+                pa.array([to_bytes(rows.slice(a, b - a)) for a, b in parts], pa.binary()),
+            ], names=["bucket", "place", "rows"])
+
+        held, rows, size = [], 0, 0
         for batch in batches:
             if not batch.num_rows:
                 continue
-            table = pa.Table.from_batches([batch])
-            codes = table.column("signature").combine_chunks().dictionary_encode()
-            names, code = codes.dictionary.to_pylist(), codes.indices.to_numpy()
-            order = np.argsort(code, kind="stable")
-            cuts = np.searchsorted(code[order], np.arange(len(names) + 1)).tolist()
-            sorted_rows = table.take(pa.array(order))
-            place = pa.table({"micros": sorted_rows.column(micros), "stream_id": sorted_rows.column("stream_id"), "seq_no": sorted_rows.column("seq_no")})
-            rows = sorted_rows.drop_columns([micros])
-            yield pa.RecordBatch.from_pydict({
-                "signature": names,
-                "place": [to_bytes(place.slice(a, b - a).combine_chunks()) for a, b in zip(cuts[:-1], cuts[1:], strict=True)],
-                "rows": [to_bytes(rows.slice(a, b - a).combine_chunks()) for a, b in zip(cuts[:-1], cuts[1:], strict=True)],
-            })
+            held.append(batch)
+            rows, size = rows + batch.num_rows, size + batch.nbytes
+            if rows >= _PACK_ROWS or size >= _PACK_BYTES:
+                yield packed(held)
+                held, rows, size = [], 0, 0
+        if held:
+            yield packed(held)
 
     output = T.StructType([
         *keyed.select(*columns).schema.fields,
@@ -225,7 +285,7 @@ def dedup_stream(
         import pyarrow as pa
 
         for batch in batches:
-            for data, starts, counts in zip(*(column.to_pylist() for column in batch.columns), strict=True):
+            for data, starts, counts in zip(*([value.as_buffer() for value in column] for column in batch.columns), strict=True):
                 count = np.frombuffer(counts, "<i8")
                 added = [pa.array(np.frombuffer(starts, "<i8")).cast(pa.timestamp("us", "UTC")), pa.array(count == 1), pa.array(count)]
                 for rows in from_bytes(data).combine_chunks().to_batches():
@@ -235,7 +295,7 @@ def dedup_stream(
     ttl = None if ttl_seconds is None else int(max(ttl_seconds * 1000, 1))
     counted = (
         signed.mapInArrow(pack, _PACKED)
-        .groupBy("signature")
+        .groupBy("bucket")
         .transformWithStateInPandas(
             _processor(width, ordered, evict, ttl), _COUNTED, "Append", "EventTime" if evict else "ProcessingTime" if ttl else "None"
         )
@@ -255,12 +315,21 @@ def stream_records(spark: SparkSession, progress: str, operator: int = 0) -> Dat
         .option("stateVarName", RECORD_STATE)
         .load(progress)
     )
-    value = "value.value" if "value" in state.schema["value"].dataType.names else "value"
-    return state.select(
-        F.col("key.signature").alias("signature"),
-        F.timestamp_micros(F.col(f"{value}.first_seen")).alias("first_seen"),
-        F.timestamp_micros(F.col(f"{value}.last_seen")).alias("last_seen"),
-        F.col(f"{value}.count").alias("count"),
+
+    def unpack(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for data in batch.column(0):
+                for records in from_bytes(data.as_buffer()).to_batches():
+                    yield pa.RecordBatch.from_arrays(records.columns[:4], names=_RECORD[:4])
+
+    records = state.select("value.records").mapInArrow(unpack, "signature string, first_seen bigint, last_seen bigint, count bigint")
+    return records.select(
+        "signature",
+        F.timestamp_micros("first_seen").alias("first_seen"),
+        F.timestamp_micros("last_seen").alias("last_seen"),
+        "count",
     )
 
 
