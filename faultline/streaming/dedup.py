@@ -23,7 +23,7 @@ RECORDS = "records binary"
 RECORD_STATE = "record"
 _RECORD = ("signature", "first_seen", "last_seen", "count", "changed")
 #: An input task packs this many rows or bytes at once.
-_PACK_ROWS, _PACK_BYTES = 1 << 18, 1 << 25
+_PACK_ROWS, _PACK_BYTES = 1 << 17, 1 << 24
 
 
 def _ordered(table):

@@ -4,6 +4,7 @@ import time
 
 import pytest
 
+from faultline.operators import dedup as U
 from faultline.streaming import dedup as D
 from faultline.streaming import ingest
 from tests.models import windows
@@ -18,6 +19,16 @@ def state(spark, out, name):
     return spark.read.format("statestore").option("stateVarName", name).load(out + "-progress")
 
 
+def test_records_of_many_signatures_take_few_rows_of_state(spark, tmp_path):
+    rows, out = sorted(ROWS, key=lambda r: r[1:]), str(tmp_path / "out")
+    stored = ingest.run_to_table(D.dedup_stream(arriving(spark, tmp_path / "in", [rows[:4000], rows[4000:]]), 20), out)
+    assert found(stored) == windows(rows, 20 * SECOND)
+    assert state(spark, out, "record").count() <= 1024
+    names = ["signature", "first_seen", "last_seen", "count"]
+    batch = U.current_records(U.dedup(frame(spark, rows), 20)).select(names)
+    assert sorted(map(tuple, D.stream_records(spark, out + "-progress").select(names).collect())) == sorted(map(tuple, batch.collect()))
+
+
 @pytest.mark.parametrize("buckets", [1, 1024])
 def test_waiting_events_of_many_signatures_take_few_rows_of_state(spark, tmp_path, buckets):
     rows, source, out = shuffled(ROWS), tmp_path / "in", str(tmp_path / "out")
