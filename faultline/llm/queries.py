@@ -93,7 +93,9 @@ def op10_language_model(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op11_ranked(spark: SparkSession, folder: str) -> DataFrame:
-    return impact_lists.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    # Rows with the same id are one item, as in the SQL: ranks are unique within an item.
+    items = table(spark, folder, "benchmark").groupBy("item_id").agg(F.concat_ws(" ", F.collect_list("text")).alias("text"))
+    return impact_lists.search(table(spark, folder, "documents"), items)
 
 
 def damaged(conversations: DataFrame) -> DataFrame:
